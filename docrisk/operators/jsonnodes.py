@@ -250,7 +250,7 @@ def string_signals(parsed: DataFrame) -> DataFrame:
         .withColumn("executable_kinds", any_of(P.EXEC_JSON, "iUd"))
         .withColumn("html_like_count", F.size(F.filter("_strings", S.html_like)))
         .withColumn("urls", F.transform(first_twenty(lambda s: S.urls(s, "json")), S.redact_url))
-        .withColumn("ip_addresses", first_twenty(S.ipv4))
+        .withColumn("ip_addresses", first_twenty(lambda s: S.ipv4(s)))
         .drop("_strings")
     )
 

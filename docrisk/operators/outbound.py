@@ -156,7 +156,7 @@ def redact_column(text: Column) -> Column:
     for e in ENTITIES:
         mark = F.lit(f"[REDACTED_{e.name}]")
         if e.check is None:
-            out = F.regexp_replace(out, F.lit(e.pattern), F.concat(F.lit("\\"), mark))
+            out = F.regexp_replace(out, F.lit(e.pattern), mark)
         else:
             out = _redact_checked(out, e, mark)
     return out
