@@ -24,10 +24,28 @@ def hit(text: Column, pattern: str, flags: str = "iUd") -> Column:
 
 
 def any_hit(text: Column, family: tuple[str, ...], flags: str = "iUd") -> Column:
-    """One alternation instead of a chain of scans: only the fact of a match is needed."""
+    """One alternation instead of a chain of scans: only the fact of a match is needed.
+
+    A leading word boundary shared by all patterns is tested once per position.
+    """
+    if all(p.startswith("\\b") for p in family):
+        return hit(text, "\\b(?:" + "|".join(p[2:] for p in family) + ")", flags)
     return hit(text, "(?:" + "|".join(family) + ")", flags)
 
 
+def compacted(names: Column) -> Column:
+    """Array of names without nulls and repeats.
+
+    Unlike ``array_compact``, a lambda that Spark interprets row by row, this stays in generated code,
+    so a text normalised for several tests is normalised once.
+    """
+    return F.array_except(names, F.array(F.lit(None).cast("string")))
+
+
+def present(*names: Column) -> Column:
+    return compacted(F.array(*names))
+
+
 def normalize(text: Column) -> Column:
     """Collapse white space and trim."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", " "))
@@ -88,7 +106,7 @@ def invisible(text: Column) -> Column:
 def _kinds(text: Column, family: dict[str, str], flags: str) -> Column:
     """Sorted names of the patterns that occur."""
     names = sorted(family)
-    return F.array_compact(F.array(*[F.when(hit(text, family[n], flags), F.lit(n)) for n in names]))
+    return present(*[F.when(hit(text, family[n], flags), F.lit(n)) for n in names])
 
 
 def injection_types(text: Column) -> Column:
@@ -109,35 +127,31 @@ def html_like(text: Column) -> Column:
 
 def behaviours(text: Column) -> Column:
     """Behaviour labels in list order."""
-    return F.array_compact(F.array(*[F.when(hit(text, p), F.lit(n)) for n, p in P.BEHAVIOURS.items()]))
+    return present(*[F.when(hit(text, p), F.lit(n)) for n, p in P.BEHAVIOURS.items()])
 
 
 def docx_signals(text: Column) -> Column:
     """Sorted content signals of a word-processor run."""
     flat = F.lower(normalize(text))
-    return F.array_compact(
-        F.array(
-            F.when(any_hit(flat, P.COMMAND_DOCX, "isU"), F.lit("command-or-script-indicator")),
-            F.when(hit(text, P.URL_DOCX), F.lit("contains-url")),
-            F.when(any_hit(flat, P.CREDENTIAL_DOCX, "isU"), F.lit("credential-theft-language")),
-            F.when(any_hit(flat, P.INJECT_DOCX, "isU"), F.lit("prompt-injection-like-instruction")),
-            F.when(has_zero_width(text), F.lit("zero-width-characters")),
-        )
+    return present(
+        F.when(any_hit(flat, P.COMMAND_DOCX, "isU"), F.lit("command-or-script-indicator")),
+        F.when(hit(text, P.URL_DOCX), F.lit("contains-url")),
+        F.when(any_hit(flat, P.CREDENTIAL_DOCX, "isU"), F.lit("credential-theft-language")),
+        F.when(any_hit(flat, P.INJECT_DOCX, "isU"), F.lit("prompt-injection-like-instruction")),
+        F.when(has_zero_width(text), F.lit("zero-width-characters")),
     )
 
 
 def pdf_signals(text: Column) -> Column:
     """Sorted content signals of a page span."""
     flat = normalize(text)
-    return F.array_compact(
-        F.array(
-            F.when(any_hit(flat, P.COMMAND_PDF), F.lit("command-execution")),
-            F.when(hit(text, P.URL_PDF), F.lit("contains-url")),
-            F.when(any_hit(flat, P.CREDENTIAL_PDF), F.lit("credential-request")),
-            F.when(any_hit(flat, P.OBFUSCATION_PDF), F.lit("possible-obfuscation")),
-            F.when(any_hit(flat, P.INJECT_PDF), F.lit("prompt-injection")),
-            F.when(has_zero_width(text), F.lit("zero-width-characters")),
-        )
+    return present(
+        F.when(any_hit(flat, P.COMMAND_PDF), F.lit("command-execution")),
+        F.when(hit(text, P.URL_PDF), F.lit("contains-url")),
+        F.when(any_hit(flat, P.CREDENTIAL_PDF), F.lit("credential-request")),
+        F.when(any_hit(flat, P.OBFUSCATION_PDF), F.lit("possible-obfuscation")),
+        F.when(any_hit(flat, P.INJECT_PDF), F.lit("prompt-injection")),
+        F.when(has_zero_width(text), F.lit("zero-width-characters")),
     )
 
 
@@ -222,7 +236,7 @@ FAMILIES = {
 
 
 def _one(flag: Column, name: str) -> Column:
-    return F.array_compact(F.array(F.when(flag, F.lit(name))))
+    return present(F.when(flag, F.lit(name)))
 
 
 def with_signals(df: DataFrame, text_col: str, family: str, out: str = "signals") -> DataFrame:

@@ -208,7 +208,7 @@ def facts(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, strin
     ok = F.col("header_error").isNull()
     keep = lambda c, empty: F.when(ok, c).otherwise(empty)
     names = lambda cond: F.transform(F.filter("sections", cond), lambda s: s["name"])
-    warnings = F.array_compact(
+    warnings = S.compacted(
         F.array(
             F.when(F.col("entry_outside"), F.lit("entry-point-not-in-executable-section")),
             F.when(F.col("overlapping"), F.lit("overlapping-section-raw-ranges")),

@@ -188,7 +188,8 @@ def with_evidence(facts: DataFrame, rules: Sequence[Rule], out: str = "evidence"
 
 def explode(df: DataFrame, scan_id: str, evidence: str = "evidence") -> DataFrame:
     """Evidence rows with a stable id: the same scan and rule give the same id on every run."""
-    rows = df.select(F.col(scan_id), F.inline(evidence))
+    # The outer form keeps Spark from deriving a filter that repeats the whole rule expression.
+    rows = df.select(F.col(scan_id), F.inline_outer(evidence)).where(F.col("rule_id").isNotNull())
     ident = F.sha2(F.concat_ws("/", F.col(scan_id).cast("string"), F.col("rule_id")), 256)
     return rows.withColumn("evidence_id", ident)
 

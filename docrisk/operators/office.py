@@ -51,10 +51,10 @@ def entry_rollup(entries: DataFrame) -> DataFrame:
             "xml_parts",
             "has_executable_entry",
             "has_comments",
-            F.array_compact(
+            S.compacted(
                 F.array(*[F.when(~F.col(f"_has{i}"), F.lit(p)) for i, p in enumerate(P.DOCX_REQUIRED)])
             ).alias("missing_parts"),
-            F.array_compact(
+            S.compacted(
                 F.array(*[F.when(F.col(f"_w{k}"), F.lit(w)) for k, w in enumerate(ENTRY_WARNINGS)])
             ).alias("entry_warnings"),
         )
@@ -98,7 +98,7 @@ def entry_warnings(entries: DataFrame) -> DataFrame:
     dense = (F.col("size") > P.DOCX_RATIO_FLOOR) & (F.col("compressed_size") > 0) & (ratio > P.DOCX_MAX_RATIO)
     return entries.withColumn(
         "warnings",
-        F.array_compact(
+        S.compacted(
             F.array(
                 F.when(F.col("flag_bits").bitwiseAND(1) != 0, F.lit("encrypted-archive-entry")),
                 F.when(dense, F.lit("high-compression-ratio")),
@@ -188,7 +188,7 @@ def part_warnings(parts: DataFrame) -> DataFrame:
     return count.join(seen, "doc_id").select(
         "doc_id",
         "xml_parts",
-        F.array_compact(
+        S.compacted(
             F.array(
                 F.when(F.col("_bad"), F.lit("malformed-or-unreadable-xml-part")),
                 F.when(F.col("xml_parts") > P.DOCX_MAX_XML_PARTS, F.lit("xml-part-count-limit-exceeded")),
@@ -243,7 +243,7 @@ def external_rels(rels: DataFrame) -> DataFrame:
 
 def hidden_reasons(runs: DataFrame) -> DataFrame:
     """Add the sorted hidden-text reasons of a run; blank runs have none."""
-    reasons = F.array_compact(
+    reasons = S.compacted(
         F.array(
             F.when(F.coalesce("deleted", F.lit(False)), F.lit("deleted-or-field-instruction-text")),
             F.when(F.col("half_points").between(1, 8), F.lit("very-small-font")),
@@ -319,7 +319,7 @@ def run_rollup(inspected: DataFrame) -> DataFrame:
             "hidden_count",
             "has_tracked_changes",
             F.array_sort(
-                F.array_compact(
+                S.compacted(
                     F.array(
                         *[F.when(F.col(f"_i{k}"), F.lit(n)) for k, n in enumerate(RUN_INDICATORS)],
                         F.when(F.col("_hidden"), F.lit("suspicious-content-in-hidden-text")),
@@ -371,7 +371,7 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
     none = F.array().cast("array<string>")
     no = lambda c: F.coalesce(c, F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    listed = F.array_compact(
+    listed = S.compacted(
         F.array(
             F.when(no(F.col("text_limit_reached")), F.lit("text-analysis-limit-reached")),
             F.when(F.col("xml_parts") > P.DOCX_MAX_XML_PARTS, F.lit("xml-part-count-limit-exceeded")),
@@ -383,7 +383,7 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
         F.array_distinct(
             F.concat(
                 F.coalesce("content_indicators", none),
-                F.array_compact(
+                S.compacted(
                     F.array(
                         F.when(no(F.col("has_executable_entry")), F.lit("executable-or-script-like-package-entry")),
                         F.when(F.size("macro_parts") > 0, F.lit("macro-related-component-detected")),

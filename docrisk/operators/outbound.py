@@ -73,7 +73,8 @@ def spans(text: Column, entity: Entity) -> Column:
             ),
         )
 
-    out = F.when(F.size(found) > 0, let(found, located)).otherwise(F.array().cast(SPAN))
+    empty = F.array().cast(SPAN)
+    out = let(found, lambda m: F.when(F.size(m) > 0, located(m).cast(SPAN)).otherwise(empty))
     return F.filter(out, lambda s: entity.check(s["match"])) if entity.check else out
 
 
@@ -84,7 +85,8 @@ def detect(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("item_
     """One row per entity found. Narrow: regexes run where the text is, only spans leave the row."""
     chosen = [e for e in ENTITIES if names is None or e.name in names]
     all_spans = F.flatten(F.array(*[spans(F.col(text), e).cast(SPAN) for e in chosen]))
-    return texts.select(*keep, F.inline(all_spans))
+    # The outer form keeps Spark from deriving a filter that runs every pattern a second time.
+    return texts.select(*keep, F.inline_outer(all_spans)).where(F.col("entity").isNotNull())
 
 
 def counts(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("item_id",)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docrisk.functions import patterns as P
 from docrisk.functions import signals as S
-from docrisk.functions.skew import top_n
+from docrisk.functions.skew import let, top_n
 
 # (reason, confidence it adds)
 REASONS = {
@@ -64,8 +64,12 @@ def reasons(spans: DataFrame, pages: DataFrame) -> DataFrame:
     )
     blank = ~S.hit(F.col("text"), "\\S", "U")
     joined = spans.where(~blank).join(seen, ["doc_id", "page"], "left")
-    native = S.overlap_tokens(F.col("text"))
-    overlap = S.token_overlap(native, F.coalesce("_visible", F.array().cast("array<string>")))
+    visible = F.coalesce("_visible", F.array().cast("array<string>"))
+    share = lambda t: S.token_overlap(F.array_distinct(F.filter(t, lambda w: F.length(w) >= 2)), visible)
+    # One expression that tokenises once: a later filter on the reasons repeats it only there.
+    unseen = F.coalesce("_has_ocr", F.lit(False)) & let(
+        S.tokens(F.col("text")), lambda t: (F.size(t) >= 2) & (share(t) < P.PDF_OVERLAP)
+    )
     tests = {
         "very-small-font": (F.col("font_size") > 0) & (F.col("font_size") < P.PDF_TINY_FONT),
         "near-zero-bounding-box": (F.abs(F.col("x1") - F.col("x0")) <= 0.1) | (F.abs(F.col("y1") - F.col("y0")) <= 0.1),
@@ -75,20 +79,17 @@ def reasons(spans: DataFrame, pages: DataFrame) -> DataFrame:
         | (F.col("y0") > F.col("page_h") + P.PDF_EDGE),
         "very-light-text": is_light(F.col("color")),
         "zero-width-characters": S.has_zero_width(F.col("text")),
-        "not-visible-in-rendered-page": F.coalesce("_has_ocr", F.lit(False))
-        & (F.col("_words") >= 2)
-        & (F.col("visible_overlap") < P.PDF_OVERLAP),
+        "not-visible-in-rendered-page": unseen,
     }
     flagged = (
-        joined.withColumn("_words", F.size(S.tokens(F.col("text"))))
-        .withColumn("visible_overlap", overlap)
+        joined.withColumn("visible_overlap", let(S.tokens(F.col("text")), share))
         .withColumn(
             "reasons",
-            F.array_compact(F.array(*[F.when(F.coalesce(tests[r], F.lit(False)), F.lit(r)) for r in sorted(REASONS)])),
+            S.compacted(F.array(*[F.when(F.coalesce(tests[r], F.lit(False)), F.lit(r)) for r in sorted(REASONS)])),
         )
     )
     gained = _weights("reasons", REASONS)
-    return flagged.withColumn("base_confidence", gained).drop("_visible", "_has_ocr", "_words")
+    return flagged.withColumn("base_confidence", gained).drop("_visible", "_has_ocr")
 
 
 def _weights(names: str, table: dict[str, float]) -> Column:
@@ -148,7 +149,7 @@ def object_kinds(text: Column) -> Column:
     """Sorted suspicious kinds of one object."""
     low = F.lower(text)
     has = lambda s: F.contains(low, F.lit(s))
-    return F.array_compact(
+    return S.compacted(
         F.array(
             F.when(has("/acroform"), F.lit("acroform")),
             F.when(F.rlike(low, F.lit(r"(?U)/aa\b")), F.lit("additional-actions")),
@@ -191,8 +192,8 @@ def suspicious(objects: DataFrame, hidden_docs: DataFrame | None = None) -> Data
 
 def _found(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     """First match of a group, null without a match."""
-    full = F.lit(f"(?{flags}){pattern}")
-    return F.when(F.rlike(text, full), F.regexp_extract(text, full, group))
+    full = f"(?{flags}){pattern}"
+    return F.when(F.rlike(text, F.lit(full)), F.regexp_extract(text, full, group))
 
 
 def pdf_name(text: Column, key: str) -> Column:
