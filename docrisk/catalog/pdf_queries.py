@@ -303,7 +303,7 @@ def pdf_attachment_evidence(x: Inputs) -> DataFrame:
 
 @query(
     "pdf_guard", "V-4, V-1, V-2",
-    _DOCS + EVIDENCE + """, r as (select f.doc_id, coalesce(least(sum(score * occurrences), 100), 0) as score, coalesce(bool_or(rule_id = 'EP-21' and severity = 'high'), false) as hidden
+    _DOCS + EVIDENCE + """, r as (select f.doc_id, least(coalesce(sum(score * occurrences), 0), 100) as score, coalesce(bool_or(rule_id = 'EP-21' and severity = 'high'), false) as hidden
       from facts f left join ev on ev.doc_id = f.doc_id group by f.doc_id)
     select doc_id, cast(score as int) as risk_score, case when score >= 75 then 'critical' when score >= 50 then 'high' when score >= 25 then 'medium' else 'low' end as risk_level,
       case when score >= 50 then 'block' when score >= 25 or hidden then 'review' else 'allow' end as verdict from r""",

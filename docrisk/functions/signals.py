@@ -51,6 +51,11 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Remove white space of any kind at both ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def compare_form(text: Column) -> Column:
     """Lower case, no zero-width characters, other than a-z and 0-9 become one blank."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ZERO_WIDTH_CLASS, "")

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.functions.patterns import REQUEST_ID
+from docrisk.functions.signals import strip
 
 TERMINAL = ("completed", "failed")
 
 
 def valid_id(value: Column) -> Column:
-    return F.coalesce(F.rlike(F.trim(value), F.lit("(?i)" + REQUEST_ID)), F.lit(False))
+    return F.coalesce(F.rlike(strip(value), F.lit("(?i)" + REQUEST_ID)), F.lit(False))
 
 
 def valid_request(df: DataFrame, col: str = "request_id") -> DataFrame:
     """Add ``clean_request_id``: trimmed when well formed, else null."""
-    return df.withColumn("clean_request_id", F.when(valid_id(F.col(col)), F.trim(col)))
+    return df.withColumn("clean_request_id", F.when(valid_id(F.col(col)), strip(F.col(col))))
 
 
 def first_per_request(requests: DataFrame, order: str = "seq") -> DataFrame:

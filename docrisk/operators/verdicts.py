@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docrisk.functions.signals import strip
+
 RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 
 
 def clean_details(output: Column) -> Column:
     """Text after the last ``: ``, so no local path is kept."""
-    text = F.trim(F.coalesce(output, F.lit("")))
+    text = strip(F.coalesce(output, F.lit("")))
     tail = F.regexp_extract(text, r"(?s)^.*: (.+)$", 1)
-    return F.trim(F.when(tail != "", tail).otherwise(text))
+    return strip(F.when(tail != "", tail).otherwise(text))
 
 
 def attach(scans: DataFrame, verdicts: DataFrame) -> DataFrame:
