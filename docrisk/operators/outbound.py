@@ -16,7 +16,7 @@ def _digits(value: Column) -> Column:
 
 
 def _luhn(value: Column) -> Column:
-    return F.coalesce(F.luhn_check(_digits(value)), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", _digits(value)), F.lit(False))
 
 
 @dataclass(frozen=True)
