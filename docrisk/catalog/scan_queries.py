@@ -13,7 +13,7 @@ from docrisk.catalog.core import hit, names, query
 from docrisk.catalog.identity_queries import DETECTED_SQL, EXPECTED_SQL
 from docrisk.catalog.views import Inputs
 from docrisk.functions import patterns as P
-from docrisk.operators import evidence, identity, jsonnodes, pdfspans, report, scoring, verdicts, verify
+from docrisk.operators import binary, evidence, identity, jsonnodes, office, pdfspans, report, scoring, verdicts, verify
 from docrisk.plans import scan as plan
 
 LEVEL = "case when {s} >= 75 then 'critical' when {s} >= 50 then 'high' when {s} >= 25 then 'medium' else 'low' end"
@@ -117,12 +117,17 @@ def text_levels(x: Inputs) -> DataFrame:
 
 # ---- the whole scan -----------------------------------------------------------------------------
 def all_facts(x: Inputs) -> dict[str, DataFrame]:
-    """Facts of the four formats, keyed so that file ids of the documents table meet them."""
+    """Facts of the four formats, each computed for the files that take its route."""
+    ids = {r: plan.routed(x.fx_files, f"route_{r}") for r in ("pdf", "exe", "docx", "json")}
+    pick = lambda name, route, key: plan.only(x[name], ids[route], key)
+    strings = pick("fx_seeded", "exe", "doc_id").select(F.col("doc_id").alias("file_id"), F.array("text").alias("strings"))
     return {
-        "pdf": D._facts(x),
-        "exe": B._facts(x),
-        "docx": O._facts(x),
-        "json": scoring.validate_facts(jsonnodes.facts(jsonnodes.parse(x.fx_json_docs))),
+        "pdf": pdfspans.facts(*[pick(n, "pdf", "doc_id") for n in ("fx_pdf_objects", "fx_pdf_spans", "fx_pdf_pages")]),
+        "exe": binary.facts(
+            *[pick(n, "exe", "file_id") for n in ("fx_pe_headers", "fx_pe_sections", "fx_pe_imports")], binary.behaviours(strings).drop("strings")
+        ),
+        "docx": office.facts(*[pick(n, "docx", "doc_id") for n in ("fx_ooxml_full", "fx_ooxml_runs", "fx_ooxml_rels")]),
+        "json": scoring.validate_facts(jsonnodes.facts(jsonnodes.parse(pick("fx_json_docs", "json", "doc_id")))),
     }
 
 

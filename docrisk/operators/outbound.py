@@ -166,12 +166,11 @@ def redact_column(text: Column) -> Column:
 
 def _redact_checked(text: Column, e: Entity, mark: Column) -> Column:
     def rebuilt(t: Column) -> Column:
-        marks = F.transform(
-            F.regexp_extract_all(t, F.lit(e.pattern), 0), lambda m: F.when(e.check(m), mark).otherwise(m)
-        )
+        marks = F.transform(F.regexp_extract_all(t, F.lit(e.pattern), 0), lambda m: F.when(e.check(m), mark).otherwise(m))
         return F.concat_ws("", F.zip_with(F.split(t, e.pattern, -1), marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))
 
-    return F.when(F.rlike(text, F.lit(e.pattern)), let(text, rebuilt)).otherwise(text)
+    # The input is itself a chain of replacements: bind it once instead of naming it three times.
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(e.pattern)), rebuilt(t)).otherwise(t))
 
 
 def redact(texts: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:

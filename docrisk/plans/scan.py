@@ -71,6 +71,19 @@ def scan(files: DataFrame, av: DataFrame, facts: dict[str, DataFrame], pdf_fail_
     return out.drop(*[f"_{f.name}_evidence" for f in known])
 
 
+def routed(files: DataFrame, route: str) -> DataFrame:
+    """Ids of the files that take a route by name or by leading bytes."""
+    known = identity.route(identity.detect_type(files))
+    # A ZIP container may turn out to be a word-processor document, so it goes that way too.
+    applies = F.col(route) | (F.col("detected_type") == "zip") if route == "route_docx" else F.col(route)
+    return known.where(applies).select("file_id")
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of the routed files: a semi join on narrow ids before the costly work on the rows."""
+    return rows.join(ids.withColumnRenamed("file_id", key), key, "left_semi")
+
+
 TEXT_RULES = tuple(r for r in evidence.JSON if r.rule_id in ("EJ-3", "EJ-5")) + evidence.GENERIC[1:]
 
 

@@ -10,8 +10,23 @@ TABLES = (
 )
 
 
+# Tables whose rows cost much CPU (whole texts), with the key that spreads them.
+HEAVY = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, HEAVY[name]) if name in HEAVY else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when the input has fewer splits than the cluster has cores.
+
+    A file with one row group is read by one task, which would then run every pattern alone. Inputs
+    with enough splits, which is every large table, pass unchanged and without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
