@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docrisk.functions import signals
 from docrisk.functions.skew import let
@@ -53,7 +54,7 @@ def verhoeff(digits: Column) -> Column:
     return F.coalesce(F.when(valid, let(F.reverse(digits), fold) == 0), F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(content: pd.Series) -> pd.Series:
     """Shannon entropy in bits per byte, three decimals; 0 for empty content.
 

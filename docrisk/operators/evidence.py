@@ -31,24 +31,14 @@ class Rule:
     detail: str = "''"  # SQL for the description
     occurrences: str = "1"
 
-    def column(self) -> Column:
-        level = F.lit(self.severity) if self.severity in DEFAULT_SCORES else F.expr(self.severity)
-        if self.score is None:
-            score = F.lit(DEFAULT_SCORES[self.severity])
-        else:
-            score = F.expr(str(self.score))
-        return F.when(
-            F.expr(self.when),
-            F.struct(
-                F.lit(self.rule_id).alias("rule_id"),
-                F.lit(self.category).alias("category"),
-                F.lit(self.title).alias("title"),
-                F.coalesce(F.expr(self.detail), F.lit("")).alias("description"),
-                level.alias("severity"),
-                F.lit(self.source).alias("source"),
-                score.cast("int").alias("score"),
-                F.expr(self.occurrences).cast("bigint").alias("occurrences"),
-            ),
+    def sql(self) -> str:
+        """The rule as ``case when ... then named_struct(...) end``."""
+        level = f"'{self.severity}'" if self.severity in DEFAULT_SCORES else self.severity
+        score = DEFAULT_SCORES[self.severity] if self.score is None else self.score
+        return (
+            f"case when {self.when} then named_struct('rule_id', '{self.rule_id}', 'category', '{self.category}', "
+            f"'title', '{self.title}', 'description', coalesce({self.detail}, ''), 'severity', {level}, "
+            f"'source', '{self.source}', 'score', cast({score} as int), 'occurrences', cast({self.occurrences} as bigint)) end"
         )
 
 
@@ -178,8 +168,8 @@ EVIDENCE = (
 
 
 def compiled(rules: Sequence[Rule]) -> Column:
-    """Evidence array of a facts row."""
-    return F.array_compact(F.array(*[r.column() for r in rules])).cast(EVIDENCE)
+    """Evidence array of a facts row, parsed from one SQL text."""
+    return F.expr("array_compact(array(" + ", ".join(r.sql() for r in rules) + "))").cast(EVIDENCE)
 
 
 def with_evidence(facts: DataFrame, rules: Sequence[Rule], out: str = "evidence") -> DataFrame:

@@ -49,20 +49,22 @@ def expected_type(name: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), extension(name))
 
 
-def signature_match(head_hex: Column, signatures=SIGNATURES) -> Column:
+def signature_match(head_hex: str, signatures=SIGNATURES) -> Column:
     """Struct (type, mime, prefix) of the longest signature the leading bytes carry, else null."""
-    out: Column | None = None
-    for prefix, offset, kind, mime in sorted(signatures, key=lambda s: -len(s[0])):
-        found = F.substring(head_hex, 1 + 2 * offset, len(prefix)) == prefix
-        value = F.struct(F.lit(kind).alias("type"), F.lit(mime).alias("mime"), F.lit(prefix).alias("prefix"))
-        out = F.when(found, value) if out is None else out.when(found, value)
-    return out
+    tests = " ".join(
+        f"when substring(_h, {1 + 2 * offset}, {len(prefix)}) = '{prefix}' then named_struct('type', '{kind}', 'mime', '{mime}', 'prefix', '{prefix}')"
+        for prefix, offset, kind, mime in sorted(signatures, key=lambda s: -len(s[0]))
+    )
+    return F.expr(f"transform(array(upper({head_hex})), _h -> case {tests} end)[0]")
 
 
 def detect_type(df: DataFrame, head_hex: str = "head_hex", signatures=SIGNATURES) -> DataFrame:
     """Add ``detected_type`` and ``detected_mime`` from the leading bytes written as hex."""
-    sig = signature_match(F.upper(F.col(head_hex)), signatures)
-    return df.withColumn("detected_type", sig["type"]).withColumn("detected_mime", sig["mime"])
+    return (
+        df.withColumn("_sig", signature_match(head_hex, signatures))
+        .withColumns({"detected_type": F.col("_sig.type"), "detected_mime": F.col("_sig.mime")})
+        .drop("_sig")
+    )
 
 
 def json_fallback(df: DataFrame, text: str = "text", name: str = "filename", size: str = "size") -> DataFrame:

@@ -136,17 +136,20 @@ def validate_facts(facts: DataFrame) -> DataFrame:
         .when(~said_no, F.coalesce("error", F.lit("analysis could not be completed")))
         .when(~complete, F.lit("incomplete results"))
     )
-    out = (
-        facts.withColumn("_good", good)
-        .withColumn("error", F.when(good, F.col("error")).otherwise(reason))
-        .withColumn("ok", F.when(good | (valid & ~said_no), F.col("ok")).otherwise(F.lit(False)))
-        .withColumn("supported", good)
-        .withColumn("file_size", F.when(valid, F.col("file_size")).otherwise(F.lit(0)))
-    )
     keep = F.col("_good")
-    for name in COUNTS:
-        out = out.withColumn(name, F.when(keep, F.col(name)).otherwise(F.lit(0)))
-    for name in LISTS[:-1]:
-        out = out.withColumn(name, F.when(keep, F.col(name)).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("indicators", F.when(keep, F.col("indicators")).otherwise(F.array(F.lit("json-analysis-unavailable"))))
-    return out.drop("_good")
+    none = F.array().cast("array<string>")
+    return (
+        facts.withColumns({"_good": good, "_valid": valid, "_no": valid & ~said_no, "_reason": reason})
+        .withColumns(
+            {
+                "error": F.when(keep, F.col("error")).otherwise(F.col("_reason")),
+                "ok": F.when(keep | F.col("_no"), F.col("ok")).otherwise(F.lit(False)),
+                "supported": keep,
+                "file_size": F.when(F.col("_valid"), F.col("file_size")).otherwise(F.lit(0)),
+                **{n: F.when(keep, F.col(n)).otherwise(F.lit(0)) for n in COUNTS},
+                **{n: F.when(keep, F.col(n)).otherwise(none) for n in LISTS[:-1]},
+                "indicators": F.when(keep, F.col("indicators")).otherwise(F.array(F.lit("json-analysis-unavailable"))),
+            }
+        )
+        .drop("_good", "_valid", "_no", "_reason")
+    )
