@@ -32,12 +32,16 @@ def first_per_request(requests: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def new_requests(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows of the batch the store lacks; rows without request id always pass."""
-    known = store.where(F.col("request_id").isNotNull()).select("user_id", "request_id").distinct()
+    """Rows of the batch the store lacks; rows without request id always pass.
+
+    The store is first cut to the keys of the batch. With a small batch that is a broadcast semi join,
+    Spark's own size check deciding, so the store is read once and not shuffled.
+    """
+    keys = ["user_id", "request_id"]
     keyed = batch.where(F.col("request_id").isNotNull())
-    return keyed.join(known, ["user_id", "request_id"], "left_anti").unionByName(
-        batch.where(F.col("request_id").isNull()).select(*keyed.join(known, ["user_id", "request_id"], "left_anti").columns)
-    )
+    known = store.select(*keys).join(keyed.select(*keys).distinct(), keys, "left_semi").distinct()
+    fresh = keyed.join(known, keys, "left_anti")
+    return fresh.unionByName(batch.where(F.col("request_id").isNull()))
 
 
 def replies(batch: DataFrame, store: DataFrame) -> DataFrame:
@@ -52,13 +56,23 @@ def replies(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """State per scan: the first terminal event is final, otherwise analyzing."""
-    terminal = F.col("state").isin(*TERMINAL)
-    return events.groupBy("scan_id").agg(
-        F.coalesce(F.min_by(F.when(terminal, F.col("state")), F.when(terminal, F.col("seq"))), F.lit("analyzing")).alias("state"),
-        F.min(F.when(terminal, F.col("seq"))).alias("final_seq"),
+    """State per scan: the first terminal event is final, otherwise analyzing.
+
+    Two minima over numbers decide it. Unlike a minimum over text they aggregate in hash tables,
+    without sorting the events first.
+    """
+    first = lambda cond: F.min(F.when(cond, F.col("seq")))
+    folded = events.groupBy("scan_id").agg(
+        first(F.col("state").isin(*TERMINAL)).alias("final_seq"),
+        first(F.col("state") == "failed").alias("_failed"),
         F.count(F.lit(1)).alias("events"),
     )
+    state = (
+        F.when(F.col("final_seq").isNull(), F.lit("analyzing"))
+        .when(F.col("_failed") == F.col("final_seq"), F.lit("failed"))
+        .otherwise(F.lit("completed"))
+    )
+    return folded.select("scan_id", state.alias("state"), "final_seq", "events")
 
 
 def failed_messages(states: DataFrame) -> DataFrame:

@@ -9,15 +9,27 @@ from pyspark.sql import functions as F
 def findings(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     """Add ``verified``. ``proposed``: item_id, part, quote, start_pos (1-based or null).
 
-    Equi-join on (item_id, part); with a position the quote must start there, else anywhere.
+    With a position the quote must start there, else it may stand anywhere.
+    The texts meet the few proposed quotes in an inner join, which may broadcast the quotes, and leave
+    only the fact of a match; whole texts are not carried through a second join.
     """
-    side = texts.select("item_id", "part", F.col("text").alias("_text"))
-    there = F.substring(F.col("_text"), F.col("start_pos"), F.length("quote")) == F.col("quote")
-    ok = F.when(F.col("start_pos").isNotNull(), there).otherwise(F.contains("_text", F.col("quote")))
+    keys = ["item_id", "part", "quote", "start_pos"]
+    there = F.substring(F.col("text"), F.col("start_pos"), F.length("quote")) == F.col("quote")
+    ok = F.when(F.col("start_pos").isNotNull(), there).otherwise(F.contains("text", F.col("quote")))
+    matched = (
+        texts.select("item_id", "part", "text")
+        .join(proposed.select(*keys).distinct(), ["item_id", "part"])
+        .where(ok & (F.length("quote") > 0))
+        .select(*[F.col(k).alias(f"_{k}") for k in keys])
+        .distinct()
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return (
-        proposed.join(side, ["item_id", "part"], "left")
-        .withColumn("verified", F.coalesce(ok & (F.length("quote") > 0), F.lit(False)))
-        .drop("_text")
+        proposed.join(matched, same, "left")
+        .withColumn("verified", F.col("_item_id").isNotNull())
+        .drop(*[f"_{k}" for k in keys])
     )
 
 

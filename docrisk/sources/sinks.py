@@ -11,13 +11,11 @@ from docrisk.functions.patterns import OUTPUT_LIMIT
 def write_scans(df: DataFrame, path: str, time_col: str = "created_at", mode: str = "append") -> None:
     """Append scan rows as Parquet by day.
 
-    Rows are spread by day and scan id, never by day alone, so one busy day does not end in one task
-    or one file.
+    ``rebalance`` lets the adaptive plan size the output: small days share a task, a day with a third
+    of all rows is split over many tasks and files.
     """
     dated = df.withColumn("scan_date", F.to_date(F.col(time_col)))
-    dated.repartition("scan_date", F.pmod(F.xxhash64("scan_id"), F.lit(64))).write.mode(mode).partitionBy(
-        "scan_date"
-    ).parquet(path)
+    dated.hint("rebalance", F.col("scan_date")).write.mode(mode).partitionBy("scan_date").parquet(path)
 
 
 def cap_output(df: DataFrame, max_bytes: int = OUTPUT_LIMIT, keep: tuple[str, ...] = ("scan_id",)) -> DataFrame:
