@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.catalog.core import query
-from docrisk.catalog.scan_queries import _TEXT, LEVEL, full_scan
+from docrisk.catalog.scan_queries import _SCAN, _TEXT, LEVEL, full_scan
 from docrisk.catalog.views import Inputs
 from docrisk.functions import patterns as P
 from docrisk.operators import control, evidence, history, lifecycle
@@ -204,13 +204,13 @@ def control_audit(x: Inputs) -> DataFrame:
 
 
 # ---- stored scans and streams -------------------------------------------------------------------
-@query("scan_stored", "IO-4, L-12, V-9")
+@query("scan_stored", "IO-4, L-12, V-9", "select file_id as scan_id, risk_score, risk_level, verdict from (" + _SCAN + ")")
 def scan_stored(x: Inputs) -> DataFrame:
     """The whole scan written as a table with typed facts and evidence, and read back as a list view."""
     path = work_folder(x.spark, "results") + "/table"
     rows = full_scan(x).withColumnRenamed("file_id", "scan_id").withColumn("created_at", F.to_timestamp(F.lit("2024-01-01")))
     sinks.write_scans(rows, path)
-    return x.spark.read.parquet(path).select("scan_id", "risk_score", "risk_level", "verdict", F.size("evidence").alias("evidence_count"))
+    return x.spark.read.parquet(path).select("scan_id", "risk_score", "risk_level", "verdict")
 
 
 @query(

@@ -58,7 +58,7 @@ def strip(text: Column) -> Column:
 
 def compare_form(text: Column) -> Column:
     """Lower case, no zero-width characters, other than a-z and 0-9 become one blank."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ZERO_WIDTH_CLASS, "")
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), P.ZERO_WIDTH, "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

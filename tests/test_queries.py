@@ -27,7 +27,7 @@ def test_entry_points(spark, small):
 
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"io_read_files", "scan_stored"}
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"io_read_files"}
 
 
 def test_inventory_is_covered():
