@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docrisk.llm import fingerprints, license_scan, packing, warc
+from docrisk.llm import decontaminate, fingerprints, fm_dedup, license_scan, line_dedup, packing, quality, suffix_dedup, warc
 from docrisk.llm.common import source
 from docrisk.session import tune
 
@@ -19,13 +19,36 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tune(spark), source(spark, sf_dir, "pages"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(source(tune(spark), sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(source(tune(spark), sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(tune(spark), source(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(source(tune(spark), sf_dir, "documents"), source(spark, sf_dir, "labels"))
+
+
+def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.dedup(source(tune(spark), sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(source(tune(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op7_fingerprints, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_warc, op3_decontaminate, op4_suffix_dedup, op5_line_dedup, op7_fingerprints, op8_quality, op9_fm_dedup, op10_license_scan,
+)}
 SQL: dict[str, str] = {}
