@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docrisk.llm import decontaminate, fingerprints, fm_dedup, license_scan, line_dedup, packing, quality, suffix_dedup, warc
+from docrisk.llm import decontaminate, fingerprints, fm_dedup, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, warc
 from docrisk.llm.common import source
 from docrisk.session import tune
 
@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(source(tune(spark), sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(tune(spark), source(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_warc, op3_decontaminate, op4_suffix_dedup, op5_line_dedup, op7_fingerprints, op8_quality, op9_fm_dedup, op10_license_scan,
+    op1_packing, op2_warc, op3_decontaminate, op4_suffix_dedup, op5_line_dedup, op6_ngram_join, op7_fingerprints, op8_quality, op9_fm_dedup, op10_license_scan,
 )}
 SQL: dict[str, str] = {}
