@@ -97,7 +97,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = parts or partitions(spark)
+    n = parts or 4 * partitions(spark)  # several ranges for each task, so that they even out
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     found = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000).alias("b")).first()["b"]
     bounds = sorted(set(found or []))

@@ -3,8 +3,8 @@
 One classifier sees the text's content (shares of ASCII characters and of other bytes, word lengths, repeated
 words), the other its page metadata (source, language, length). Both are logistic regressions trained here.
 In each round every view labels the unlabelled rows it is confident about for the other view. Each view is then
-calibrated (Platt) on labelled rows held back from training, and the calibrated log-odds are added. The
-threshold keeps the stated share of good rows held back.
+calibrated (Platt) on labelled rows held back from training, and the calibrated log-odds are added. A document
+is kept if it is more likely good than not.
 
 Training uses bounded samples: at most ``SAMPLE`` labelled and ``SAMPLE`` unlabelled rows, those with the
 smallest hash of doc_id. Scoring reads every document once.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SAMPLE = 6000
 ROUNDS = 3
 CONFIDENT = 0.95
-KEEP_GOOD = 0.995
+THRESHOLD = 0.5
 META_BUCKETS = 64
 TEXT_DIMS = 128 + 3 + 6
 
@@ -148,7 +148,7 @@ class Classifier:
         return sigmoid(a), sigmoid(b), sigmoid(np.clip(a + b - self.prior, -30, 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> Classifier | None:
     """Fit on bounded samples; None if there are not both kinds of labels."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_y"))
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
@@ -181,10 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: f
     for model, part in zip(models, split(x[check])):
         calibrate(model, part, y[check])
     share = np.clip(y[has].mean(), 1e-6, 1 - 1e-6)
-    out = Classifier(models[0], models[1], float(np.log(share / (1 - share))), 0.5)
-    good = out.scores(*split(x[check]))[2][y[check] == 1]
-    out.threshold = float(min(0.5, np.quantile(good, 1 - keep_good)))
-    return out
+    return Classifier(models[0], models[1], float(np.log(share / (1 - share))), threshold)
 
 
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
