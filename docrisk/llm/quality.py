@@ -31,7 +31,10 @@ ROUNDS = 3
 CONFIDENT = 0.95
 THRESHOLD = 0.5
 META_BUCKETS = 64
-TEXT_DIMS = 128 + 3 + 6
+TEXT_DIMS = 128 + 3 + 8
+_PLAIN = np.array([chr(i).isalnum() or chr(i).isspace() or chr(i) in ".,;:'\"?()-" for i in range(128)])
+
+_LETTERS = np.array([i for i in range(33, 127) if chr(i).isalnum()])
 
 
 # ---- views ---------------------------------------------------------------------------------------------------
@@ -52,6 +55,8 @@ def text_view(text: str | None) -> np.ndarray:
     out[133] = min(2.0, (len(data) / n) / 10)
     out[134] = (lengths > 20).sum() / n
     out[135] = counts[65:91].sum() / max(1, counts[65:91].sum() + counts[97:123].sum())
+    out[136] = np.sqrt(counts[:128][~_PLAIN].sum() / len(data))
+    out[137] = counts[33:127][~np.isin(np.arange(33, 127), _LETTERS)].sum() / len(data)
     return out
 
 
@@ -92,7 +97,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 12) -> Logistic:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, steps: int = 12) -> Logistic:
     """Weighted ridge logistic regression by Newton steps."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(np.float64)
