@@ -3,8 +3,8 @@
 One classifier sees the text's content (shares of ASCII characters and of other bytes, word lengths, repeated
 words), the other its page metadata (source, language, length). Both are logistic regressions trained here.
 In each round every view labels the unlabelled rows it is confident about for the other view. Each view is then
-calibrated (Platt) on labelled rows held back from training, and the calibrated log-odds are added. A document
-is kept if it is more likely good than not.
+calibrated (Platt) on the log-odds of labelled rows in fits that left them out, and the calibrated log-odds are
+added. A document is kept if it is more likely good than not.
 
 Training uses bounded samples: at most ``SAMPLE`` labelled and ``SAMPLE`` unlabelled rows, those with the
 smallest hash of doc_id. Scoring reads every document once.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 6000
 ROUNDS = 3
+FOLDS = 3
 CONFIDENT = 0.95
 THRESHOLD = 0.5
 META_BUCKETS = 64
@@ -87,7 +88,9 @@ class Logistic:
     shift: float = 0.0
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weights + self.bias, -30, 30)
+        # Row sums, not a matrix product: a row's value does not depend on the batch it comes in.
+        z = (x.astype(np.float64) - self.mean) / self.scale * self.weights
+        return np.clip(z.sum(axis=1) + self.bias, -30, 30)
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.odds(x) + self.shift
@@ -114,9 +117,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, st
     return Logistic(mean, scale, w[:-1], float(w[-1]))
 
 
-def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
-    """Platt scaling: a logistic regression of the labels on the model's log-odds."""
-    one = fit(model.odds(x)[:, None], y, np.ones(len(y)), ridge=0.1)
+def calibrate(model: Logistic, odds: np.ndarray, y: np.ndarray) -> None:
+    """Platt scaling: a logistic regression of the labels on log-odds of rows the model was not fitted on."""
+    one = fit(odds[:, None], y, np.ones(len(y)), ridge=0.1)
     model.slope = float(one.weights[0] / one.scale[0])
     model.shift = float(one.bias - one.weights[0] * one.mean[0] / one.scale[0])
 
@@ -178,13 +181,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     if len(set(y[has])) < 2:
         return None
     split = lambda m: (m[:, :TEXT_DIMS], m[:, TEXT_DIMS:])
-    held = rows["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62) == 0
-    learn, check = has & ~held, has & held
-    if len(set(y[learn])) < 2 or len(set(y[check])) < 2:
-        learn = check = has
-    models = co_train(split(x[learn]), y[learn], split(x[~has]))
-    for model, part in zip(models, split(x[check])):
-        calibrate(model, part, y[check])
+    fold = (rows["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
+    models = co_train(split(x[has]), y[has], split(x[~has]))
+    odds = [m.odds(part) for m, part in zip(models, split(x))]
+    for k in range(FOLDS):
+        learn, check = has & (fold != k), has & (fold == k)
+        if len(set(y[learn])) == 2:  # else the fold keeps the odds of the whole fit
+            for v, (m, part) in enumerate(zip(co_train(split(x[learn]), y[learn], split(x[~has])), split(x[check]))):
+                odds[v][check] = m.odds(part)
+    for v, model in enumerate(models):
+        calibrate(model, odds[v][has], y[has])
     share = np.clip(y[has].mean(), 1e-6, 1 - 1e-6)
     return Classifier(models[0], models[1], float(np.log(share / (1 - share))), threshold)
 

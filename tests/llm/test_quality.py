@@ -81,7 +81,7 @@ def test_calibration():
     y = (rng.random(4000) < quality.sigmoid(1.5 * x[:, 0] - 1)).astype(float)
     model = quality.fit(x, y, np.ones(4000))
     model.weights = model.weights * 5
-    quality.calibrate(model, x, y)
+    quality.calibrate(model, model.odds(x), y)
     p = quality.sigmoid(model.calibrated(x))
     assert p.mean() == pytest.approx(y.mean(), abs=0.02)
     top = p > 0.8
