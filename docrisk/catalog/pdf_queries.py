@@ -30,8 +30,7 @@ SPANS = f"""with raw as (select s.*, p.ocr_text, cast(len({_TOK('s.text')}) as i
   from {{fx_pdf_spans}} s left join {{fx_pdf_pages}} p on p.doc_id = s.doc_id and p.page = s.page where regexp_matches(s.text, '\\S')),
 flagged as (select *, {names([(f"({_TESTS[r]})", r) for r in sorted(_TESTS)])} as reasons, cast({_BASE} as double) as base_confidence from raw),
 found as (select *, {names(_PDF_SIGNAL_PAIRS)} as signals, least(round(base_confidence + cast({_BONUS} as double), 3), 1.0) as confidence
-  from flagged where reasons <> ''),
-kept as (select *, row_number() over (partition by doc_id order by page, seq) as rn from found qualify rn <= {P.PDF_HIDDEN_CAP})
+  from flagged where reasons <> '')
 """
 
 
@@ -55,33 +54,28 @@ def findings(x: Inputs) -> DataFrame:
     return pdfspans.findings(x.fx_pdf_spans, x.fx_pdf_pages).select("doc_id", "page", "seq", F.array_join("signals", ",").alias("signals"), "confidence")
 
 
-# Few large documents, so that the cap of 100 matters.
+# Few large documents with thousands of findings each.
 _BIG_SPANS = "select doc_id % 20 as doc_id, page, doc_id * 8 + seq as seq, text, font_size, x0, y0, x1, y1, color, page_w, page_h from {fx_pdf_spans}"
 _BIG_PAGES = "select distinct doc_id % 20 as doc_id, page, 'please enter your password see mail' as ocr_text from {fx_pdf_pages}"
 
 
 @query(
     "pdf_capped", "P-4",
-    SPANS.replace("{fx_pdf_spans}", f"({_BIG_SPANS})").replace("{fx_pdf_pages}", f"({_BIG_PAGES})") + "select doc_id, page, seq, rn as finding_rank, confidence from kept",
+    SPANS.replace("{fx_pdf_spans}", f"({_BIG_SPANS})").replace("{fx_pdf_pages}", f"({_BIG_PAGES})") + "select doc_id, page, seq, confidence from found",
 )
 def capped(x: Inputs) -> DataFrame:
-    found = pdfspans.findings(x.sql(_BIG_SPANS), x.sql(_BIG_PAGES))
-    return pdfspans.capped(found).select("doc_id", "page", "seq", F.col("finding_rank").cast("bigint").alias("finding_rank"), "confidence")
+    """All findings are shown; a limit is an argument of the display."""
+    return pdfspans.shown(pdfspans.findings(x.sql(_BIG_SPANS), x.sql(_BIG_PAGES))).select("doc_id", "page", "seq", "confidence")
 
 
 @query(
     "pdf_overlapping_spans", "P-5",
     """select a.doc_id, a.page, a.seq as a_seq, b.seq as b_seq from {fx_pdf_spans} a join {fx_pdf_spans} b
-    on a.doc_id = b.doc_id and a.page = b.page and b.seq = a.seq + 3
+    on a.doc_id = b.doc_id and a.page = b.page and a.seq < b.seq
     where not (a.x1 <= b.x0 or b.x1 <= a.x0 or a.y1 <= b.y0 or b.y1 <= a.y0)""",
 )
 def overlapping_spans(x: Inputs) -> DataFrame:
-    """Boxes of neighbouring spans of a page (numbers differ by three) that share area."""
-    boxed = lambda r: x.fx_pdf_spans.select(
-        "doc_id", "page", F.col("seq").alias(f"{r}_seq"), *[F.col(e).alias(f"{r}_{e}") for e in ("x0", "y0", "x1", "y1")]
-    )
-    a, b = boxed("a").withColumn("_next", F.col("a_seq") + 3), boxed("b").withColumn("_next", F.col("b_seq"))
-    return a.join(b, ["doc_id", "page", "_next"]).where(pdfspans.rects_overlap("a", "b")).select("doc_id", "page", "a_seq", "b_seq")
+    return pdfspans.overlapping(x.fx_pdf_spans)
 
 
 _KINDS = {
@@ -126,14 +120,14 @@ _PAREN = lambda c, k: f"nullif(regexp_extract({c}, '(?is)/{k}\\s*\\((.*?)\\)', 1
 @query(
     "pdf_open_action", "P-8",
     r"""with cat as (select doc_id, arg_min(object_text, xref) as c from {fx_pdf_refs} where regexp_matches(object_text, '/Type\s*/Catalog\b') group by 1),
-    r as (select doc_id, try_cast(nullif(regexp_extract(c, '(?i)/OpenAction\s+(\d+)\s+\d+\s+R', 1), '') as int) as ref,
+    r as (select doc_id, try_cast(nullif(regexp_extract(c, '(?i)/OpenAction\s+(\d+)\s+\d+\s+R', 1), '') as bigint) as ref,
       nullif(regexp_extract(c, '(?i)/OpenAction\s*<<([\s\S]*?)>>', 1), '') as inl from cat),
     b as (select r.doc_id, r.ref is not null as by_ref, coalesce(case when r.ref is null then inl end, o.object_text) as body
       from r left join {fx_pdf_refs} o on o.doc_id = r.doc_id and o.xref = r.ref where r.ref is not null or inl is not null),"""
     + f"""a as (select doc_id, body, {_ACT('body')} as raw from b),
     k as (select *, case when raw in {in_list(P.PDF_ACTIONS)} then raw else 'Unknown' end as kind from a)
     select doc_id, kind as action_type, raw as action_raw_type, case kind when 'URI' then {_PAREN('body', 'URI')} when 'Launch' then {_PAREN('body', 'F')}
-      when 'JavaScript' then {_PAREN('body', 'JS')}[1:200] when 'GoTo' then 'internal document destination'
+      when 'JavaScript' then {_PAREN('body', 'JS')} when 'GoTo' then 'internal document destination'
       when 'GoToR' then coalesce({_PAREN('body', 'F')}, 'remote document destination') end as action_target from k""",
 )
 def open_action(x: Inputs) -> DataFrame:
@@ -171,17 +165,17 @@ _SCANNED = "select doc_id % 50 as doc_id, doc_id * 4 + page as page, case when d
 
 @query(
     "pdf_text_source", "P-11",
-    "with p as (" + _SCANNED + f"""), n as (select *, row_number() over (partition by doc_id order by page) as rn from p where native_len = 0),
+    "with p as (" + _SCANNED + f"""), n as (select * from p where native_len = 0),
     r as (select doc_id, count(*) filter (trim(ocr_text) <> '') as good, count(*) filter (trim(ocr_text) = '') as bad, sum(length(trim(ocr_text))) as chars
-      from n where rn <= {P.PDF_OCR_PAGES} group by 1),
+      from n group by 1),
     b as (select doc_id, sum(native_len) as native_length, count(*) filter (native_len = 0) as need from p group by 1)
     select b.doc_id, cast(need as bigint) as pages_without_text, need > 0 as ocr_attempted, coalesce(good, 0) as ocr_page_count,
-      cast(coalesce(bad, 0) + case when need > {P.PDF_OCR_PAGES} then 1 else 0 end as bigint) as ocr_errors,
+      cast(coalesce(bad, 0) as bigint) as ocr_errors, need > {P.PDF_OCR_PAGES} as ocr_page_limit_reached,
       case when native_length > 0 and coalesce(chars, 0) > 0 then 'mixed' when native_length > 0 then 'native' when coalesce(chars, 0) > 0 then 'ocr' else 'none' end as text_source
     from b left join r on r.doc_id = b.doc_id""",
 )
 def text_source(x: Inputs) -> DataFrame:
-    return pdfspans.text_source(x.sql(_SCANNED)).select("doc_id", "pages_without_text", "ocr_attempted", "ocr_page_count", "ocr_errors", "text_source")
+    return pdfspans.text_source(x.sql(_SCANNED)).select("doc_id", "pages_without_text", "ocr_attempted", "ocr_page_count", "ocr_errors", "ocr_page_limit_reached", "text_source")
 
 
 _WORDS = "select conv_id as doc_id, turn as page, 0 as base, text from {conversations}"
@@ -216,10 +210,10 @@ def metadata(x: Inputs) -> DataFrame:
 _DOCS = SPANS.rstrip() + ", o as (select *, lower(object_text) as low from {fx_pdf_objects}), fl as (" + _FLAGS + r"""),
 cat as (select doc_id, arg_min(object_text, xref) as c from {fx_pdf_objects} where regexp_matches(object_text, '/Type\s*/Catalog\b') group by 1),
 act as (select doc_id, """ + _ACT("c") + r""" as action_type from cat),
-need as (select *, row_number() over (partition by doc_id order by page) as rn from {fx_pdf_pages} where native_len = 0),
-ocr as (select doc_id, count(*) filter (ocr_text <> '' and rn <= 10) as good, count(*) filter (ocr_text = '' and rn <= 10) as bad from need group by 1),
+need as (select * from {fx_pdf_pages} where native_len = 0),
+ocr as (select doc_id, count(*) filter (ocr_text <> '') as good, count(*) filter (ocr_text = '') as bad from need group by 1),
 pg as (select doc_id, sum(native_len) as native_length from {fx_pdf_pages} group by 1),
-hid as (select doc_id, count(*) as hidden_count, bool_or(regexp_matches(signals, 'prompt-injection|command-execution|credential-request|possible-obfuscation')) as bad_text from kept group by 1),
+hid as (select doc_id, count(*) as hidden_count, bool_or(regexp_matches(signals, 'prompt-injection|command-execution|credential-request|possible-obfuscation')) as bad_text from found group by 1),
 facts as (select fl.*, action_type, coalesce(hidden_count, 0) as hidden_count, coalesce(bad_text, false) as hidden_suspicious,
   case when native_length > 0 and coalesce(good, 0) > 0 then 'mixed' when native_length > 0 then 'native' when coalesce(good, 0) > 0 then 'ocr' else 'none' end as text_source,
   good is not null as ocr_attempted, coalesce(bad, 0) as ocr_errors

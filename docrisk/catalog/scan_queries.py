@@ -196,10 +196,10 @@ def verify_rate(x: Inputs) -> DataFrame:
 
 @query(
     "report_lines", "V-14",
-    D.SPANS + """select doc_id, page, seq, concat('MEDIUM: hidden text found on page ', cast(page as string), ' containing "', text, '".') as line from kept""",
+    D.SPANS + """select doc_id, page, seq, concat('MEDIUM: hidden text found on page ', cast(page as string), ' containing "', text, '".') as line from found""",
 )
 def report_lines(x: Inputs) -> DataFrame:
-    found = pdfspans.capped(pdfspans.findings(x.fx_pdf_spans, x.fx_pdf_pages))
+    found = pdfspans.shown(pdfspans.findings(x.fx_pdf_spans, x.fx_pdf_pages))
     rows = found.select(
         "doc_id", "page", "seq", F.lit("medium").alias("severity"), F.lit("Hidden text").alias("title"),
         F.concat(F.lit("page "), F.col("page").cast("string")).alias("location"), F.col("text").alias("quote"),

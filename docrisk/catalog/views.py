@@ -76,10 +76,11 @@ select conv_id * 1000 + turn as doc_id, case cast((conv_id + turn) % 8 as int)
  else concat('"', role, '"') end as text
 from {conversations}""",
     "fx_line": """
-select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey, max(l_quantity) as l_quantity
-from {lineitem} group by l_orderkey, l_linenumber""",
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+ (cast(l_linenumber as bigint) * 1000000000 + l_partkey) * 1000000 + l_suppkey as line_id
+from {lineitem}""",
     "fx_pdf_spans": """
-select l.l_orderkey as doc_id, 1 + l.l_linenumber % 3 as page, l.l_linenumber as seq, p.phrase as text,
+select l.l_orderkey as doc_id, 1 + l.l_linenumber % 3 as page, l.line_id as seq, p.phrase as text,
  l.l_quantity / 10 as font_size,
  cast((l.l_partkey % 700) - 20 as double) as x0, cast((l.l_suppkey % 900) - 20 as double) as y0,
  cast((l.l_partkey % 700) - 20 as double) + cast(case when l.l_partkey % 13 = 0 then 0.05 else 60 end as double) as x1,
@@ -93,7 +94,7 @@ select distinct l_orderkey as doc_id, 1 + l_linenumber % 3 as page,
  case when l_orderkey % 6 = 0 then 0 else 120 end as native_len
 from {fx_line}""",
     "fx_pdf_objects": """
-select l_orderkey as doc_id, l_linenumber as xref, case cast(l_partkey % 8 as int)
+select l_orderkey as doc_id, line_id as xref, case cast(l_partkey % 8 as int)
  when 0 then '<< /S /JavaScript /JS (app.alert) >>' when 1 then '<< /Type /Page /AA << >> >>'
  when 2 then '<< /S /Launch /F (calc.exe) >>'
  when 3 then '<< /Type /EmbeddedFile /F (a.exe) /Subtype /application#2Fx-sh /Length 10 >>'
@@ -104,10 +105,10 @@ from {fx_line}""",
     # Same objects with catalogs that point at another object of the document.
     "fx_pdf_refs": """
 select doc_id, xref, case when object_text like '%/Catalog%' and doc_id % 2 = 0
- then concat('<< /Type /Catalog /OpenAction ', cast(1 + (xref + doc_id) % 7 as string), ' 0 R >>') else object_text end as object_text
-from {fx_pdf_objects}""",
+ then concat('<< /Type /Catalog /OpenAction ', cast(coalesce(sibling, 7) as string), ' 0 R >>') else object_text end as object_text
+from (select *, lead(xref) over (partition by doc_id order by xref) as sibling from {fx_pdf_objects}) as o""",
     "fx_ooxml_entries": """
-select l_orderkey as doc_id, l_linenumber as seq, case cast(l_partkey % 8 as int)
+select l_orderkey as doc_id, line_id as seq, case cast(l_partkey % 8 as int)
  when 0 then '[Content_Types].xml' when 1 then 'word/document.xml' when 2 then 'word/vbaProject.bin'
  when 3 then 'word/embeddings/oleObject1.bin' when 4 then '../evil.txt' when 5 then 'word/comments.xml'
  when 6 then 'word/media/run.ps1' else 'word/_rels/document.xml.rels' end as name,
@@ -119,12 +120,12 @@ select doc_id, seq, name, size, compressed_size, flag_bits from {fx_ooxml_entrie
 union all select distinct doc_id, 100, '[Content_Types].xml', cast(900 as bigint), cast(400 as bigint), 0 from {fx_ooxml_entries}
 union all select distinct doc_id, 101, 'word/document.xml', cast(9000 as bigint), cast(900 as bigint), 0 from {fx_ooxml_entries}""",
     "fx_ooxml_runs": """
-select l.l_orderkey as doc_id, 'word/document.xml' as part, l.l_linenumber as seq, p.phrase as text,
+select l.l_orderkey as doc_id, 'word/document.xml' as part, l.line_id as seq, p.phrase as text,
  l.l_partkey % 7 = 0 as vanish, case when l.l_partkey % 5 = 0 then 'FFFFFF' else '000000' end as color,
  cast(l.l_quantity as int) as half_points, l.l_suppkey % 11 = 0 as deleted
 from {fx_line} l join {fx_phrases} p on p.k = l.l_suppkey % 16""",
     "fx_ooxml_rels": """
-select l_orderkey as doc_id, l_linenumber as seq,
+select l_orderkey as doc_id, line_id as seq,
  case when l_suppkey % 2 = 0 then 'External' else '' end as target_mode,
  case cast(l_partkey % 4 as int) when 0 then 'https://t.example/a' when 1 then 'file:///c/x.dotm'
   when 2 then concat({BS}, {BS}, 'srv', {BS}, 'share') else 'styles.xml' end as target,
@@ -142,14 +143,14 @@ select o_orderkey as file_id, 8192 + (o_custkey % 5) * 4096 as file_size, (o_cus
  case when o_custkey % 2 = 0 then 4096 else 0 end as cert_offset, 128 as cert_size
 from {orders}""",
     "fx_pe_sections": """
-select l_orderkey as file_id, l_linenumber as idx, concat('.s', cast(l_linenumber as string)) as name,
+select l_orderkey as file_id, line_id as idx, concat('.s', cast(l_linenumber as string)) as name,
  l_linenumber * 4096 as va, 4096 as vsize,
  l_linenumber * 4096 - (case when l_partkey % 11 = 0 then 512 else 0 end) as raw_ptr, 4096 as raw_size,
  case cast(l_partkey % 3 as int) when 0 then 1610612768 when 1 then 3758096416 else 1073741888 end as characteristics,
  cast(65 + l_suppkey % 15 as double) / 10 as entropy
 from {fx_line}""",
     "fx_pe_imports": """
-select l_orderkey as file_id, l_linenumber as seq,
+select l_orderkey as file_id, line_id as seq,
  case when l_suppkey % 2 = 0 then 'kernel32.dll' else 'user32.dll' end as dll,
  case cast(l_partkey % 6 as int) when 0 then 'VirtualAllocEx' when 1 then 'WriteProcessMemory' when 2 then 'WinExec'
   when 3 then 'CreateFileW' when 4 then 'MessageBoxA' else 'ExitProcess' end as function

@@ -9,7 +9,7 @@ from docrisk.functions import patterns as P
 from docrisk.functions import signals as S
 from docrisk.functions.skew import let, top_n
 
-# (reason, confidence it adds)
+# Reasons and signals with the confidence each adds.
 REASONS = {
     "very-small-font": 0.25,
     "near-zero-bounding-box": 0.25,
@@ -52,6 +52,27 @@ def rects_overlap(a: str, b: str) -> Column:
     )
 
 
+def overlapping(spans: DataFrame, cell: float = 128.0) -> DataFrame:
+    """Pairs of spans of a page (a_seq < b_seq) whose boxes share area.
+
+    Boxes meet on the grid cells they touch; a pair counts only in the first cell both touch, so no pair
+    appears twice and nothing has to be made distinct.
+    """
+    lo = lambda e: F.floor(F.col(e) / cell).cast("int")
+
+    def boxed(r: str) -> DataFrame:
+        cells = lambda e: F.sequence(lo(f"{e}0"), F.greatest(lo(f"{e}0"), lo(f"{e}1")))
+        at = spans.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
+        return at.select(
+            "doc_id", "page", "_cx", "_cy", F.col("seq").alias(f"{r}_seq"), *[F.col(e).alias(f"{r}_{e}") for e in ("x0", "y0", "x1", "y1")],
+            lo("x0").alias(f"{r}_cx"), lo("y0").alias(f"{r}_cy"),
+        )
+
+    pairs = boxed("a").join(boxed("b"), ["doc_id", "page", "_cx", "_cy"])
+    first = (F.col("_cx") == F.greatest("a_cx", "b_cx")) & (F.col("_cy") == F.greatest("a_cy", "b_cy"))
+    return pairs.where((F.col("a_seq") < F.col("b_seq")) & first & rects_overlap("a", "b")).select("doc_id", "page", "a_seq", "b_seq")
+
+
 def reasons(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans with hidden-text reasons and their summed confidence.
 
@@ -109,38 +130,31 @@ def findings(spans: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("urls", S.urls(F.col("text"), "pdf"))
         .withColumn("confidence", F.least(F.round(F.col("base_confidence") + _weights("signals", BONUS), 3), F.lit(1.0)))
         .select(
-            "doc_id", "page", "seq", F.substring("text", 1, 1000).alias("text"), F.round("font_size", 3).alias("font_size"),
+            "doc_id", "page", "seq", "text", F.round("font_size", 3).alias("font_size"),
             F.array(*[F.round(c, 2) for c in ("x0", "y0", "x1", "y1")]).alias("bbox"), rgb(F.col("color")).alias("rgb"),
             "reasons", "signals", "hint_levels", "urls", F.round("visible_overlap", 3).alias("visible_overlap"), "confidence",
         )
     )
 
 
-def capped(found: DataFrame) -> DataFrame:
-    """First 100 findings of a document in page and span order."""
-    return top_n(found, ["doc_id"], ["page", "seq"], P.PDF_HIDDEN_CAP, rank="finding_rank")
+def shown(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings for display: all, or the first ``limit`` of a document in page and span order."""
+    return found if limit is None else top_n(found, ["doc_id"], ["page", "seq"], limit)
 
 
 def hidden_summary(found: DataFrame) -> DataFrame:
-    """Per document: what the kept findings show."""
-    return (
-        capped(found.select("doc_id", "page", "seq", "text", "reasons", "signals", "confidence"))
-        .groupBy("doc_id")
-        .agg(
-            F.count(F.lit(1)).alias("hidden_count"),
-            F.max_by("text", F.struct("confidence", -F.col("finding_rank"))).alias("_text"),
-            F.array_sort(F.collect_list(F.struct("finding_rank", "reasons", "signals"))).alias("_f"),
-        )
-        .select(
-            "doc_id",
-            "hidden_count",
-            F.substring(F.regexp_replace("_text", "(?U)\\s+", " "), 1, 220).alias("hidden_preview"),
-            F.slice(F.array_distinct(F.flatten("_f.reasons")), 1, 6).alias("hidden_reasons"),
-            F.slice(F.array_distinct(F.flatten("_f.signals")), 1, 6).alias("hidden_signals"),
-            F.exists(
-                "_f", lambda f: F.arrays_overlap(f["signals"], F.array(*[F.lit(s) for s in P.PDF_HIDDEN_SIGNALS]))
-            ).alias("hidden_suspicious"),
-        )
+    """Per document: what its findings show, all of them, in one aggregate with small partials.
+
+    The sets hold combinations of the fixed reason and signal names, so their size has a bound.
+    """
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    order = F.struct("confidence", -F.col("page"), -F.col("seq"))
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("hidden_count"),
+        F.max_by(F.regexp_replace("text", "(?U)\\s+", " "), order).alias("hidden_preview"),
+        names("reasons").alias("hidden_reasons"),
+        names("signals").alias("hidden_signals"),
+        F.bool_or(F.arrays_overlap("signals", F.array(*[F.lit(s) for s in P.PDF_HIDDEN_SIGNALS]))).alias("hidden_suspicious"),
     )
 
 
@@ -259,7 +273,7 @@ def _action(body: Column) -> Column:
     target = (
         F.when(kind == "URI", F.coalesce(_found(body, r"/URI\s*\((.*?)\)", flags="is"), _hex_text(_found(body, r"/URI\s*<([0-9A-Fa-f]+)>"))))
         .when(kind == "Launch", file)
-        .when(kind == "JavaScript", F.substring(script, 1, 200))
+        .when(kind == "JavaScript", script)
         .when(kind == "GoTo", F.lit("internal document destination"))
         .when(kind == "GoToR", F.coalesce(file, F.lit("remote document destination")))
     )
@@ -270,7 +284,7 @@ def open_action(objects: DataFrame) -> DataFrame:
     """Per document with an open action: type, raw type and target.
 
     The catalog is the lowest xref that says so. An action given by reference is looked up by
-    (doc_id, xref); only the few extracted fields of the objects travel, not their text.
+    (doc_id, xref), and only the objects found are read for its fields.
     """
     text = F.col("object_text")
     catalogs = (
@@ -285,12 +299,12 @@ def open_action(objects: DataFrame) -> DataFrame:
         .where(F.col("_ref").isNotNull() | F.col("_inline").isNotNull())
     )
     inline = catalogs.where(F.col("_ref").isNull()).select("doc_id", _action(F.col("_inline")).alias("a"))
-    targets = objects.where(F.coalesce(text, F.lit("")) != "").select("doc_id", F.col("xref").alias("_ref"), _action(text).alias("a"))
+    targets = objects.where(F.coalesce(text, F.lit("")) != "").select("doc_id", F.col("xref").alias("_ref"), "object_text")
     unknown = F.struct(F.lit(None).cast("string").alias("raw_type"), F.lit("Unknown").alias("type"), F.lit(None).cast("string").alias("target"))
     by_ref = (
         catalogs.where(F.col("_ref").isNotNull())
         .join(targets, ["doc_id", "_ref"], "left")
-        .select("doc_id", F.coalesce("a", unknown).alias("a"))
+        .select("doc_id", F.when(F.col("object_text").isNull(), unknown).otherwise(_action(F.col("object_text"))).alias("a"))
     )
     return inline.unionByName(by_ref).select(
         "doc_id", F.col("a.type").alias("action_type"), F.col("a.raw_type").alias("action_raw_type"), F.col("a.target").alias("action_target")
@@ -320,10 +334,7 @@ def page_urls(pages: DataFrame) -> DataFrame:
 
 
 def text_source(pages: DataFrame, ocr_available: bool = True) -> DataFrame:
-    """Per document: where its text comes from and how OCR went.
-
-    Only the first 10 pages without native text are read by OCR.
-    """
+    """Per document: where its text comes from and how OCR went, over all pages without native text."""
     needing = pages.where(F.coalesce("native_len", F.lit(0)) == 0).select(
         "doc_id", "page", F.length(F.trim(F.coalesce("ocr_text", F.lit("")))).alias("_len")
     )
@@ -333,8 +344,7 @@ def text_source(pages: DataFrame, ocr_available: bool = True) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     if ocr_available:
         read = (
-            top_n(needing, ["doc_id"], ["page"], P.PDF_OCR_PAGES)
-            .groupBy("doc_id")
+            needing.groupBy("doc_id")
             .agg(
                 F.count_if(F.col("_len") > 0).alias("ocr_page_count"),
                 F.count_if(F.col("_len") == 0).alias("_failed"),
@@ -343,7 +353,8 @@ def text_source(pages: DataFrame, ocr_available: bool = True) -> DataFrame:
         )
         out = base.join(read, "doc_id", "left").select(
             "*",
-            (F.coalesce("_failed", zero) + F.when(F.col("pages_without_text") > P.PDF_OCR_PAGES, 1).otherwise(0)).alias("ocr_errors"),
+            F.coalesce("_failed", zero).alias("ocr_errors"),
+            (F.col("pages_without_text") > P.PDF_OCR_PAGES).alias("ocr_page_limit_reached"),
             # Page texts are joined with one line feed.
             F.coalesce(F.col("_chars") + F.greatest(F.col("ocr_page_count") - 1, zero), zero).alias("ocr_length"),
         ).withColumn("ocr_page_count", F.coalesce("ocr_page_count", zero)).drop("_failed", "_chars")
@@ -352,6 +363,7 @@ def text_source(pages: DataFrame, ocr_available: bool = True) -> DataFrame:
             base.withColumn("ocr_page_count", zero)
             .withColumn("ocr_errors", F.when(F.col("pages_without_text") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
             .withColumn("ocr_length", zero)
+            .withColumn("ocr_page_limit_reached", F.lit(False))
         )
     return (
         out.withColumn("ocr_available", F.lit(ocr_available))
@@ -369,7 +381,7 @@ def text_source(pages: DataFrame, ocr_available: bool = True) -> DataFrame:
 def ocr_text(words: DataFrame) -> DataFrame:
     """Page text from OCR words (doc_id, page, seq, word): blanks dropped, joined in order.
 
-    A page is bounded by what one image can hold, so its words fit one row.
+    The result is one text per page, so the words of a page meet in one row.
     """
     return (
         words.where(F.trim(F.coalesce("word", F.lit(""))) != "")
