@@ -110,7 +110,7 @@ from (select *, lead(xref) over (partition by doc_id order by xref) as sibling f
     "fx_ooxml_entries": """
 select l_orderkey as doc_id, line_id as seq, case cast(l_partkey % 8 as int)
  when 0 then '[Content_Types].xml' when 1 then 'word/document.xml' when 2 then 'word/vbaProject.bin'
- when 3 then 'word/embeddings/oleObject1.bin' when 4 then '../evil.txt' when 5 then 'word/comments.xml'
+ when 3 then case when l_partkey % 5 = 0 then 'word/embeddings/run.exe' else 'word/embeddings/oleObject1.bin' end when 4 then '../evil.txt' when 5 then 'word/comments.xml'
  when 6 then 'word/media/run.ps1' else 'word/_rels/document.xml.rels' end as name,
  l_partkey * 5000 as size, 1 + (l_suppkey * 500) as compressed_size, cast(l_suppkey % 2 as int) as flag_bits
 from {fx_line}""",
@@ -120,9 +120,10 @@ select doc_id, seq, name, size, compressed_size, flag_bits from {fx_ooxml_entrie
 union all select distinct doc_id, 100, '[Content_Types].xml', cast(900 as bigint), cast(400 as bigint), 0 from {fx_ooxml_entries}
 union all select distinct doc_id, 101, 'word/document.xml', cast(9000 as bigint), cast(900 as bigint), 0 from {fx_ooxml_entries}""",
     "fx_ooxml_runs": """
-select l.l_orderkey as doc_id, 'word/document.xml' as part, l.line_id as seq, p.phrase as text,
+select l.l_orderkey as doc_id, 'word/document.xml' as part, l.line_id as seq, case when l.l_orderkey % 13 = 0 then '' else p.phrase end as text,
  l.l_partkey % 7 = 0 as vanish, case when l.l_partkey % 5 = 0 then 'FFFFFF' else '000000' end as color,
- cast(l.l_quantity as int) as half_points, l.l_suppkey % 11 = 0 as deleted
+ cast(l.l_quantity as int) as half_points, l.l_suppkey % 11 = 0 as deleted,
+ l.l_suppkey % 11 = 0 and l.l_partkey % 2 = 0 or l.l_partkey % 17 = 0 as revision
 from {fx_line} l join {fx_phrases} p on p.k = l.l_suppkey % 16""",
     "fx_ooxml_rels": """
 select l_orderkey as doc_id, line_id as seq,
@@ -131,10 +132,14 @@ select l_orderkey as doc_id, line_id as seq,
   when 2 then concat({BS}, {BS}, 'srv', {BS}, 'share') else 'styles.xml' end as target,
  case when l_partkey % 3 = 0 then 'http://x/relationships/attachedTemplate' else 'http://x/relationships/hyperlink' end as rel_type
 from {fx_line}""",
-    # Web pages read as XML parts of 40 packages.
+    # XML parts of 120 packages: well formed ones with the page's address, others that break off or are web pages.
     "fx_xml_parts": """
-select page_id % 40 as doc_id, page_id as seq, concat('word/p', cast(page_id as string), '.xml') as name,
- cast(length(html) * 3000 as bigint) as size, html as xml
+select page_id % 120 as doc_id, page_id as seq, concat('word/p', cast(page_id as string), '.xml') as name,
+ cast(case when page_id % 7 = 0 and page_id % 3 = 0 then length(html) * 3000 else length(html) end as bigint) as size,
+ case when page_id % 120 < 60 then concat('<w:document xmlns:w="u"><w:t>', replace(url, '&', '&amp;'), '</w:t></w:document>')
+  when page_id % 120 < 90 then concat('<w:document xmlns:w="u"><w:t>', cast(page_id as string), case when page_id > 700 then '</w:document>' else '</w:t></w:document>' end)
+  else html end as xml,
+ page_id % 120 >= 90 or (page_id % 120 >= 60 and page_id > 700) as broken
 from {pages}""",
     "fx_pe_headers": """
 select o_orderkey as file_id, 8192 + (o_custkey % 5) * 4096 as file_size, (o_custkey % 9) * 2048 as entry_point,

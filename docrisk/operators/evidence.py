@@ -46,10 +46,11 @@ def _in(values: Sequence[str]) -> str:
     return "array(" + ",".join(f"'{v}'" for v in values) + ")"
 
 
-def _joined(col: str, n: int) -> str:
-    return f"array_join(slice({col}, 1, {n}), ', ')"
+def _joined(col: str) -> str:
+    return f"array_join({col}, ', ')"
 
 
+# Rule ids, categories, sources and scores.
 GENERIC = (
     Rule("G-1", "extension_mismatch", "file-type", "high", 15, "magic-byte-analysis", "Name and content disagree",
          "format_string('named %s, content is %s', extension, detected_type)"),
@@ -119,21 +120,22 @@ DOCX = (
     Rule("OD-2", "supported and size(warnings) > 0", "docx-package",
          f"if(arrays_overlap(warnings, {_in(P.DOCX_SEVERE_WARNINGS)}), 'high', 'medium')",
          f"if(arrays_overlap(warnings, {_in(P.DOCX_SEVERE_WARNINGS)}), 18, 7)", "docx-package-analysis", "Package warnings",
-         _joined("warnings", 8)),
+         _joined("warnings")),
     Rule("OD-3", "supported and hidden_count > 0", "docx-hidden-content", "if(hidden_suspicious, 'high', 'medium')", "if(hidden_suspicious, 22, 8)",
          "docx-hidden-text-analysis", "Hidden runs",
          "format_string('%d run(s); formatting: %s; content: %s; examples: %s', hidden_count, array_join(hidden_reasons, ', '), "
-         "array_join(hidden_signals, ', '), array_join(transform(hidden_previews, p -> substring(p, 1, 140)), '; '))"),
-    Rule("OD-4", "supported and size(urls) > 0", "docx-links", "low", 2, "docx-relationship-analysis", "Links", "format_string('%d URL(s)', size(urls))"),
+         "array_join(hidden_signals, ', '), hidden_preview)"),
+    Rule("OD-4", "supported and url_count > 0", "docx-links", "low", 2, "docx-relationship-analysis", "Links", "format_string('%d URL(s)', url_count)"),
     Rule("OD-5", "supported and file_targets > 0", "docx-external-content", "high", 18, "docx-relationship-analysis", "External file or network path",
          "format_string('%d target(s)', file_targets)"),
     Rule("OD-6", "supported and has_external_template", "docx-external-content", "medium", 8, "docx-relationship-analysis", "External template"),
-    Rule("OD-7", "supported and size(embedded_objects) > 0", "docx-embedded-content", "if(embedded_executable, 'high', 'medium')",
-         "if(embedded_executable, 25, 6)", "docx-embedded-object-analysis", "Embedded objects", _joined("embedded_objects", 5)),
-    Rule("OD-8", "supported and size(macro_parts) > 0", "docx-macros", "high", 20, "docx-package-analysis", "Macro project",
-         "format_string('%d part(s)', size(macro_parts))"),
+    Rule("OD-7", "supported and embedded_count > 0", "docx-embedded-content", "if(embedded_executable, 'high', 'medium')",
+         "if(embedded_executable, 25, 6)", "docx-embedded-object-analysis", "Embedded objects",
+         "format_string('%d object(s), first: %s', embedded_count, embedded_example)"),
+    Rule("OD-8", "supported and macro_count > 0", "docx-macros", "high", 20, "docx-package-analysis", "Macro project",
+         "format_string('%d part(s)', macro_count)"),
     Rule("OD-9", f"supported and arrays_overlap(indicators, {_in(P.DOCX_REPORTED_INDICATORS)})", "docx-content-indicators", "high", 15,
-         "docx-content-analysis", "Content indicators", _joined(f"array_intersect(indicators, {_in(P.DOCX_REPORTED_INDICATORS)})", 10)),
+         "docx-content-analysis", "Content indicators", _joined(f"array_intersect(indicators, {_in(P.DOCX_REPORTED_INDICATORS)})")),
     Rule("OD-10", "supported and has_tracked_changes", "docx-document-structure", "low", 1, "docx-xml-analysis", "Tracked changes"),
     Rule("OD-11", "supported and has_comments", "docx-document-structure", "low", 1, "docx-xml-analysis", "Comments"),
     Rule("OD-12", "supported and text_length = 0", "docx-content", "medium", 5, "docx-xml-analysis", "No readable text"),

@@ -40,6 +40,10 @@ def entry_rollup(entries: DataFrame) -> DataFrame:
             F.sum(F.greatest(F.col("size"), F.lit(0)).cast("bigint")).alias("uncompressed_size"),
             F.count_if(_is_xml(F.col("name"))).alias("xml_parts"),
             F.bool_or(_ends_with_any(F.col("name"), P.DOCX_EXECUTABLE)).alias("has_executable_entry"),
+            F.count_distinct(F.when(is_macro(F.col("name")), F.col("name"))).alias("macro_count"),
+            F.count_if(is_embedded(F.col("name"))).alias("embedded_count"),
+            F.bool_or(is_embedded(F.col("name")) & _ends_with_any(F.col("name"), P.DOCX_EXECUTABLE)).alias("embedded_executable"),
+            F.min_by(F.when(is_embedded(F.col("name")), F.col("name")), F.when(is_embedded(F.col("name")), F.struct("seq", "name"))).alias("embedded_example"),
             F.bool_or(commented).alias("has_comments"),
             *[F.bool_or(F.col("name") == p).alias(f"_has{i}") for i, p in enumerate(P.DOCX_REQUIRED)],
             *[F.bool_or(F.array_contains("warnings", w)).alias(f"_w{k}") for k, w in enumerate(ENTRY_WARNINGS)],
@@ -50,6 +54,10 @@ def entry_rollup(entries: DataFrame) -> DataFrame:
             "uncompressed_size",
             "xml_parts",
             "has_executable_entry",
+            "macro_count",
+            "embedded_count",
+            "embedded_executable",
+            "embedded_example",
             "has_comments",
             S.compacted(
                 F.array(*[F.when(~F.col(f"_has{i}"), F.lit(p)) for i, p in enumerate(P.DOCX_REQUIRED)])
@@ -109,55 +117,30 @@ def entry_warnings(entries: DataFrame) -> DataFrame:
     )
 
 
+def is_macro(name: Column) -> Column:
+    return F.contains(F.lower(name), F.lit("vbaproject.bin"))
+
+
+def is_embedded(name: Column) -> Column:
+    lower = F.lower(name)
+    return lower.startswith("word/embeddings/") | F.contains(lower, F.lit("/embeddings/"))
+
+
 def macro_parts(entries: DataFrame) -> DataFrame:
-    """Per package with macros: distinct macro part names, first 100 in archive order."""
-    named = entries.where(F.contains(F.lower("name"), F.lit("vbaproject.bin"))).select(
-        "doc_id", "seq", F.substring("name", 1, 240).alias("name")
-    )
-    return (
-        top_n(named.groupBy("doc_id", "name").agg(F.min("seq").alias("seq")), ["doc_id"], ["seq", "name"], P.DOCX_LIST_CAP)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("_m"))
-        .select("doc_id", F.col("_m.name").alias("macro_parts"))
-    )
+    """Distinct macro part names as rows (doc_id, name, seq of the first)."""
+    return entries.where(is_macro(F.col("name"))).groupBy("doc_id", "name").agg(F.min("seq").alias("seq"))
 
 
 def embedded_objects(entries: DataFrame) -> DataFrame:
-    """Per package with embedded objects: names, first 100 in archive order, and whether one can run."""
-    lower = F.lower("name")
-    inside = entries.where(lower.startswith("word/embeddings/") | F.contains(lower, F.lit("/embeddings/"))).select(
-        "doc_id",
-        "seq",
-        F.substring("name", 1, 240).alias("name"),
-        _ends_with_any(F.col("name"), P.DOCX_EXECUTABLE).alias("is_executable"),
-    )
-    return (
-        top_n(inside, ["doc_id"], ["seq", "name"], P.DOCX_LIST_CAP)
-        .groupBy("doc_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("_e"),
-            F.bool_or("is_executable").alias("embedded_executable"),
-        )
-        .select("doc_id", F.col("_e.name").alias("embedded_objects"), "embedded_executable")
+    """Embedded objects as rows, with whether one can run."""
+    return entries.where(is_embedded(F.col("name"))).select(
+        "doc_id", "seq", "name", _ends_with_any(F.col("name"), P.DOCX_EXECUTABLE).alias("is_executable")
     )
 
 
 def components(entries: DataFrame) -> DataFrame:
-    """Macro parts, embedded objects and executable-like entries of every package."""
-    none = F.array().cast("array<string>")
-    return (
-        entry_rollup(entries)
-        .select("doc_id", "has_executable_entry")
-        .join(macro_parts(entries), "doc_id", "left")
-        .join(embedded_objects(entries), "doc_id", "left")
-        .select(
-            "doc_id",
-            "has_executable_entry",
-            F.coalesce("macro_parts", none).alias("macro_parts"),
-            F.coalesce("embedded_objects", none).alias("embedded_objects"),
-            F.coalesce("embedded_executable", F.lit(False)).alias("embedded_executable"),
-        )
-    )
+    """Per package: macro parts, embedded objects and executable-like entries as counts and flags."""
+    return entry_rollup(entries).select("doc_id", "has_executable_entry", "macro_count", "embedded_count", "embedded_executable")
 
 
 def part_counts(entries: DataFrame) -> DataFrame:
@@ -168,24 +151,21 @@ def part_counts(entries: DataFrame) -> DataFrame:
     )
 
 
+def is_malformed(xml: Column) -> Column:
+    """True where a strict XML parse fails or the text declares a document type or entity; null text is unreadable."""
+    broken = F.from_xml(xml, "_none string, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return xml.isNull() | F.rlike(F.lower(xml), F.lit("<!doctype|<!entity")) | broken["_broken"].isNotNull()
+
+
 def part_warnings(parts: DataFrame) -> DataFrame:
-    """Warnings on XML parts (doc_id, seq, name, size, xml), reading the first 300 of a package only."""
-    xml = parts.where(_is_xml(F.col("name"))).select(
-        "doc_id",
-        "seq",
-        (F.col("size") > P.DOCX_ENTRY_LIMIT).alias("too_large"),
-        F.rlike(F.lower(F.substring("xml", 1, 4096)), F.lit("<!doctype|<!entity")).alias("has_dtd"),
+    """Warnings on the XML parts (doc_id, name, size, xml) of each package, over all parts and whole texts."""
+    large = F.col("size") > P.DOCX_ENTRY_LIMIT
+    seen = parts.where(_is_xml(F.col("name"))).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("xml_parts"),
+        F.bool_or(large).alias("_large"),
+        F.bool_or(F.when(large, F.lit(False)).otherwise(is_malformed(F.col("xml")))).alias("_bad"),
     )
-    count = xml.groupBy("doc_id").agg(F.count(F.lit(1)).alias("xml_parts"))
-    seen = (
-        top_n(xml, ["doc_id"], ["seq"], P.DOCX_MAX_XML_PARTS)
-        .groupBy("doc_id")
-        .agg(
-            F.bool_or("too_large").alias("_large"),
-            F.bool_or(~F.col("too_large") & F.coalesce("has_dtd", F.lit(False))).alias("_bad"),
-        )
-    )
-    return count.join(seen, "doc_id").select(
+    return seen.select(
         "doc_id",
         "xml_parts",
         S.compacted(
@@ -202,42 +182,27 @@ def is_file_target(target: Column) -> Column:
     return S.hit(target, P.DOCX_EXTERNAL_PATH, "i")
 
 
-def external_rels(rels: DataFrame) -> DataFrame:
-    """Per document: external relationships (first 100 kept), URL targets and flags."""
-    ext = rels.where(F.lower("target_mode") == "external").select(
+def external_targets(rels: DataFrame) -> DataFrame:
+    """External relationships as rows: trimmed target and what it is."""
+    target = S.strip(F.col("target"))
+    return rels.where(F.lower("target_mode") == "external").select(
         "doc_id",
         "seq",
-        "target",
-        is_file_target(F.col("target")).alias("is_file"),
-        S.hit(F.col("target"), "^https?://", "i").alias("is_url"),
+        target.alias("target"),
+        is_file_target(target).alias("is_file"),
+        S.hit(target, "^https?://", "i").alias("is_url"),
         F.contains(F.lower("rel_type"), F.lit("attachedtemplate")).alias("is_template"),
     )
-    flags = ext.groupBy("doc_id").agg(
+
+
+def external_rels(rels: DataFrame) -> DataFrame:
+    """Per document: counts and flags of its external relationships; the targets themselves stay rows."""
+    return external_targets(rels).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("external_count"),
+        F.count_if("is_file").alias("file_targets"),
         F.bool_or("is_file").alias("has_file_target"),
         F.bool_or("is_template").alias("has_external_template"),
-    )
-    kept = (
-        top_n(ext.select("doc_id", "seq", F.substring("target", 1, 500).alias("target"), "is_file"), ["doc_id"], ["seq", "target"], P.DOCX_LIST_CAP)
-        .groupBy("doc_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("seq", "target"))).alias("_r"),
-            F.count_if("is_file").alias("file_targets"),
-        )
-        .select("doc_id", F.col("_r.target").alias("external_targets"), "file_targets")
-    )
-    urls = (
-        top_n(
-            ext.where("is_url").groupBy("doc_id", F.substring("target", 1, 1000).alias("url")).agg(F.min("seq").alias("seq")),
-            ["doc_id"], ["seq", "url"], P.DOCX_LIST_CAP,
-        )
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    )
-    return (
-        flags.join(kept, "doc_id", "left")
-        .join(urls, "doc_id", "left")
-        .withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
+        F.count_distinct(F.when(F.col("is_url"), F.col("target"))).alias("url_count"),
     )
 
 
@@ -257,36 +222,22 @@ def hidden_reasons(runs: DataFrame) -> DataFrame:
 
 
 def inspect_runs(runs: DataFrame) -> DataFrame:
-    """Runs with reasons and content signals; a single narrow pass feeds every run operator."""
+    """Runs with reasons and content signals; a single narrow pass feeds every run operator.
+
+    ``revision`` marks insertions, deletions and moves; field instructions are ``deleted`` without it.
+    """
+    body = runs if "revision" in runs.columns else runs.withColumn("revision", F.lit(False))
     return (
-        hidden_reasons(runs.where(S.hit(F.col("part"), P.DOCX_TEXT_PART, "i")))
+        hidden_reasons(body.where(S.hit(F.col("part"), P.DOCX_TEXT_PART, "i")))
         .withColumn("signals", S.docx_signals(F.col("text")))
         .withColumn("is_hidden", F.size("reasons") > 0)
     )
 
 
-def hidden_runs(inspected: DataFrame) -> DataFrame:
-    """Hidden runs, first 100 per document in reading order."""
-    kept = inspected.where("is_hidden").select(
-        "doc_id", "part", "seq", F.substring(S.normalize(F.col("text")), 1, 240).alias("preview"), "reasons", "signals"
-    )
-    return top_n(kept, ["doc_id"], ["part", "seq"], P.DOCX_LIST_CAP, rank="hidden_rank")
-
-
-def hidden_shown(inspected: DataFrame) -> DataFrame:
-    """Per document with hidden runs: what the kept 100 show."""
-    return (
-        hidden_runs(inspected)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("hidden_rank", "preview", "reasons", "signals"))).alias("_h"))
-        .select(
-            "doc_id",
-            F.slice(F.array_distinct(F.flatten("_h.reasons")), 1, 8).alias("hidden_reasons"),
-            F.slice(F.array_distinct(F.flatten("_h.signals")), 1, 8).alias("hidden_signals"),
-            F.slice("_h.preview", 1, 2).alias("hidden_previews"),
-            F.exists("_h", lambda h: F.arrays_overlap(h["signals"], _texts(P.DOCX_HIDDEN_SIGNALS))).alias("hidden_suspicious"),
-        )
-    )
+def hidden_runs(inspected: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hidden runs: all, or for display the first ``limit`` per document in reading order."""
+    kept = inspected.where("is_hidden").select("doc_id", "part", "seq", S.normalize(F.col("text")).alias("preview"), "reasons", "signals")
+    return kept if limit is None else top_n(kept, ["doc_id"], ["part", "seq"], limit)
 
 
 def _texts(values: tuple[str, ...]) -> Column:
@@ -299,25 +250,35 @@ RUN_INDICATORS = (
 
 
 def run_rollup(inspected: DataFrame) -> DataFrame:
-    """Text length, hidden count and indicator flags in one aggregation with small partials.
+    """Text length, hidden runs and indicator flags in one aggregation with small partials.
 
-    The text cap needs no ordering: the sum alone tells whether it is reached.
+    The sets hold combinations of the fixed reason and signal names, so their size has a bound.
     """
+    hidden = lambda c: F.when(F.col("is_hidden"), c)
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(hidden(F.col(c))))))
     return (
         inspected.groupBy("doc_id")
         .agg(
             F.sum(F.length("text").cast("bigint")).alias("_chars"),
             F.count_if("is_hidden").alias("hidden_count"),
-            F.bool_or(F.coalesce("deleted", F.lit(False))).alias("has_tracked_changes"),
+            F.bool_or(F.coalesce("revision", F.lit(False))).alias("has_tracked_changes"),
+            names("reasons").alias("hidden_reasons"),
+            names("signals").alias("hidden_signals"),
+            F.min_by(hidden(S.normalize(F.col("text"))), hidden(F.struct("part", "seq"))).alias("hidden_preview"),
+            F.bool_or(F.col("is_hidden") & F.arrays_overlap("signals", _texts(P.DOCX_HIDDEN_SIGNALS))).alias("hidden_suspicious"),
             F.bool_or(F.col("is_hidden") & (F.size("signals") > 0)).alias("_hidden"),
             *[F.bool_or(F.array_contains("signals", n)).alias(f"_i{k}") for k, n in enumerate(RUN_INDICATORS)],
         )
         .select(
             "doc_id",
-            F.least("_chars", F.lit(P.DOCX_MAX_TEXT)).alias("text_length"),
+            F.col("_chars").alias("text_length"),
             (F.col("_chars") > P.DOCX_MAX_TEXT).alias("text_limit_reached"),
             "hidden_count",
             "has_tracked_changes",
+            "hidden_reasons",
+            "hidden_signals",
+            "hidden_preview",
+            "hidden_suspicious",
             F.array_sort(
                 S.compacted(
                     F.array(
@@ -331,7 +292,7 @@ def run_rollup(inspected: DataFrame) -> DataFrame:
 
 
 def text_stats(runs: DataFrame) -> DataFrame:
-    """Text length over body parts, capped, and whether the cap was reached."""
+    """Text length over body parts, and whether it is above the limit."""
     return run_rollup(inspect_runs(runs)).select("doc_id", "text_length", "text_limit_reached")
 
 
@@ -358,11 +319,8 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
     seen = inspect_runs(runs)
     out = (
         entry_rollup(entries)
-        .join(macro_parts(entries), "doc_id", "left")
-        .join(embedded_objects(entries), "doc_id", "left")
         .join(external_rels(rels), "doc_id", "left")
         .join(run_rollup(seen), "doc_id", "left")
-        .join(hidden_shown(seen), "doc_id", "left")
     )
     if parts is not None:
         out = out.join(part_warnings(parts).select("doc_id", F.col("warnings").alias("_parts")), "doc_id", "left")
@@ -386,8 +344,8 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
                 S.compacted(
                     F.array(
                         F.when(no(F.col("has_executable_entry")), F.lit("executable-or-script-like-package-entry")),
-                        F.when(F.size("macro_parts") > 0, F.lit("macro-related-component-detected")),
-                        F.when(F.size("embedded_objects") > 0, F.lit("embedded-objects-present")),
+                        F.when(F.col("macro_count") > 0, F.lit("macro-related-component-detected")),
+                        F.when(F.col("embedded_count") > 0, F.lit("embedded-objects-present")),
                         F.when(no(F.col("has_file_target")), F.lit("external-file-or-network-path")),
                     )
                 ),
@@ -405,14 +363,15 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
         keep(zero(F.col("hidden_count")), F.lit(0)).alias("hidden_count"),
         keep(F.coalesce("hidden_reasons", none), none).alias("hidden_reasons"),
         keep(F.coalesce("hidden_signals", none), none).alias("hidden_signals"),
-        keep(F.coalesce("hidden_previews", none), none).alias("hidden_previews"),
+        keep(F.coalesce("hidden_preview", F.lit("")), F.lit("")).alias("hidden_preview"),
         keep(no(F.col("hidden_suspicious")), F.lit(False)).alias("hidden_suspicious"),
-        keep(F.coalesce("urls", none), none).alias("urls"),
-        keep(F.coalesce("external_targets", none), none).alias("external_targets"),
+        keep(zero(F.col("url_count")), F.lit(0)).alias("url_count"),
+        keep(zero(F.col("external_count")), F.lit(0)).alias("external_count"),
         keep(zero(F.col("file_targets")), F.lit(0)).alias("file_targets"),
-        keep(F.coalesce("embedded_objects", none), none).alias("embedded_objects"),
+        keep(F.col("embedded_count"), F.lit(0)).alias("embedded_count"),
         keep(no(F.col("embedded_executable")), F.lit(False)).alias("embedded_executable"),
-        keep(F.coalesce("macro_parts", none), none).alias("macro_parts"),
+        keep(F.coalesce("embedded_example", F.lit("")), F.lit("")).alias("embedded_example"),
+        keep(F.col("macro_count"), F.lit(0)).alias("macro_count"),
         keep(found, none).alias("indicators"),
         F.when(supported, warnings).otherwise(F.array(F.col("limit_warning"))).alias("warnings"),
         keep(no(F.col("has_comments")), F.lit(False)).alias("has_comments"),

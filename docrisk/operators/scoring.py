@@ -76,8 +76,8 @@ def docx_review_indicators(f: str) -> Column:
         ~F.coalesce(c("supported"), F.lit(False))
         | (F.size(c("warnings")) > 0)
         | (c("hidden_count") > 0)
-        | (F.size(c("embedded_objects")) > 0)
-        | (F.size(c("macro_parts")) > 0)
+        | (c("embedded_count") > 0)
+        | (c("macro_count") > 0)
         | c("has_external_template")
         | (F.size(c("indicators")) > 0)
     )
