@@ -15,9 +15,9 @@ from docrisk.operators import binary, evidence, scoring
 
 @query(
     "exe_strings", "B-1",
-    f"""with s as (select doc_id, list_slice(list_distinct_keep, 1, {P.EXE_MAX_STRINGS}) as strings from (
+    f"""with s as (select doc_id, list_distinct_keep as strings from (
       select doc_id, list_transform(list_filter(list_zip(c, range(1, len(c) + 1)), lambda p: list_position(c, p[1]) = p[2]), lambda p: p[1]) as list_distinct_keep from (
-        select doc_id, list_filter(list_transform(regexp_extract_all(text, '[\\x20-\\x7e]{{{{5,}}}}'), lambda v: trim(v)[1:{P.EXE_STRING_CUT}]), lambda v: v <> '') as c from {{fx_seeded}})))
+        select doc_id, list_filter(list_transform(regexp_extract_all(text, '[\\x20-\\x7e]{{{{5,}}}}'), lambda v: trim(v)), lambda v: v <> '') as c from {{fx_seeded}})))
     select doc_id, len(strings) as string_count, sha256(array_to_string(strings, chr(10))) as strings_sha from s""",
 )
 def strings(x: Inputs) -> DataFrame:
@@ -27,7 +27,7 @@ def strings(x: Inputs) -> DataFrame:
 
 @query(
     "exe_wide_strings", "B-1",
-    """select conv_id, turn, trim(role)[1:256] as wide from {conversations} where length(trim(role)) >= 5""",
+    """select conv_id, turn, trim(role) as wide from {conversations} where length(trim(role)) >= 5""",
 )
 def wide_strings(x: Inputs) -> DataFrame:
     """UTF-16LE runs between zero bytes: the role of every turn."""
@@ -100,11 +100,12 @@ def entry_point(x: Inputs) -> DataFrame:
       from {fx_pe_headers} h join {fx_pe_sections} s on s.file_id = h.file_id
       where h.entry_point >= va and h.entry_point < va + least(case when vsize > 0 then vsize else raw_size end, raw_size)),
     d as (select distinct h.file_id from {fx_pe_headers} h join {fx_pe_sections} s on s.file_id = h.file_id)
-    select d.file_id, case when raw_ptr <= file_size and rva - va + raw_ptr < file_size then cast(rva - va + raw_ptr as bigint) end as file_offset
-    from d left join m on m.file_id = d.file_id and rn = 1""",
+    select d.file_id, case when m.file_id is null then case when h.entry_point < least(h.header_end, h.file_size) then cast(h.entry_point as bigint) end
+      when raw_ptr <= m.file_size and rva - va + raw_ptr < m.file_size then cast(rva - va + raw_ptr as bigint) end as file_offset
+    from d join {fx_pe_headers} h on h.file_id = d.file_id left join m on m.file_id = d.file_id and rn = 1""",
 )
 def rva_to_offset(x: Inputs) -> DataFrame:
-    return binary.rva_to_offset(_with_headers(x), "entry_point").select("file_id", "file_offset")
+    return binary.rva_to_offset(_with_headers(x), "entry_point", header_end="header_end").select("file_id", "file_offset")
 
 
 @query("exe_sensitive_imports", "B-8", f"select file_id, seq, dll, function from {{fx_pe_imports}} where lower(function) in {in_list(P.SENSITIVE_APIS)}")
@@ -122,13 +123,13 @@ def behaviours(x: Inputs) -> DataFrame:
     return binary.behaviours(held).select("doc_id", F.array_join("indicators", ",").alias("indicators"), F.array_join("urls", " ").alias("urls"))
 
 
-_OVERLAY = """select h.file_id, cast(greatest(0, any_value(file_size) - least(max(raw_ptr + raw_size), any_value(file_size))) as bigint) as overlay_size
+_OVERLAY = """select h.file_id, cast(greatest(0, any_value(file_size) - least(greatest(max(raw_ptr + raw_size), any_value(header_end)), any_value(file_size))) as bigint) as overlay_size
  from {fx_pe_headers} h join {fx_pe_sections} s on s.file_id = h.file_id group by 1"""
 
 
 @query("exe_overlay", "B-10", _OVERLAY)
 def overlay(x: Inputs) -> DataFrame:
-    return binary.overlay(_with_headers(x)).select("file_id", "overlay_size")
+    return binary.overlay(_with_headers(x), header_end="header_end").select("file_id", "overlay_size")
 
 
 _CERT = "cert_offset > 0 and cert_size > 0 and cert_offset + cert_size <= file_size"
@@ -153,27 +154,25 @@ _BIG = "select file_id % 20 as file_id, file_id * 8 + seq as seq, dll, concat(fu
 
 @query(
     "exe_imports", "B-13",
-    f"""with k as (select * from ({_BIG}) qualify row_number() over (partition by file_id order by seq) <= {P.EXE_MAX_FUNCTIONS})
-    select file_id, dll, count(*) as functions, sha256(string_agg(function, ',' order by seq)) as functions_sha from k group by 1, 2""",
+    f"select file_id, dll, count(*) as functions, count(distinct function) as distinct_functions from ({_BIG}) group by 1, 2",
 )
 def imports(x: Inputs) -> DataFrame:
-    return binary.imports(x.sql(_BIG)).select(
-        "file_id", "dll", F.size("functions").cast("bigint").alias("functions"), F.sha2(F.array_join("functions", ","), 256).alias("functions_sha")
-    )
+    return binary.imports(x.sql(_BIG))
 
 
 FACTS = f"""with s as (select file_id, count(*) as section_count, max(raw_ptr + raw_size) as last_end, count(*) filter (entropy >= {P.EXE_ENTROPY} and raw_size >= {P.EXE_ENTROPY_SIZE}) as packed,
     count(*) filter ({_X} and {_W}) as wx from {{fx_pe_sections}} group by 1),
 ov as ({_OVERLAPS}), rr as (select h.file_id, bool_and(raw_size = 0 or raw_ptr + raw_size <= file_size) as fits from {{fx_pe_headers}} h join {{fx_pe_sections}} s on s.file_id = h.file_id group by 1),
 ep as ({_OUTSIDE}),
-im as (select file_id, count(*) as n, bool_or(lower(function) in {in_list(P.INJECTION_APIS)}) as inject from {{fx_pe_imports}} where lower(function) in {in_list(P.SENSITIVE_APIS)} group by 1),
+ic as (select file_id, count(*) as imports from {{fx_pe_imports}} group by 1),
+im as (select file_id, count(*) as n, string_agg(distinct lower(function), ',' order by lower(function)) as api, bool_or(lower(function) in {in_list(P.INJECTION_APIS)}) as inject from {{fx_pe_imports}} where lower(function) in {in_list(P.SENSITIVE_APIS)} group by 1),
 st as (select doc_id as file_id, {_BEHAVE} as indicators, len({_EXE_URLS}) + len({_IPS}) as urls from {{fx_seeded}}),
 raw as (select h.file_id, h.entry_point, case when coalesce(section_count, 0) not between 1 and {P.EXE_MAX_SECTIONS} then 'malformed header' else {_ERR} end as error, {_CERT} as cert, coalesce(section_count, 0) as section_count, coalesce(packed, 0) as packed, coalesce(wx, 0) as wx,
-    greatest(0, file_size - least(coalesce(last_end, 0), file_size)) as overlay_size, coalesce(im.n, 0) as n, coalesce(inject, false) as inject, coalesce(indicators, '') as indicators, coalesce(urls, 0) as urls,
+    greatest(0, file_size - least(greatest(coalesce(last_end, 0), header_end), file_size)) as overlay_size, machine, subsystem, image_base, coalesce(imports, 0) as imports, coalesce(api, '') as api, coalesce(im.n, 0) as n, coalesce(inject, false) as inject, coalesce(indicators, '') as indicators, coalesce(urls, 0) as urls,
     {names([("coalesce(entry_outside, h.entry_point <> 0)", "entry-point-not-in-executable-section"), ("overlapping", "overlapping-section-raw-ranges"), ("not fits", "section-raw-range-out-of-bounds")])} as warnings
   from {{fx_pe_headers}} h left join s on s.file_id = h.file_id left join ov on ov.file_id = h.file_id left join rr on rr.file_id = h.file_id left join ep on ep.file_id = h.file_id
-  left join im on im.file_id = h.file_id left join st on st.file_id = h.file_id),
-facts as (select file_id, entry_point, error is null as supported, error, if(error is null, section_count, 0) as section_count, if(error is null, warnings, '') as warnings, if(error is null, n, 0) as n,
+  left join im on im.file_id = h.file_id left join ic on ic.file_id = h.file_id left join st on st.file_id = h.file_id),
+facts as (select file_id, entry_point, error is null as supported, error, if(error is null, section_count, 0) as section_count, if(error is null, warnings, '') as warnings, if(error is null, n, 0) as n, machine, subsystem, image_base, if(error is null, imports, 0) as imports, if(error is null, api, '') as api,
   error is null and inject as inject, if(error is null, indicators, '') as indicators, if(error is null, urls, 0) as urls, if(error is null, packed, 0) as packed, if(error is null, wx, 0) as wx,
   error is null and cert as has_certificate, cast(if(error is null, overlay_size, 0) as bigint) as overlay_size from raw)
 """
@@ -186,14 +185,15 @@ def _facts(x: Inputs) -> DataFrame:
 
 @query(
     "exe_facts", "B-14",
-    FACTS + "select file_id, supported, error, cast(section_count as bigint) as section_count, warnings, n as sensitive_imports, inject, indicators, packed, wx, has_certificate, overlay_size from facts",
+    FACTS + "select file_id, supported, error, cast(section_count as bigint) as section_count, warnings, n as sensitive_imports, inject, indicators, packed, wx, has_certificate, overlay_size, machine, subsystem, image_base, imports, api from facts",
 )
 def facts(x: Inputs) -> DataFrame:
     return _facts(x).select(
         "file_id", "supported", "error", F.col("section_count").cast("bigint").alias("section_count"), F.array_join("structural_warnings", ",").alias("warnings"),
         F.col("sensitive_import_count").alias("sensitive_imports"), F.col("has_injection_import").alias("inject"), F.array_join("indicators", ",").alias("indicators"),
         F.size("high_entropy_sections").cast("bigint").alias("packed"), F.size("writable_executable_sections").cast("bigint").alias("wx"), "has_certificate",
-        F.col("overlay_size").cast("bigint").alias("overlay_size"),
+        F.col("overlay_size").cast("bigint").alias("overlay_size"), "machine", "subsystem", "image_base", F.col("import_count").alias("imports"),
+        F.array_join("sensitive_imports", ",").alias("api"),
     )
 
 
@@ -206,14 +206,21 @@ _RULES = {
     "X-8": ("supported and not has_certificate", "'low'", "2"), "X-9": ("supported and overlay_size > 1024", "'low'", "3"),
     "X-10": ("supported and (section_count = 0 or entry_point = 0)", "'high'", "15"),
 }
+# Category and source by rule, written out again for the check.
+_ORIGIN = {
+    "X-1": ("exe-structure", "exe-static-analysis"), "X-2": ("exe-structure", "exe-structure-validation"), "X-3": ("exe-imports", "exe-import-analysis"),
+    "X-4": ("exe-strings", "exe-string-analysis"), "X-5": ("exe-network", "exe-string-analysis"), "X-6": ("exe-packing", "exe-section-analysis"),
+    "X-7": ("exe-sections", "exe-section-analysis"), "X-8": ("exe-signature", "exe-signature-presence-check"), "X-9": ("exe-overlay", "exe-structure-analysis"),
+    "X-10": ("exe-structure", "exe-structure-analysis"),
+}
 EVIDENCE = ", ev as (" + " union all ".join(
-    f"select file_id, '{r}' as rule_id, {sev} as severity, {score} as score from facts where {when}" for r, (when, sev, score) in _RULES.items()
+    f"select file_id, '{r}' as rule_id, '{_ORIGIN[r][0]}' as category, '{_ORIGIN[r][1]}' as source, {sev} as severity, {score} as score from facts where {when}" for r, (when, sev, score) in _RULES.items()
 ) + ") "
 
 
-@query("exe_evidence", "X-1, X-2, X-3, X-4, X-5, X-6, X-7, X-8, X-9, X-10, EV-1, EV-2", FACTS + EVIDENCE + "select file_id, rule_id, severity, score from ev")
+@query("exe_evidence", "X-1, X-2, X-3, X-4, X-5, X-6, X-7, X-8, X-9, X-10, EV-1, EV-2", FACTS + EVIDENCE + "select file_id, rule_id, category, source, severity, score from ev")
 def exe_evidence(x: Inputs) -> DataFrame:
-    return evidence.apply_rules(_facts(x), evidence.EXE, "file_id").select("file_id", "rule_id", "severity", "score")
+    return evidence.apply_rules(_facts(x), evidence.EXE, "file_id").select("file_id", "rule_id", "category", "source", "severity", "score")
 
 
 AV = "case when file_id % 9 = 0 then 'threat' when file_id % 4 = 0 then 'error' else 'clean' end"

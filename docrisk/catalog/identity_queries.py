@@ -24,11 +24,13 @@ DETECTED_SQL = (
 )
 
 
-@query("io_read_files", "IO-1")
+@query("io_read_files", "IO-1", "select doc_id, cast(strlen(text) + 1 as bigint) as size, sha256(text || chr(10)) as sha256 from {documents} where text is not null")
 def read_files(x: Inputs) -> DataFrame:
-    """The given table files themselves, landed as bytes and hashed."""
-    landed = files.read_files(x.spark, x.sf_dir)
-    return identity.with_sha256(landed).select("filename", "size", "sha256")
+    """Every document landed as a file of its own, read back as bytes and hashed."""
+    path = work_folder(x.spark, "files") + "/in"
+    x.documents.where("text is not null").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    landed = identity.with_sha256(files.read_files(x.spark, path))
+    return landed.select(F.regexp_extract("path", "doc_id=(\\d+)/", 1).cast("bigint").alias("doc_id"), "size", "sha256")
 
 
 _KINDS = (

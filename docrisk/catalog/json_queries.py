@@ -18,7 +18,7 @@ walk as (
   select doc_id, id, 0 as depth, cast(null as varchar) as key, '$' as key_context, type, atom from t where parent is null
   union all
   select c.doc_id, c.id, w.depth + 1, case when w.type = 'OBJECT' then c.key end,
-    case when w.type = 'OBJECT' then c.key[1:120] else w.key_context end, c.type, c.atom
+    case when w.type = 'OBJECT' then c.key else w.key_context end, c.type, c.atom
   from t c join walk w on c.doc_id = w.doc_id and c.parent = w.id),
 n as (select doc_id, id, depth, key, key_context,
   case type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' when 'VARCHAR' then 'string'
@@ -53,16 +53,16 @@ def parse_status(x: Inputs) -> DataFrame:
 @query(
     "json_stats", "J-4, J-8, J-9",
     TREE
-    + f"""select f.doc_id, cast(least(count(n.id), {P.JSON_MAX_NODES}) as bigint) as node_count,
-    cast(least(count(*) filter (kind = 'string'), {P.JSON_MAX_STRINGS}) as bigint) as string_count,
+    + f"""select f.doc_id, count(n.id) as node_count,
+    count(*) filter (kind = 'string') as string_count,
     cast(coalesce(max(depth), 0) as bigint) as max_depth, cast(coalesce(sum(length(str_value)), 0) as bigint) as string_chars,
-    coalesce(max(depth), 0) > {P.JSON_MAX_DEPTH} or count(n.id) > {P.JSON_MAX_NODES} or count(*) filter (kind = 'string') > {P.JSON_MAX_STRINGS} as truncated
+    coalesce(max(depth), 0) > {P.JSON_MAX_DEPTH} or count(n.id) > {P.JSON_MAX_NODES} or count(*) filter (kind = 'string') > {P.JSON_MAX_STRINGS} as above_limit
     from {{fx_json_docs}} f left join n on n.doc_id = f.doc_id group by f.doc_id""",
 )
 def stats(x: Inputs) -> DataFrame:
     out = jsonnodes.stats(_parsed(x))
     whole = ("node_count", "string_count", "max_depth")
-    return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in whole], "string_chars", "truncated")
+    return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in whole], "string_chars", (F.size("limit_indicators") > 0).alias("above_limit"))
 
 
 @query(
@@ -83,7 +83,7 @@ def duplicate_keys(x: Inputs) -> DataFrame:
 
 
 def _keys(name: str, covers: str, pattern: str, run, prefix: str) -> None:
-    sql = TREE + f""", k as (select distinct doc_id, key[1:100] as key from n where key is not null and {hit('key', pattern)})
+    sql = TREE + f""", k as (select distinct doc_id, key from n where key is not null and {hit('key', pattern)})
     select f.doc_id, count(k.key) as key_count, coalesce(string_agg(k.key, ',' order by k.key), '') as examples
     from {{fx_json_docs}} f left join k on k.doc_id = f.doc_id group by f.doc_id"""
 
@@ -103,8 +103,8 @@ def _any(family: dict[str, str], flags: str, col: str = "str_value") -> list[tup
     return [(f"coalesce(bool_or({hit(col, family[n], flags)}), false)", n) for n in sorted(family)]
 
 
-_SENS = f"count(distinct case when {hit('key', P.SENSITIVE_KEY)} then key[1:100] end)"
-_DANG = f"count(distinct case when {hit('key', P.DANGEROUS_KEY)} then key[1:100] end)"
+_SENS = f"count(distinct case when {hit('key', P.SENSITIVE_KEY)} then key end)"
+_DANG = f"count(distinct case when {hit('key', P.DANGEROUS_KEY)} then key end)"
 _HTML = f"count(*) filter ({hit('str_value', P.HTML_LIKE, 'is')})"
 _DUP = "coalesce(any_value(dups), 0)"
 _INDICATORS = sorted(
@@ -147,9 +147,9 @@ def facts(x: Inputs) -> DataFrame:
 
 
 _URLS = (
-    f"list_slice(list_distinct(list_filter(list_transform(regexp_extract_all(text, {text('(?i)' + P.URL_JSON)}), lambda u: rtrim(u[1:300], {text(P.URL_JSON_TAIL)})), lambda u: u <> '')), 1, 20)"
+    f"list_distinct(list_filter(list_transform(regexp_extract_all(text, {text('(?i)' + P.URL_JSON)}), lambda u: rtrim(u, {text(P.URL_JSON_TAIL)})), lambda u: u <> ''))"
 )
-_IPS = f"list_slice(list_distinct(list_filter(regexp_extract_all(text, {text(P.IPV4)}), lambda a: list_max(list_transform(string_split(a, '.'), lambda p: cast(p as int))) <= 255)), 1, 20)"
+_IPS = f"list_distinct(list_filter(regexp_extract_all(text, {text(P.IPV4)}), lambda a: list_max(list_transform(string_split(a, '.'), lambda p: cast(p as int))) <= 255))"
 _SAFE = (
     r"list_transform({u}, lambda u: regexp_replace(regexp_replace(u, '(?i)(https?://)[^/@\s]+@', '\1[redacted]@'), '[?#].*$',"
     r" case when contains(u, '?') then '?[redacted]' else '#[redacted]' end))"

@@ -79,7 +79,7 @@ def invisible(x: Inputs) -> DataFrame:
 
 _URL_LISTS = {
     "json": f"list_distinct(list_filter(list_transform(regexp_extract_all(text, {text('(?i)' + P.URL_JSON)}), lambda u: rtrim(u[1:300], {text(P.URL_JSON_TAIL)})), lambda u: u <> ''))",
-    "exe": f"list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(text, {text('(?i)' + P.URL_EXE)}), lambda u: rtrim(u, {text(P.URL_EXE_TAIL)})))), 1, 100)",
+    "exe": f"list_sort(list_distinct(list_transform(regexp_extract_all(text, {text('(?i)' + P.URL_EXE)}), lambda u: rtrim(u, {text(P.URL_EXE_TAIL)}))))",
     "pdf": f"list_sort(list_distinct(regexp_extract_all(text, {text('(?i)' + P.URL_PDF)})))",
     "docx": f"regexp_extract_all(text, {text('(?i)' + P.URL_DOCX)})",
 }
@@ -117,13 +117,12 @@ _IPS = (
 
 @query(
     "sig_ipv4", "T-14",
-    f"select doc_id, array_to_string(list_sort({_IPS}), ' ') as addresses, array_to_string(list_slice(list_sort({_IPS}), 1, 2), ' ') as first_two from {{fx_seeded}}",
+    f"select doc_id, array_to_string(list_sort({_IPS}), ' ') as addresses from {{fx_seeded}}",
 )
 def ipv4(x: Inputs) -> DataFrame:
     t = F.col("text")
     return x.fx_seeded.select(
         "doc_id", F.array_join(F.array_sort(S.ipv4(t)), " ").alias("addresses"),
-        F.array_join(S.ipv4(t, ordered=True, cap=2), " ").alias("first_two"),
     )
 
 

@@ -183,22 +183,18 @@ def urls(text: Column, variant: str) -> Column:
             F.filter(
                 F.transform(
                     F.regexp_extract_all(text, F.lit("(?iUd)" + P.URL_JSON), 0),
-                    lambda u: F.rtrim(F.substring(u, 1, 300), F.lit(P.URL_JSON_TAIL)),
+                    lambda u: F.rtrim(u, F.lit(P.URL_JSON_TAIL)),
                 ),
                 lambda u: u != "",
             )
         ),
-        "exe": lambda: F.slice(
-            F.array_sort(
-                F.array_distinct(
-                    F.transform(
-                        F.regexp_extract_all(text, F.lit("(?iUd)" + P.URL_EXE), 0),
-                        lambda u: F.rtrim(u, F.lit(P.URL_EXE_TAIL)),
-                    )
+        "exe": lambda: F.array_sort(
+            F.array_distinct(
+                F.transform(
+                    F.regexp_extract_all(text, F.lit("(?iUd)" + P.URL_EXE), 0),
+                    lambda u: F.rtrim(u, F.lit(P.URL_EXE_TAIL)),
                 )
-            ),
-            1,
-            100,
+            )
         ),
         "pdf": lambda: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?iUd)" + P.URL_PDF), 0))),
         "docx": lambda: F.regexp_extract_all(text, F.lit("(?iUd)" + P.URL_DOCX), 0),
@@ -213,7 +209,7 @@ def redact_url(url: Column) -> Column:
     return F.regexp_replace(no_user, F.lit("[?#].*$"), tail)
 
 
-def ipv4(text: Column, ordered: bool = False, cap: int | None = None) -> Column:
+def ipv4(text: Column, ordered: bool = False) -> Column:
     """Distinct addresses whose four parts are at most 255; first-seen order, or sorted."""
     found = F.array_distinct(
         F.filter(
@@ -221,8 +217,7 @@ def ipv4(text: Column, ordered: bool = False, cap: int | None = None) -> Column:
             lambda a: F.forall(F.split(a, "\\."), lambda part: part.cast("int") <= 255),
         )
     )
-    found = F.array_sort(found) if ordered else found
-    return F.slice(found, 1, cap) if cap else found
+    return F.array_sort(found) if ordered else found
 
 
 FAMILIES = {

@@ -1,6 +1,6 @@
 """Executables: headers, sections, imports and printable strings.
 
-A file's sections are packed into one bounded array per file (the format allows 96), so section
+A file's sections are packed into one array per file (the header's 16-bit count bounds it), so section
 rules, range lookups and overlap tests are expressions on that array instead of range joins.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docrisk.functions import patterns as P
 from docrisk.functions import signals as S
 from docrisk.functions.checks import byte_entropy
-from docrisk.functions.skew import let, top_n
+from docrisk.functions.skew import let
 
 X86, X64 = 267, 523  # optional header magic 0x10B and 0x20B
 ARCHITECTURES = {"x86": (0x014C,), "x64": (0x8664, 0x0200), "arm64": (0xAA64,)}
@@ -20,14 +20,14 @@ EXECUTE, READ, WRITE = 0x20000000, 0x40000000, 0x80000000
 
 
 def strings(df: DataFrame, content: str = "content", out: str = "strings") -> DataFrame:
-    """Add printable runs: ASCII of 5 and more, then UTF-16LE; trimmed, cut, first-seen distinct, capped."""
+    """Add printable runs: ASCII of 5 and more, then UTF-16LE; trimmed, distinct in order of first sight."""
     raw = F.decode(F.col(content), "ISO-8859-1")
     ascii_runs = F.regexp_extract_all(raw, F.lit("[\\x20-\\x7e]{5,}"), 0)
     wide_runs = F.transform(
         F.regexp_extract_all(raw, F.lit("(?:[\\x20-\\x7e]\\x00){5,}"), 0), lambda s: F.replace(s, F.lit("\x00"), F.lit(""))
     )
-    cut = F.transform(F.concat(ascii_runs, wide_runs), lambda s: F.substring(F.trim(s), 1, P.EXE_STRING_CUT))
-    return df.withColumn(out, F.slice(F.array_distinct(F.filter(cut, lambda s: s != "")), 1, P.EXE_MAX_STRINGS))
+    trimmed = F.transform(F.concat(ascii_runs, wide_runs), lambda s: F.trim(s))
+    return df.withColumn(out, F.array_distinct(F.filter(trimmed, lambda s: s != "")))
 
 
 def entropy(df: DataFrame, content: str = "content", out: str = "entropy") -> DataFrame:
@@ -41,7 +41,7 @@ def behaviours(df: DataFrame, strings_col: str = "strings") -> DataFrame:
         df.withColumn("_joined", joined)
         .withColumn("indicators", S.behaviours(F.col("_joined")))
         .withColumn("urls", S.urls(F.col("_joined"), "exe"))
-        .withColumn("ip_addresses", S.ipv4(F.col("_joined"), ordered=True, cap=100))
+        .withColumn("ip_addresses", S.ipv4(F.col("_joined"), ordered=True))
         .drop("_joined")
     )
 
@@ -58,14 +58,11 @@ def high_entropy(sections: DataFrame) -> DataFrame:
 
 
 def pack_sections(sections: DataFrame) -> DataFrame:
-    """(file_id, section_count, sections): at most 97 sections per file in table order.
-
-    97 instead of 96 keeps the fact that a file breaks the format limit, which ends its analysis.
-    """
+    """(file_id, section_count, sections): all sections of a file in table order."""
     cols = ("name", "va", "vsize", "raw_ptr", "raw_size", "entropy", "executable", "readable", "writable")
-    kept = top_n(section_flags(sections).select("file_id", "idx", *cols), ["file_id"], ["idx", "raw_ptr", "raw_size"], P.EXE_MAX_SECTIONS + 1)
     return (
-        kept.groupBy("file_id")
+        section_flags(sections)
+        .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("sections"))
         .withColumn("section_count", F.size("sections"))
     )
@@ -107,8 +104,11 @@ def entry_point(packed: DataFrame, entry: str = "entry_point") -> DataFrame:
     return packed.withColumn("entry_outside", (F.col(entry) != 0) & ~F.coalesce(F.exists("sections", covers), F.lit(False)))
 
 
-def rva_to_offset(packed: DataFrame, rva: str, size: str = "file_size", out: str = "file_offset") -> DataFrame:
-    """Add the file offset of a virtual address: the first section in table order that maps it."""
+def rva_to_offset(packed: DataFrame, rva: str, size: str = "file_size", out: str = "file_offset", header_end: str | None = None) -> DataFrame:
+    """Add the file offset of a virtual address: the first section in table order that maps it.
+
+    An address no section maps lies in the headers if it is below ``header_end``, and is its own offset.
+    """
     mapped = lambda s: F.least(F.when(s["vsize"] > 0, s["vsize"]).otherwise(s["raw_size"]), s["raw_size"])
     inside = F.filter("sections", lambda s: (F.col(rva) >= s["va"]) & (F.col(rva) < s["va"] + mapped(s)))
 
@@ -116,7 +116,11 @@ def rva_to_offset(packed: DataFrame, rva: str, size: str = "file_size", out: str
         found = (F.col(rva) - s["va"] + s["raw_ptr"]).cast("bigint")
         return F.when((s["raw_ptr"] <= F.col(size)) & (found < F.col(size)), found)
 
-    return packed.withColumn(out, let(F.get(inside, F.lit(0)), offset))
+    in_header = F.lit(None).cast("bigint")
+    if header_end:
+        below = (F.size(inside) == 0) & (F.col(rva) >= 0) & (F.col(rva) < F.least(F.col(header_end), F.col(size)))
+        in_header = F.when(below, F.col(rva).cast("bigint"))
+    return packed.withColumn(out, F.coalesce(let(F.get(inside, F.lit(0)), offset), in_header))
 
 
 def overlay(packed: DataFrame, size: str = "file_size", header_end: str | None = None) -> DataFrame:
@@ -168,13 +172,8 @@ def header_status(headers: DataFrame) -> DataFrame:
 
 
 def imports(rows: DataFrame) -> DataFrame:
-    """Functions per file and DLL, first 1200 of a file in table order."""
-    kept = top_n(rows, ["file_id"], ["seq"], P.EXE_MAX_FUNCTIONS)
-    return (
-        kept.groupBy("file_id", "dll")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "function"))).alias("_f"))
-        .select("file_id", "dll", F.col("_f.function").alias("functions"))
-    )
+    """Number of imported functions per file and DLL; the functions themselves stay rows."""
+    return rows.groupBy("file_id", "dll").agg(F.count(F.lit(1)).alias("functions"), F.count_distinct("function").alias("distinct_functions"))
 
 
 def sensitive_imports(rows: DataFrame) -> DataFrame:
@@ -187,6 +186,7 @@ def import_summary(rows: DataFrame) -> DataFrame:
     return named.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("sensitive_import_count"),
         F.bool_or(F.lower("function").isin(*P.INJECTION_APIS)).alias("has_injection_import"),
+        F.array_sort(F.collect_set(F.lower("function"))).alias("sensitive_imports"),  # names of the fixed list
     )
 
 
@@ -199,8 +199,12 @@ def facts(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, strin
         .withColumn("section_count", F.coalesce("section_count", F.lit(0)))
         .withColumn("sections", F.coalesce("sections", F.array().cast(packed.schema["sections"].dataType)))
     )
-    checked = overlay(entry_point(raw_ranges_valid(overlaps(certificate(header_status(base))))))
-    out = checked.join(import_summary(import_rows), "file_id", "left")
+    have = set(headers.columns)
+    header_end = "header_end" if "header_end" in have else None
+    checked = overlay(entry_point(raw_ranges_valid(overlaps(certificate(header_status(base))))), header_end=header_end)
+    counted = import_rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("import_count"))
+    out = checked.join(counted, "file_id", "left").join(import_summary(import_rows), "file_id", "left")
+    optional = lambda c: (F.col(c) if c in have else F.lit(None).cast("bigint")).alias(c)
     if string_facts is not None:
         out = out.join(string_facts, "file_id", "left")
     else:
@@ -220,10 +224,13 @@ def facts(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, strin
         ok.alias("supported"),
         F.col("header_error").alias("error"),
         "architecture",
+        *[optional(c) for c in ("machine", "subsystem", "image_base")],
         "file_size",
         "entry_point",
         keep(F.col("section_count"), F.lit(0)).alias("section_count"),
         keep(warnings, none).alias("structural_warnings"),
+        keep(F.coalesce("import_count", F.lit(0)), F.lit(0)).alias("import_count"),
+        keep(F.coalesce("sensitive_imports", none), none).alias("sensitive_imports"),
         keep(F.coalesce("sensitive_import_count", F.lit(0)), F.lit(0)).alias("sensitive_import_count"),
         keep(F.coalesce("has_injection_import", F.lit(False)), F.lit(False)).alias("has_injection_import"),
         keep(F.coalesce("indicators", none), none).alias("indicators"),

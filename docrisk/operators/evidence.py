@@ -97,7 +97,7 @@ EXE = (
          "array_join(structural_warnings, ', ')"),
     Rule("X-3", "supported and sensitive_import_count > 0", "exe-imports", "if(has_injection_import, 'high', 'medium')",
          "if(sensitive_import_count >= 3, 18, 10)", "exe-import-analysis", "Sensitive imports",
-         "format_string('%d import(s)', sensitive_import_count)"),
+         "format_string('%d import(s): %s', sensitive_import_count, array_join(sensitive_imports, ', '))"),
     Rule("X-4", "supported and size(indicators) > 0", "exe-strings",
          "if(array_contains(indicators, 'process-injection-api'), 'high', 'medium')",
          "if(array_contains(indicators, 'process-injection-api'), 15, 8)", "exe-string-analysis", "Behaviour strings",

@@ -40,11 +40,12 @@ def counts(scans: DataFrame, text: str = "", risk_level: str = "all") -> DataFra
     return scans.agg(F.count_if(matches(text, risk_level)).alias("shown"), F.count(F.lit(1)).alias("total"))
 
 
-def get(scans: DataFrame, user_id: int, scan_id: int) -> DataFrame:
-    """One scan of one owner; only a completed scan shows risk, only a failed one an error."""
+def get(scans: DataFrame, user_id: int, scan_id: int | None = None) -> DataFrame:
+    """One scan of one owner, or all of them; only a completed scan shows risk, only a failed one an error."""
     done = F.col("status") == "completed"
     failed = F.col("status") == "failed"
-    return scans.where((F.col("user_id") == user_id) & (F.col("scan_id") == scan_id)).select(
+    owned = F.col("user_id") == user_id
+    return scans.where(owned if scan_id is None else owned & (F.col("scan_id") == scan_id)).select(
         "scan_id", "status",
         F.when(done, F.col("filename")).alias("filename"),
         F.when(done, F.col("risk_score")).alias("risk_score"),

@@ -77,7 +77,6 @@ def json_fallback(df: DataFrame, text: str = "text", name: str = "filename", siz
     eligible = (
         F.col("detected_type").isNull()
         & (F.col(size) > 0)
-        & (F.col(size) <= P.JSON_LIMIT)
         & (body != "")
         & ((extension(F.col(name)) == ".json") | body.startswith("{") | body.startswith("["))
     )

@@ -33,8 +33,12 @@ class _Members(list):
     """Key and value pairs of one object, repeated keys kept."""
 
 
+class _Constant(ValueError):
+    """NaN or an infinity."""
+
+
 def _no_constant(name: str):
-    raise ValueError(name)
+    raise _Constant(name)
 
 
 def list_nodes(text: str) -> list[tuple]:
@@ -42,18 +46,16 @@ def list_nodes(text: str) -> list[tuple]:
     root = json.loads(text, object_pairs_hook=_Members, parse_constant=_no_constant)
     todo = [(root, -1, 0, None, "$", False)]
     nodes: list[tuple] = []
-    while todo and len(nodes) <= P.JSON_MAX_NODES:
+    while todo:
         value, parent, depth, key, context, repeated = todo.pop()
         here = len(nodes)
         kind = _kind(value)
         nodes.append((here, parent, depth, key, context, kind, repeated, _clean(value) if kind == "string" else None))
-        if depth > P.JSON_MAX_DEPTH:
-            continue
         if kind == "object":
             seen: set[str] = set()
             below = []
             for name, child in value:
-                below.append((child, here, depth + 1, _clean(name), _clean(name)[:120], name in seen))
+                below.append((child, here, depth + 1, _clean(name), _clean(name), name in seen))
                 seen.add(name)
             todo.extend(reversed(below))
         elif kind == "array":
@@ -78,19 +80,22 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _parse_one(text: str | None) -> tuple[str, list[tuple]]:
+def _parse_one(text: str | None) -> tuple[str, str | None, list[tuple]]:
+    """Status, message of a failure, nodes. The texts of the messages."""
     if text is None:
-        return "invalid-text", []
-    if len(text.encode("utf-8", "replace")) > P.JSON_LIMIT:
-        return "oversize", []
+        return "invalid-text", None, []
     try:
-        return "ok", list_nodes(text)
+        return "ok", None, list_nodes(text)
+    except json.JSONDecodeError as err:
+        return "malformed", f"Malformed JSON syntax at line {err.lineno}, column {err.colno}.", []
+    except _Constant:
+        return "malformed", "JSON contains a non-standard numeric constant.", []
     except (ValueError, RecursionError):
-        return "malformed", []
+        return "malformed", "Malformed JSON syntax.", []
 
 
 def parse(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, file_size, parse_status, nodes). Status: ok, malformed, oversize, invalid-text.
+    """(id, file_size, parse_status, parse_error, nodes). Status: ok, malformed, invalid-text. Every document is parsed whole.
 
     Input and output travel in Arrow batches of bounded bytes.
     """
@@ -99,25 +104,26 @@ def parse(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         F.regexp_replace(F.col(text_col), "^\\uFEFF", "").alias("_text"),
     )
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, file_size bigint, parse_status string, nodes array<{NODE}>"
+    schema = f"{id_col} {id_type}, file_size bigint, parse_status string, parse_error string, nodes array<{NODE}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, texts = batch.columns[0], batch.columns[1], batch.columns[2]
-            start, statuses, nodes, held = 0, [], [], 0
+            start, statuses, errors, nodes, held = 0, [], [], [], 0
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
-                status, found = _parse_one(text)
+                status, error, found = _parse_one(text)
                 statuses.append(status)
+                errors.append(error)
                 nodes.append(found)
                 held += len(text or "") + 80 * len(found)
                 if held > _OUT_BYTES or i + 1 == batch.num_rows:
                     size = i + 1 - start
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(start, size), sizes.slice(start, size), pa.array(statuses, pa.string()), _column(nodes)],
-                        names=[id_col, "file_size", "parse_status", "nodes"],
+                        [ids.slice(start, size), sizes.slice(start, size), pa.array(statuses, pa.string()), pa.array(errors, pa.string()), _column(nodes)],
+                        names=[id_col, "file_size", "parse_status", "parse_error", "nodes"],
                     )
-                    start, statuses, nodes, held = i + 1, [], [], 0
+                    start, statuses, errors, nodes, held = i + 1, [], [], [], 0
 
     return src.mapInArrow(run, schema)
 
@@ -177,7 +183,10 @@ def parse_status(parsed: DataFrame) -> DataFrame:
 
 
 def stats(parsed: DataFrame) -> DataFrame:
-    """Node, string and depth counts, capped, with the limits they hit."""
+    """Node, string and depth counts of the whole document, and the limits they are above.
+
+    A limit is only reported: nothing is cut, so ``truncated`` is false.
+    """
     kinds = F.transform("nodes", lambda n: n["kind"])
     chars = F.aggregate(
         "nodes", F.lit(0).cast("bigint"), lambda a, n: a + F.coalesce(F.length(n["str_value"]), F.lit(0))
@@ -193,40 +202,37 @@ def stats(parsed: DataFrame) -> DataFrame:
             F.when(F.col("max_depth") > P.JSON_MAX_DEPTH, F.lit("nesting-depth-limit-exceeded")),
             F.when(F.col("_n") > P.JSON_MAX_NODES, F.lit("node-limit-exceeded")),
             F.when(F.col("_s") > P.JSON_MAX_STRINGS, F.lit("string-count-limit-exceeded")),
+            F.when(F.col("file_size") > P.JSON_LIMIT, F.lit("size-limit-exceeded")),
         )
     )
     return (
         base.withColumn("limit_indicators", limits)
-        .withColumn("truncated", F.size("limit_indicators") > 0)
-        .withColumn("node_count", F.least(F.col("_n"), F.lit(P.JSON_MAX_NODES)))
-        .withColumn("string_count", F.least(F.col("_s"), F.lit(P.JSON_MAX_STRINGS)))
-        .drop("_n", "_s")
+        .withColumn("truncated", F.lit(False))
+        .withColumnsRenamed({"_n": "node_count", "_s": "string_count"})
     )
 
 
 def duplicate_keys(parsed: DataFrame) -> DataFrame:
-    """Occurrences beyond the first inside one object, and up to 20 distinct names cut at 120."""
-    again = F.transform(F.filter("nodes", lambda n: n["repeated"]), lambda n: F.substring(n["key"], 1, 120))
-    return parsed.withColumn("duplicate_key_count", F.size(again)).withColumn(
-        "duplicate_key_examples", F.slice(F.array_distinct(again), 1, P.JSON_EXAMPLES)
-    )
+    """Occurrences beyond the first inside one object, and their distinct names."""
+    again = F.transform(F.filter("nodes", lambda n: n["repeated"]), lambda n: n["key"])
+    return parsed.withColumn("duplicate_key_count", F.size(again)).withColumn("duplicate_key_examples", F.array_distinct(again))
 
 
 def _matching_keys(pattern: str) -> Column:
     found = F.filter(_keys(), lambda k: S.hit(k, pattern))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda k: F.substring(k, 1, 100))))
+    return F.array_sort(F.array_distinct(found))
 
 
 def sensitive_keys(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("_sens", _matching_keys(P.SENSITIVE_KEY)).withColumn(
         "sensitive_key_count", F.size("_sens")
-    ).withColumn("sensitive_key_examples", F.slice("_sens", 1, P.JSON_EXAMPLES)).drop("_sens")
+    ).withColumn("sensitive_key_examples", F.col("_sens")).drop("_sens")
 
 
 def dangerous_keys(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("_dang", _matching_keys(P.DANGEROUS_KEY)).withColumn(
         "dangerous_key_count", F.size("_dang")
-    ).withColumn("dangerous_key_examples", F.slice("_dang", 1, P.JSON_EXAMPLES)).drop("_dang")
+    ).withColumn("dangerous_key_examples", F.col("_dang")).drop("_dang")
 
 
 def string_signals(parsed: DataFrame) -> DataFrame:
@@ -240,8 +246,8 @@ def string_signals(parsed: DataFrame) -> DataFrame:
             F.array(*[F.when(F.exists("_strings", lambda s: S.hit(s, family[n], flags)), F.lit(n)) for n in sorted(family)])
         )
 
-    def first_twenty(of) -> Column:
-        return F.slice(F.array_distinct(F.flatten(F.transform("_strings", of))), 1, P.JSON_EXAMPLES)
+    def distinct(of) -> Column:
+        return F.array_distinct(F.flatten(F.transform("_strings", of)))
 
     return (
         parsed.withColumn("_strings", F.transform(_strings(), lambda n: n["str_value"]))
@@ -249,8 +255,8 @@ def string_signals(parsed: DataFrame) -> DataFrame:
         .withColumn("secret_kinds", any_of(P.SECRETS, "Ud"))
         .withColumn("executable_kinds", any_of(P.EXEC_JSON, "iUd"))
         .withColumn("html_like_count", F.size(F.filter("_strings", S.html_like)))
-        .withColumn("urls", F.transform(first_twenty(lambda s: S.urls(s, "json")), S.redact_url))
-        .withColumn("ip_addresses", first_twenty(lambda s: S.ipv4(s)))
+        .withColumn("urls", F.transform(distinct(lambda s: S.urls(s, "json")), S.redact_url))
+        .withColumn("ip_addresses", distinct(lambda s: S.ipv4(s)))
         .drop("_strings")
     )
 
@@ -277,11 +283,9 @@ def facts(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col,
         "file_size",
         "ok",
-        (F.col("parsed") & ~F.col("truncated")).alias("supported"),
-        F.when(F.col("parse_status") == "malformed", F.lit("text is not JSON"))
-        .when(F.col("parse_status") == "oversize", F.lit("size limit exceeded"))
+        F.col("parsed").alias("supported"),
+        F.when(F.col("parse_status") == "malformed", F.coalesce("parse_error", F.lit("Malformed JSON syntax.")))
         .when(F.col("parse_status") == "invalid-text", F.lit("text is not UTF-8"))
-        .when(F.col("truncated"), F.lit("a safety limit ended the analysis"))
         .alias("error"),
         "top_level_type",
         "node_count",

@@ -54,6 +54,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/docrisk/{name}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -14,18 +14,12 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = P.UPLOAD_LIMIT) -> DataFrame:
-    """One row per file: name, size, arrival and content; content is null above ``max_bytes``.
-
-    The listing columns of an oversize file are kept, so nothing is dropped in silence. Both halves
-    carry a filter on ``length`` that reaches the file listing, so oversize bytes are never read.
-    """
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: name, size, arrival and whole content; ``gate_size`` flags those above a limit."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    base = [F.col("path"), file_name(F.col("path")).alias("filename"), F.col("length").alias("size"),
-            F.col("modificationTime").alias("arrived_at")]
-    inside = raw.where(F.col("length") <= max_bytes).select(*base, F.col("content"))
-    outside = raw.where(F.col("length") > max_bytes).select(*base, F.lit(None).cast("binary").alias("content"))
-    return inside.unionByName(outside)
+    return raw.select(
+        "path", file_name(F.col("path")).alias("filename"), F.col("length").alias("size"), F.col("modificationTime").alias("arrived_at"), "content"
+    )
 
 
 def gate_size(df: DataFrame, limits: dict[str, int] = LIMITS, kind: str = "kind", size: str = "size") -> DataFrame:

@@ -19,13 +19,13 @@ def write_scans(df: DataFrame, path: str, time_col: str = "created_at", mode: st
 
 
 def cap_output(df: DataFrame, max_bytes: int = OUTPUT_LIMIT, keep: tuple[str, ...] = ("scan_id",)) -> DataFrame:
-    """Rows as JSON text; a row above the limit keeps its keys and an error instead of its body."""
+    """Rows as JSON text with a flag and an error above the limit; the body is always kept."""
     body = F.to_json(F.struct(*df.columns))
     size = F.octet_length(body)
     return df.select(
         *keep,
         size.cast("bigint").alias("output_bytes"),
         (size <= max_bytes).alias("supported"),
-        F.when(size <= max_bytes, body).alias("body"),
+        body.alias("body"),
         F.when(size > max_bytes, F.lit("output exceeds the limit")).alias("error"),
     )

@@ -11,7 +11,7 @@ TABLES = (
 
 
 # Tables whose rows cost much CPU (whole texts), with the key that spreads them.
-HEAVY = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+HEAVY = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "pages": ("page_id",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Use all cores when the input has fewer splits than the cluster has cores.
 
     A file with one row group is read by one task, which would then run every pattern alone. Inputs
@@ -27,7 +27,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     is at most 128 MB, so the exchange never moves more than one split per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

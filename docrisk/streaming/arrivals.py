@@ -10,8 +10,9 @@ from docrisk.operators import lifecycle
 from docrisk.plans.scan import text_scan
 
 
-def read_folder(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_folder(spark: SparkSession, path: str, schema: StructType, bytes_per_trigger: int = 64 << 30) -> DataFrame:
+    """Arriving files as a stream; a batch takes files up to ``bytes_per_trigger``, the rest waits for the next."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(path)
 
 
 def score(stream: DataFrame, av: DataFrame) -> DataFrame:
@@ -20,35 +21,28 @@ def score(stream: DataFrame, av: DataFrame) -> DataFrame:
 
 
 def first_requests(stream: DataFrame, horizon: str = "7 days", time_col: str = "ts") -> DataFrame:
-    """Drop repeats of (user_id, request_id) inside the horizon; rows without id are another stream's job.
+    """Drop repeats of (user_id, request_id) inside the horizon; rows without id never conflict and all pass.
 
     The event time must be a zoned TIMESTAMP, so a TIMESTAMP_NTZ column is cast first.
     """
-    return (
-        stream.where(F.col("request_id").isNotNull())
-        .withColumn(time_col, F.col(time_col).cast("timestamp"))
-        .withWatermark(time_col, horizon)
-        .dropDuplicatesWithinWatermark(["user_id", "request_id"])
-    )
+    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, horizon)
+    first = timed.where(F.col("request_id").isNotNull()).dropDuplicatesWithinWatermark(["user_id", "request_id"])
+    return first.unionByName(timed.where(F.col("request_id").isNull()))
 
 
 def store_new_requests(store_path: str):
     """``foreachBatch`` body with an unlimited horizon: keep the first row per request the store lacks.
 
-    A batch that is run again after a failure finds its own rows in the store and adds nothing.
+    Rows without request id all pass. Each batch owns a folder of the store and overwrites it, so a batch that is
+    run again after a failure writes the same rows again and adds nothing.
     """
 
-    def handle(batch: DataFrame, _batch_id: int) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = lifecycle.first_per_request(batch.where(F.col("request_id").isNotNull()))
-        try:
-            store = spark.read.parquet(store_path)
-        except Exception as err:  # noqa: BLE001 - only a missing folder means an empty store
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            first.write.mode("append").parquet(store_path)
-            return
-        lifecycle.new_requests(first, store).select(*batch.columns).write.mode("append").parquet(store_path)
+        first = lifecycle.first_per_request(batch)
+        if batch_id > 0:
+            first = lifecycle.new_requests(first, spark.read.parquet(store_path).where(F.col("batch") < batch_id))
+        first.select(*batch.columns).write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
 
     return handle
 

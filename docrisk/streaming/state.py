@@ -13,16 +13,25 @@ from docrisk.operators.lifecycle import TERMINAL
 
 OUTPUT = "scan_id bigint, state string, final_seq bigint"
 STATE = "state string, final_seq bigint"
+_TIMED_OUT = -1  # final_seq of a scan that ended by time
 
 
-def _fold(timeout_ms: int | None):
+def _fold(timeout_ms: int | None, marker_ms: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scan_id = key[0]
         if state.hasTimedOut:
-            state.remove()
+            known, final = state.get
+            if known in TERMINAL:  # the marker has served its time
+                state.remove()
+                return
+            # The time-out is an end like any other: it stays as a marker, so a late end does not open the scan again.
+            state.update(("failed", _TIMED_OUT))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + marker_ms)
             yield _row(scan_id, "failed", None)
             return
         known, final = state.get if state.exists else (None, None)
+        if final == _TIMED_OUT:
+            return
         before = (known, final)
         latest = None
         for chunk in chunks:  # bounded Arrow chunks; the group is never held as a whole
@@ -38,6 +47,8 @@ def _fold(timeout_ms: int | None):
         if timeout_ms is not None and final is None and latest is not None:
             due = int(pd.Timestamp(latest).timestamp() * 1000) + timeout_ms
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif timeout_ms is not None and final is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + marker_ms)
         if (known, final) != before:
             yield _row(scan_id, known, final)
 
@@ -48,18 +59,19 @@ def _row(scan_id: int, state: str, final: int | None) -> pd.DataFrame:
     return pd.DataFrame({"scan_id": [scan_id], "state": [state], "final_seq": pd.array([final], dtype="Int64")})
 
 
-def transitions(events: DataFrame, watermark: str = "1 hour", timeout_ms: int | None = None) -> DataFrame:
+def transitions(events: DataFrame, watermark: str = "1 hour", timeout_ms: int | None = None, marker_ms: int = 7 * 86_400_000) -> DataFrame:
     """Stream of state changes per scan from (scan_id, seq, ts, state).
 
     The end with the lowest sequence number wins even when events come out of order. With
-    ``timeout_ms`` a scan that stays open that long in event time fails.
+    ``timeout_ms`` a scan that stays open that long in event time fails, and stays failed; what is known of an
+    ended scan is forgotten ``marker_ms`` later.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     kind = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
     return (
         timed.select("scan_id", "seq", "ts", "state")
         .groupBy("scan_id")
-        .applyInPandasWithState(_fold(timeout_ms), OUTPUT, STATE, "append", kind)
+        .applyInPandasWithState(_fold(timeout_ms, marker_ms), OUTPUT, STATE, "append", kind)
     )
 
 

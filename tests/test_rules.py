@@ -70,19 +70,26 @@ def test_json_malformed_nan_bom_blank(spark):
     bad, nan, bom, blank = json_facts(spark, '{"a":', '{"a":NaN}', '\ufeff{"a":1}', "  ")
     assert [bad["supported"], nan["supported"], bom["supported"], blank["supported"]] == [False, False, True, False]
     assert bad["ok"] and bad["indicators"] == ["json-analysis-unavailable"]
+    assert bad["error"] == "Malformed JSON syntax at line 1, column 6."
+    assert nan["error"] == "JSON contains a non-standard numeric constant."
 
 
 def test_json_depth_limit(spark):
-    deep = lambda n: "[" * n + "]" * n
-    ok, over, far = json_facts(spark, deep(65), deep(66), deep(100))
-    assert (ok["supported"], over["supported"], far["supported"]) == (True, False, False)
+    """Limits are reported; what lies beyond them is read all the same."""
+    deep = lambda n: "[" * n + '"<script>x</script>"' + "]" * n
+    ok, over = json_facts(spark, deep(64), deep(100))
+    assert ok["supported"] and over["supported"]
+    assert "nesting-depth-limit-exceeded" not in ok["indicators"] and "nesting-depth-limit-exceeded" in over["indicators"]
+    assert ok["html_like_count"] == over["html_like_count"] == 1 and over["max_depth"] == 100
 
 
 def test_json_node_and_string_limits(spark):
     nodes = lambda n: json.dumps([0] * (n - 1))
     strings = lambda n: json.dumps(["s"] * n)
     out = json_facts(spark, nodes(100_000), nodes(100_001), strings(20_000), strings(20_001))
-    assert [r["supported"] for r in out] == [True, False, True, False]
+    assert [any("limit" in i for i in r["indicators"]) for r in out] == [False, True, False, True]
+    assert [r["node_count"] for r in out[:2]] == [100_000, 100_001] and out[3]["string_count"] == 20_001
+    assert all(r["supported"] for r in out)
 
 
 def test_json_no_secret_leaves(spark):
@@ -196,7 +203,7 @@ def test_strings_and_wide_strings(spark):
 def test_sections_over_the_limit(spark):
     rows = [(1, i, f".s{i}", i * 4096, 4096, i * 4096, 4096, 0x60000020, 7.2) for i in range(200)] + [(2, 0, ".t", 0, 4096, 0, 4096, 0x60000020, 7.19)]
     packed = binary.pack_sections(spark.createDataFrame(rows, "file_id bigint, idx int, name string, va bigint, vsize bigint, raw_ptr bigint, raw_size bigint, characteristics bigint, entropy double"))
-    assert {r.file_id: r.section_count for r in packed.collect()} == {1: 97, 2: 1}
+    assert {r.file_id: r.section_count for r in packed.collect()} == {1: 200, 2: 1}
 
 
 # ---- identity, files ----------------------------------------------------------------------------
@@ -207,11 +214,26 @@ def test_extension_and_decode(spark):
     assert [(r.valid_utf8, r.text) for r in files.decode_utf8(raw).collect()] == [(True, "hi"), (False, None)]
 
 
-def test_read_files_keeps_oversize(spark, tmp_path):
+def test_read_files_and_gate(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"1234")
     (tmp_path / "b.bin").write_bytes(b"1" * 100)
-    got = {r.filename: (r.size, r.content is None) for r in files.read_files(spark, str(tmp_path), max_bytes=50).collect()}
-    assert got == {"a.txt": (4, False), "b.bin": (100, True)}
+    read = files.read_files(spark, str(tmp_path)).withColumn("kind", F.lit("x"))
+    got = {r.filename: (r.size, len(r.content), r.oversize) for r in files.gate_size(read, {"x": 50}).collect()}
+    assert got == {"a.txt": (4, 4, False), "b.bin": (100, 100, True)}
+
+
+def test_xml_parts(spark):
+    parts = ["<a><b>x</b></a>", "<a><b>x</a>", "<!DOCTYPE a><a/>", "<a>" + " " * 5000 + "<!ENTITY x></a>", None, "<a x='1'/>"]
+    df = spark.createDataFrame([(i, f"p{i}.xml", 10, x) for i, x in enumerate(parts)], "doc_id long, name string, size long, xml string")
+    got = {r.doc_id: r.warnings for r in office.part_warnings(df).collect()}
+    assert [bool(got[i]) for i in range(6)] == [False, True, True, True, True, False]
+
+
+def test_revisions_are_not_field_instructions(spark):
+    runs = [(1, "word/document.xml", 1, "a", False, "000000", 20, True, False), (2, "word/document.xml", 1, "b", False, "000000", 20, False, True)]
+    df = spark.createDataFrame(runs, "doc_id long, part string, seq long, text string, vanish boolean, color string, half_points int, deleted boolean, revision boolean")
+    got = {r.doc_id: r.has_tracked_changes for r in office.run_rollup(office.inspect_runs(df)).collect()}
+    assert got == {1: False, 2: True}
 
 
 # ---- outbound -----------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ def _feed(spark, tmp_path, rows, files):
     df = spark.createDataFrame(rows, "scan_id bigint, seq bigint, ts string, state string").withColumn("ts", F.to_timestamp("ts"))
     for part in range(files):
         df.where(F.col("seq") % files == part).coalesce(1).write.mode("append").parquet(path)
-    return df, arrivals.read_folder(spark, path, df.schema)
+    return df, arrivals.read_folder(spark, path, df.schema, bytes_per_trigger=1)  # a file per batch
 
 
 def test_late_end_with_lower_number_wins(spark, tmp_path):
@@ -37,3 +37,27 @@ def test_store_is_idempotent(spark, tmp_path):
     handle(df, 0)
     handle(df, 0)
     assert sorted((r.seq, r.request_id) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [(1, "r"), (3, "q")]
+    more = spark.createDataFrame([(4, 1, "r"), (5, 9, "r")], "seq int, user_id int, request_id string")
+    handle(more, 1)
+    handle(more, 1)
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 3, 5]
+
+
+def test_rows_without_request_id_all_stay(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, None), (2, 1, None), (3, 1, "r")], "seq int, user_id int, request_id string")
+    handle = arrivals.store_new_requests(str(tmp_path / "store"))
+    for _ in range(2):
+        handle(df, 0)
+        handle(df.where("seq > 1"), 1)
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2, 2, 3]
+
+
+def test_late_end_does_not_open_a_scan_that_timed_out(spark, tmp_path):
+    rows = [
+        (1, 0, "2024-01-01 00:00:00", "analyzing"), (2, 1, "2024-01-01 02:00:00", "completed"), (3, 2, "2024-01-01 04:00:00", "completed"),
+        (1, 3, "2024-01-01 04:00:30", "completed"), (4, 4, "2024-01-01 06:00:00", "completed"),
+    ]
+    _, stream = _feed(spark, tmp_path, rows, 5)
+    arrivals.run_to_end(state.transitions(stream, "1 second", timeout_ms=30_000), str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = {r.scan_id: r.state for r in state.current(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == {1: "failed", 2: "completed", 3: "completed", 4: "completed"}
