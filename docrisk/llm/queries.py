@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docrisk.llm import decontaminate, fingerprints, fm_dedup, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, warc
+from docrisk.llm.checks import SQL  # noqa: F401 - check SQL by query name
 from docrisk.llm.common import source
 from docrisk.session import tune
 
@@ -45,7 +46,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm_dedup.dedup(source(tune(spark), sf_dir, "documents"))
+    return fm_dedup.dedup(source(tune(spark), sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,3 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_warc, op3_decontaminate, op4_suffix_dedup, op5_line_dedup, op6_ngram_join, op7_fingerprints, op8_quality, op9_fm_dedup, op10_license_scan,
 )}
-SQL: dict[str, str] = {}
