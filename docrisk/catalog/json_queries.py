@@ -182,14 +182,15 @@ _RULES = {
     "EJ-9": ("supported and regexp_matches(indicators, 'limit-exceeded|analysis-truncated')", "'medium'", 10),
 }
 EVIDENCE = ", ev as (" + " union all ".join(
-    f"select doc_id, '{r}' as rule_id, {sev} as severity, {score} as score from facts where {when}" for r, (when, sev, score) in _RULES.items()
+    f"select doc_id, '{r}' as rule_id, 'json-analysis' as category, 'json-static-analysis' as source, {sev} as severity, {score} as score from facts where {when}"
+    for r, (when, sev, score) in _RULES.items()
 ) + ") "
 
 
-@query("json_evidence", "EJ-1, EJ-2, EJ-3, EJ-4, EJ-5, EJ-6, EJ-7, EJ-8, EJ-9, EV-1, EV-2", FACTS + EVIDENCE + "select doc_id, rule_id, severity, score from ev")
+@query("json_evidence", "EJ-1, EJ-2, EJ-3, EJ-4, EJ-5, EJ-6, EJ-7, EJ-8, EJ-9, EV-1, EV-2", FACTS + EVIDENCE + "select doc_id, rule_id, category, source, severity, score from ev")
 def json_evidence(x: Inputs) -> DataFrame:
     valid = scoring.validate_facts(jsonnodes.facts(_parsed(x)))
-    return evidence.apply_rules(valid, evidence.JSON, "doc_id").select("doc_id", "rule_id", "severity", "score")
+    return evidence.apply_rules(valid, evidence.JSON, "doc_id").select("doc_id", "rule_id", "category", "source", "severity", "score")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docrisk.catalog.core import names, query, text
 from docrisk.catalog.scan_queries import _TEXT
+from docrisk.catalog.signal_queries import _IPS
 from docrisk.catalog.views import Inputs
 from docrisk.functions import checks
 from docrisk.operators import control, metrics, outbound
@@ -227,3 +228,19 @@ def sql_functions(x: Inputs) -> DataFrame:
         from {pages} p, lateral json_nodes(to_json(named_struct('id', p.page_id, 'a', array(1, 2)))) n group by p.page_id""",
         pages=x.pages,
     )
+
+
+@query(
+    "sql_scalar_functions", "U-3",
+    f"""with h as (select doc_id, hex(encode(text)) as h from {{fx_seeded}}),
+    b as (select doc_id, h[i:i+1] as byte, count(*) as n from h, unnest(range(1, length(h), 2)) as u(i) group by 1, 2),
+    t as (select doc_id, n, sum(n) over (partition by doc_id) as total from b),
+    e as (select doc_id, round(-sum(n / total * log2(n / total)), 3) + 0.0 as entropy from t group by doc_id)
+    select s.doc_id, array_to_string(list_sort({_IPS}), ' ') as addresses, entropy from {{fx_seeded}} s join e on e.doc_id = s.doc_id""",
+)
+def sql_scalar_functions(x: Inputs) -> DataFrame:
+    """The registered scalar names in SQL: extract_ips and byte_entropy on whole seeded texts."""
+    checks.register(x.spark)
+    return x.spark.sql(
+        "select doc_id, array_join(array_sort(extract_ips(text)), ' ') as addresses, byte_entropy(encode(text, 'UTF-8')) as entropy from {seeded}", seeded=x.fx_seeded,
+    )

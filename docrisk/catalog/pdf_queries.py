@@ -244,18 +244,28 @@ _RULES = {
     "EP-21": ("hidden_count > 0", "case when hidden_suspicious then 'high' else 'medium' end", "case when hidden_suspicious then 20 else 8 end"),
 }
 _TIMES = {"EP-11": "executable_attachments", "EP-12": "other_attachments"}
+# Category and source by rule, written out again for the check.
+_ORIGIN = {
+    "EP-1": ("pdf-security", "pdf-structure-analysis"), "EP-2": ("pdf-navigation", "pdf-openaction-analysis"), "EP-3": ("pdf-navigation", "pdf-openaction-analysis"),
+    "EP-4": ("pdf-navigation", "pdf-openaction-analysis"), "EP-5": ("pdf-security", "pdf-openaction-analysis"), "EP-6": ("pdf-security", "pdf-openaction-analysis"),
+    "EP-7": ("pdf-security", "pdf-openaction-analysis"), "EP-8": ("pdf-security", "pdf-structure-analysis"), "EP-9": ("pdf-security", "pdf-structure-analysis"),
+    "EP-10": ("pdf-provenance", "pdf-embedded-file-analysis"), "EP-11": ("pdf-security", "pdf-embedded-file-analysis"), "EP-12": ("pdf-security", "pdf-embedded-file-analysis"),
+    "EP-13": ("pdf-security", "pdf-structure-analysis"), "EP-14": ("pdf-security", "pdf-structure-analysis"), "EP-15": ("pdf-links", "pdf-link-analysis"),
+    "EP-16": ("pdf-text", "pdf-ocr"), "EP-17": ("pdf-text", "pdf-ocr"), "EP-18": ("pdf-text", "pdf-ocr"), "EP-19": ("pdf-forms", "pdf-structure-analysis"),
+    "EP-20": ("pdf-forms", "pdf-structure-analysis"), "EP-21": ("pdf-hidden-text", "pdf-hidden-text-analysis"),
+}
 EVIDENCE = ", ev as (" + " union all ".join(
-    f"select doc_id, '{r}' as rule_id, {sev} as severity, {score} as score, cast({_TIMES.get(r, '1')} as bigint) as occurrences from facts where {when}"
+    f"select doc_id, '{r}' as rule_id, '{_ORIGIN[r][0]}' as category, '{_ORIGIN[r][1]}' as source, {sev} as severity, {score} as score, cast({_TIMES.get(r, '1')} as bigint) as occurrences from facts where {when}"
     for r, (when, sev, score) in _RULES.items()
 ) + ") "
 
 
 @query(
     "pdf_evidence", "EP-1, EP-4, EP-8, EP-9, EP-10, EP-11, EP-12, EP-13, EP-14, EP-16, EP-18, EP-20, EP-21, EV-1, EV-2",
-    _DOCS + EVIDENCE + "select doc_id, rule_id, severity, score, occurrences from ev",
+    _DOCS + EVIDENCE + "select doc_id, rule_id, category, source, severity, score, occurrences from ev",
 )
 def pdf_evidence(x: Inputs) -> DataFrame:
-    return evidence.apply_rules(_facts(x), evidence.PDF, "doc_id").select("doc_id", "rule_id", "severity", "score", "occurrences")
+    return evidence.apply_rules(_facts(x), evidence.PDF, "doc_id").select("doc_id", "rule_id", "category", "source", "severity", "score", "occurrences")
 
 
 # Open actions of every type, links, forms and a missing OCR engine, on one facts row per order.
@@ -274,7 +284,8 @@ _VARIED_RULES = {r: _RULES[r] for r in ("EP-2", "EP-3", "EP-4", "EP-5", "EP-6",
 @query(
     "pdf_evidence_actions", "EP-2, EP-3, EP-4, EP-5, EP-6, EP-7, EP-9, EP-15, EP-17, EP-19",
     "with facts as (" + _VARIED + ") " + " union all ".join(
-        f"select doc_id, '{r}' as rule_id, {sev} as severity, {score} as score from facts where {when}" for r, (when, sev, score) in _VARIED_RULES.items()
+        f"select doc_id, '{r}' as rule_id, '{_ORIGIN[r][0]}' as category, '{_ORIGIN[r][1]}' as source, {sev} as severity, {score} as score from facts where {when}"
+        for r, (when, sev, score) in _VARIED_RULES.items()
     ),
 )
 def pdf_evidence_actions(x: Inputs) -> DataFrame:
@@ -282,7 +293,7 @@ def pdf_evidence_actions(x: Inputs) -> DataFrame:
     facts_ = x.sql(_VARIED).withColumns({
         "supported": F.lit(True), "action_target": F.lit("t"), "action_raw_type": F.lit("r"), "ocr_available": F.lit(False),
     })
-    return evidence.apply_rules(facts_, rules, "doc_id").select("doc_id", "rule_id", "severity", "score")
+    return evidence.apply_rules(facts_, rules, "doc_id").select("doc_id", "rule_id", "category", "source", "severity", "score")
 
 
 @query(

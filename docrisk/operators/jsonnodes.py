@@ -154,7 +154,7 @@ def json_nodes_udtf():
     )
     class JsonNodes:
         def eval(self, doc: str):
-            yield from _parse_one(doc)[1]
+            yield from _parse_one(doc)[2]
 
     return JsonNodes
 
