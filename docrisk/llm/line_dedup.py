@@ -1,16 +1,20 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Tokens that hold a digit, an at sign or a URL scheme become ``<*>``. A fixed-depth tree then sorts lines by
-token count and leading tokens; a leaf is (count, first ``depth`` tokens). In leaves that many documents reach,
-each token position keeps its token if at least half of the leaf's lines have it, else it is ``<*>`` too: the
-leaf's template. Lines that agree with at least ``likeness`` of the template's fixed tokens belong to it. A
+A fixed-depth tree sorts lines by token count and leading tokens; a leaf is (count, first ``depth`` tokens), where
+tokens that hold a digit, an at sign or a URL scheme count as ``<*>``. In leaves that many documents reach, each
+token position keeps its token if at least half of the leaf's lines have it, else it is ``<*>``, a variable field:
+the leaf's template. Lines that agree with at least ``likeness`` of the template's fixed tokens belong to it. A
 template is boilerplate if its lines come from at least ``min_sources`` different sources; every such line is
 dropped but for those of the document with the smallest id.
 
 A document's source is the leaf of its longest line: exact and near copies of one text are one source, so a
 text that was copied a thousand times does not lose its lines for that.
 
-Null text counts as empty; empty lines stay; long lines and texts are taken whole; repeated rows lose the same
+The lines of all documents are reduced to hashes once and stored. Leaves that many sources reach are then looked
+for in the texts: a table of ``SLOTS`` bytes, of the same size for any input, lets lines of other leaves go before
+anything is shuffled, and an exact join follows.
+
+Null text counts as empty; blank lines stay; long lines and texts are taken whole; repeated rows lose the same
 lines; clashing extra columns stay as they are; an empty table gives an empty result.
 """
 
@@ -19,17 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrisk.llm.common import text_key
+from docrisk.functions.skew import let
+from docrisk.llm.common import stored, text_key
 
 DEPTH = 3
 MIN_SOURCES = 8
 LIKENESS = 0.7
+SLOTS = 1 << 18
 # A whole token; it starts where a token starts and never backtracks, so long tokens cost no more.
-VARIABLE = r"(?<!\S)(?:[^\s\d@:]++|:(?!//))*+(?:[\d@]|://)\S*+"
-
-
-def masked(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), VARIABLE, "<*>")
+VARIABLE = r"(?<![^ ])(?:[^ \d@:]++|:(?!//))*+(?:[\d@]|://)[^ ]*+"
 
 
 def token_count(line: Column) -> Column:
@@ -37,24 +39,43 @@ def token_count(line: Column) -> Column:
 
 
 def leaf(line: Column, depth: int = DEPTH) -> Column:
-    return F.xxhash64(token_count(line), F.substring_index(line, " ", depth))
+    return F.xxhash64(token_count(line), F.regexp_replace(F.substring_index(line, " ", depth), VARIABLE, "<*>"))
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def tree_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, k1, k2, source, pos, line, leaf) of every line that is not blank."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), F.split(masked(F.col("text")), "\n").alias("lines"))
-    longest = F.expr("array_max(transform(lines, l -> named_struct('n', length(l), 'l', l))).l")
-    rows = base.select("doc_id", "k1", "k2", leaf(longest, depth).alias("source"), F.posexplode("lines").alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
-    return rows.where(F.col("line") != "").withColumn("leaf", leaf(F.col("line"), depth))
-
-
-def boilerplate(docs: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: float = LIKENESS) -> DataFrame:
-    """(leaf, line hash, keeper) of the lines of recurring templates, with the document that keeps them."""
-    rows = tree_lines(docs, depth)
-    wide = rows.select("leaf", "source").distinct().groupBy("leaf").count().where(F.col("count") >= min_sources).select("leaf")
-    near = rows.join(wide, "leaf")
-    lines = near.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    """(doc_id, k1, k2, source, pos, line, leaf) of every line; the leaf of a blank line is null."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), lines_of(F.col("text")).alias("lines"))
+    longest = F.expr("array_max(transform(lines, l -> named_struct('n', length(l), 'l', trim(l)))).l")
+    rows = base.select("doc_id", "k1", "k2", let(longest, lambda x: leaf(x, depth)).alias("source"), F.posexplode("lines").alias("pos", "raw"))
+    out = let(F.trim("raw"), lambda x: F.struct(x.alias("line"), F.when(x != "", leaf(x, depth)).alias("leaf")))
+    return rows.select("doc_id", "k1", "k2", "source", "pos", out.alias("o")).select("doc_id", "k1", "k2", "source", "pos", F.col("o.line").alias("line"), F.col("o.leaf").alias("leaf"))
+
+
+def slot_of(hash_: Column) -> Column:
+    return F.pmod(hash_, F.lit(SLOTS)).cast("int")
+
+
+def slot_filter(leaves: DataFrame) -> Column:
+    """Test on ``leaf``: true for every leaf of ``leaves`` and few others; at most SLOTS small rows reach the driver."""
+    table = bytearray(SLOTS)
+    for row in leaves.select(slot_of(F.col("leaf")).alias("s")).distinct().collect():
+        table[row["s"]] = 1
+    return F.substring(F.lit(bytes(table)), slot_of(F.col("leaf")) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def boilerplate(docs: DataFrame, rows: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: float = LIKENESS) -> tuple[DataFrame, Column]:
+    """(leaf, lh, keeper) of the lines of recurring templates with the document that keeps them, and a filter on leaves.
+
+    ``rows`` are the stored line hashes (doc_id, k1, k2, source, pos, leaf, lh).
+    """
+    wide = stored(rows.select("leaf", "source").distinct().groupBy("leaf").count().where(F.col("count") >= min_sources).select("leaf"), "line-leaves")
+    maybe = slot_filter(wide)
+    near = tree_lines(docs, depth).select("leaf", "line").where(maybe).join(wide, "leaf")
+    lines = stored(near.groupBy("leaf", "line").agg(F.count("*").alias("n")), "line-texts")
     tokens = lines.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).groupBy("leaf", "pos").agg(
         F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all")
@@ -65,26 +86,27 @@ def boilerplate(docs: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOUR
     is_fixed = F.size(F.filter("template", lambda t: t != "<*>"))
     agree = F.size(F.filter(F.zip_with("template", F.split("line", " "), lambda t, x: (t != "<*>") & (t == x)), lambda x: x))
     member = lines.join(template, "leaf").where((is_fixed > 0) & (agree >= is_fixed * likeness)).select("leaf", F.xxhash64("line").alias("lh"))
-    seen = near.select("leaf", F.xxhash64("line").alias("lh"), "source", "doc_id").groupBy("leaf", "lh", "source").agg(F.min("doc_id").alias("doc_id"))
-    seen = seen.join(member, ["leaf", "lh"])
+    seen = rows.where(maybe).groupBy("leaf", "lh", "source").agg(F.min("doc_id").alias("doc_id")).join(member, ["leaf", "lh"])
     recurring = (
         seen.groupBy("leaf", "source").agg(F.min("doc_id").alias("doc_id"))
         .groupBy("leaf").agg(F.count("*").alias("sources"), F.min("doc_id").alias("keeper")).where(F.col("sources") >= min_sources)
     )
-    return member.join(recurring.select("leaf", "keeper"), "leaf")
+    return stored(member.join(recurring.select("leaf", "keeper"), "leaf"), "line-boilerplate"), maybe
 
 
 def drop_lines(docs: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: float = LIKENESS) -> DataFrame:
     """``docs`` with ``text`` less its boilerplate lines, and ``n_lines`` and ``n_dropped``."""
-    bad = boilerplate(docs, depth, min_sources, likeness).select(F.col("leaf").alias("_leaf"), "lh", "keeper")
-    rows = tree_lines(docs, depth).select("doc_id", "k1", "k2", "pos", "leaf", F.xxhash64("line").alias("h"))
-    hit = rows.join(bad, (F.col("leaf") == F.col("_leaf")) & (F.col("h") == F.col("lh")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    hashed = tree_lines(docs, depth).select("doc_id", "k1", "k2", "source", "pos", "leaf", F.xxhash64("line").alias("lh"))
+    rows = stored(hashed, "line-hashes").where("leaf is not null")
+    found, maybe = boilerplate(docs, rows, depth, min_sources, likeness)
+    bad = found.select(F.col("leaf").alias("_leaf"), F.col("lh").alias("_lh"), "keeper")
+    hit = rows.where(maybe).join(bad, (F.col("leaf") == F.col("_leaf")) & (F.col("lh") == F.col("_lh")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = hit.groupBy("k1", "k2", F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
     k1, k2 = text_key(F.col("text"))
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
     same = (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
     out = keyed.join(gone, same, "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = lines_of(F.col("text"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}

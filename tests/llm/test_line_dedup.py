@@ -4,19 +4,19 @@ import re
 
 from docrisk.llm import line_dedup as ld
 
-VARIABLE = re.compile(r"(?<!\S)(?:[^\s\d@:]|:(?!//))*(?:[\d@]|://)\S*")
+VARIABLE = re.compile(r"(?<![^ ])(?:[^ \d@:]|:(?!//))*(?:[\d@]|://)[^ ]*", re.ASCII)
 
 
 def brute(texts, depth=3, least=ld.MIN_SOURCES, likeness=ld.LIKENESS):
     """The same decisions with plain Python."""
     def leaf(line):
-        return line.count(" ") + 1, " ".join(line.split(" ")[:depth])
+        return line.count(" ") + 1, VARIABLE.sub("<*>", " ".join(line.split(" ")[:depth]))
 
     rows = []
     for n, (d, t) in enumerate(texts):
-        lines = VARIABLE.sub("<*>", t or "").split("\n")
-        source = leaf(max(lines, key=lambda x: (len(x), x)))
-        rows += [(n, d, source, p, re.sub(r"\s+", " ", x).strip(" ")) for p, x in enumerate(lines)]
+        lines = (t or "").split("\n")
+        source = leaf(max((len(x), x.strip(" ")) for x in lines)[1])
+        rows += [(n, d, source, p, x.strip(" ")) for p, x in enumerate(lines)]
     rows = [(n, d, s, p, x, leaf(x)) for n, d, s, p, x in rows if x]
     sources = collections.defaultdict(set)
     for _, _, s, _, _, f in rows:
