@@ -19,6 +19,7 @@ columns are ignored. An empty table gives an empty result. Very long texts are c
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrisk.llm.anchors import anchors, shared_texts, with_copies, words_of
-from docrisk.llm.common import WordHashes, merge_spans, ngram_hashes, pieces, signed, stored, window_minima
+from docrisk.llm.anchors import Rows, anchor_hashes, anchors, shared_texts, with_copies, words_of
+from docrisk.llm.common import WordHashes, merge_spans, pieces, signed, stored
 
 WINDOW = 35
 GRAM = 12
@@ -154,30 +155,27 @@ def repeated_windows(blobs: list[bytes], copies: list[int], window: int) -> list
 
 # ---- segments ------------------------------------------------------------------------------------------------
 def segments(shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, k1, k2, start, anchor, h1, h2, n_words, blob): runs of windows with the same shared anchor."""
+    """(doc_id, k1, k2, start, anchor, h1, h2, n_words, blob): runs of windows with the same shared anchor hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
+        rows = Rows(["doc_id", "k1", "k2", "start", "anchor", "h1", "h2", "n_words", "blob"])
         for batch in batches:
-            for doc, k1, k2, text, spots in zip(batch["doc_id"].astype("Int64"), batch["k1"], batch["k2"], batch["text"], batch["spots"]):
+            docs = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
+            for doc, k1, k2, text, grams in zip(docs, batch["k1"], batch["k2"], batch["text"], batch["grams"]):
                 words = words_of(text)
-                h = ngram_hashes(known.of(words), gram)
-                mine = window_minima(h, window - gram + 1)
-                cut = np.flatnonzero(np.diff(mine)) + 1
-                begins, stops = np.concatenate([[0], cut]), np.concatenate([cut, [len(mine)]])
-                shared_here = np.isin(mine[begins], np.asarray(spots))
-                rows = []
-                for a, b in zip(begins[shared_here], stops[shared_here]):
+                h, at = anchor_hashes(words, known, gram, window - gram + 1)
+                mine = signed(h[at])
+                begins = np.concatenate([[0], np.flatnonzero(mine[1:] != mine[:-1]) + 1])
+                stops = np.append(begins[1:], len(mine))
+                keep = np.isin(mine[begins], np.asarray(grams, np.int64))
+                for a, b, anchor in zip(begins[keep].tolist(), stops[keep].tolist(), mine[begins[keep]].tolist()):
                     blob = b" ".join(words[a : b + window - 1])
-                    whole = xxhash.xxh3_128_intdigest(blob)
-                    rows.append((int(a), h[mine[a]], whole >> 64, whole & (2**64 - 1), int(b - a + window - 1), blob))
-                out = pd.DataFrame(rows, columns=["start", "anchor", "h1", "h2", "n_words", "blob"])
-                for c in ("anchor", "h1", "h2"):
-                    out[c] = signed(np.array(out[c].tolist(), np.uint64))
-                out.insert(0, "k2", k2)
-                out.insert(0, "k1", k1)
-                out.insert(0, "doc_id", pd.array([doc] * len(out), "Int64"))
-                yield out
+                    whole = xxhash.xxh3_128_digest(blob)
+                    h1, h2 = struct.unpack("<qq", whole)
+                    rows.add((doc, k1, k2, a, anchor, h1, h2, b - a + window - 1, blob), len(blob) + 64)
+                yield from rows.frames()
+        yield from rows.frames(last=True)
 
     return shared.mapInPandas(run, "doc_id long, k1 long, k2 long, start int, anchor long, h1 long, h2 long, n_words int, blob binary")
 
@@ -187,18 +185,20 @@ def routed(distinct: DataFrame, shards: int, window: int, hot_words: int) -> Dat
     load = distinct.groupBy("anchor").agg(F.sum("n_words").alias("w")).where(F.col("w") > hot_words).select("anchor", F.lit(True).alias("hot"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = Rows(["shard", "h1", "h2", "base", "copies", "blob"])
         for batch in batches:
-            rows = []
             for anchor, h1, h2, copies, blob, hot in zip(batch["anchor"], batch["h1"], batch["h2"], batch["copies"], batch["blob"], batch["hot"]):
                 blob = bytes(blob)
                 if not hot:
-                    rows.append((anchor % shards, h1, h2, 0, copies, blob))
+                    rows.add((anchor % shards, h1, h2, 0, copies, blob), len(blob) + 64)
+                    yield from rows.frames()
                     continue
                 words = blob.split(b" ")
                 for i in range(len(words) - window + 1):
                     one = b" ".join(words[i : i + window])
-                    rows.append((xxhash.xxh3_64_intdigest(one) % shards, h1, h2, i, copies, one))
-            yield pd.DataFrame(rows, columns=["shard", "h1", "h2", "base", "copies", "blob"])
+                    rows.add((xxhash.xxh3_64_intdigest(one) % shards, h1, h2, i, copies, one), len(one) + 64)
+                    yield from rows.frames()
+        yield from rows.frames(last=True)
 
     joined = distinct.join(load, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     return joined.mapInPandas(run, "shard int, h1 long, h2 long, base int, copies long, blob binary")

@@ -21,13 +21,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrisk.llm.anchors import anchors, shared_texts, with_copies, words_of
-from docrisk.llm.common import merge_spans, partitions, stored
+from docrisk.llm.anchors import Rows, anchor_hashes, anchors, shared_texts, with_copies, words_of
+from docrisk.llm.common import WordHashes, merge_spans, partitions, signed, stored
 
 MIN_WORDS = 50
 _SPAN = "array<struct<start:int,stop:int>>"
@@ -38,13 +39,19 @@ def suffixes(shared: DataFrame, min_words: int) -> DataFrame:
     half = min_words // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        rows = Rows(["suffix", "left", "spot", "doc_id", "k1", "k2"])
         for batch in batches:
-            for doc, k1, k2, text, spots in zip(batch["doc_id"].astype("Int64"), batch["k1"], batch["k2"], batch["text"], batch["spots"]):
+            docs = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
+            for doc, k1, k2, text, grams in zip(docs, batch["k1"], batch["k2"], batch["text"], batch["grams"]):
                 words = words_of(text)
-                rows = [(b" ".join(words[p : p + min_words]), b" ".join(words[max(0, p - half) : p][::-1]), int(p)) for p in spots]
-                out = pd.DataFrame(rows, columns=["suffix", "left", "spot"])
-                out["doc_id"], out["k1"], out["k2"] = pd.array([doc] * len(out), "Int64"), k1, k2
-                yield out
+                h, at = anchor_hashes(words, known, half, min_words - half + 1)
+                at = np.unique(at)
+                for p in at[np.isin(signed(h[at]), np.asarray(grams, np.int64))].tolist():
+                    suffix, left = b" ".join(words[p : p + min_words]), b" ".join(words[max(0, p - half) : p][::-1])
+                    rows.add((suffix, left, p, doc, k1, k2), len(suffix) + len(left) + 64)
+                yield from rows.frames()
+        yield from rows.frames(last=True)
 
     return shared.mapInPandas(run, "suffix binary, left binary, spot int, doc_id long, k1 long, k2 long")
 
@@ -123,7 +130,7 @@ def across(edges: DataFrame, min_words: int) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_words, n_repeated, spans) of the rows that hold a repeated passage; spans are word intervals."""
     half = min_words // 2
-    marked = stored(with_copies(anchors(docs, half, min_words - half + 1)), "suffix-anchors")
+    marked = stored(with_copies(stored(anchors(docs, half, min_words - half + 1), "suffix-anchors")), "suffix-marked")
     shared = shared_texts(docs, marked, "suffix-texts")
     n = partitions(docs.sparkSession)
     order = ["suffix", "left", "k1", "doc_id", "spot"]
