@@ -237,17 +237,17 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """Non-negative least squares by the active-set method: min |a x - b| with x >= 0."""
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
-    gram, target = a.T @ a, a.T @ b
+    scale = max(1.0, abs(a.T @ b).max())
     for _ in range(rounds):
-        slope = target - gram @ x
+        slope = a.T @ (b - a @ x)  # no Gram matrix of all columns: there are far more columns than rows
         slope[active] = -np.inf
         j = int(slope.argmax())
-        if slope[j] <= 1e-9 * max(1.0, abs(target).max()):
+        if slope[j] <= 1e-9 * scale:
             break
         active[j] = True
         while True:
             idx = np.flatnonzero(active)
-            best = np.linalg.lstsq(gram[np.ix_(idx, idx)], target[idx], rcond=None)[0]
+            best = np.linalg.lstsq(a[:, idx], b, rcond=None)[0]
             if (best > 1e-12).all():
                 x[:] = 0
                 x[idx] = best
