@@ -50,7 +50,9 @@ def tree_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, k1, k2, source, pos, line, leaf) of every line; the leaf of a blank line is null."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), lines_of(F.col("text")).alias("lines"))
     longest = F.expr("array_max(transform(lines, l -> named_struct('n', length(l), 'l', trim(l)))).l")
-    rows = base.select("doc_id", "k1", "k2", let(longest, lambda x: leaf(x, depth)).alias("source"), F.posexplode("lines").alias("pos", "raw"))
+    # Once per text, before its lines become rows.
+    sourced = base.withColumn("source", let(longest, lambda x: leaf(x, depth)))
+    rows = sourced.select("doc_id", "k1", "k2", "source", F.posexplode("lines").alias("pos", "raw"))
     out = let(F.trim("raw"), lambda x: F.struct(x.alias("line"), F.when(x != "", leaf(x, depth)).alias("leaf")))
     return rows.select("doc_id", "k1", "k2", "source", "pos", out.alias("o")).select("doc_id", "k1", "k2", "source", "pos", F.col("o.line").alias("line"), F.col("o.leaf").alias("leaf"))
 
