@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrisk.llm.common import WordHashes, ngram_hashes, signed, stored
+from docrisk.llm.common import WordHashes, ngram_hashes, signed, stored, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -94,7 +93,7 @@ def probe(docs: DataFrame, shingles: DataFrame, n: int = SHINGLE) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            for doc, k1, k2, text in zip(batch["doc_id"].astype("Int64"), batch["k1"], batch["k2"], batch["text"]):
                 words, _ = hashes_of(text, known, n)
                 sig, full = [], []
                 for length in lengths:
@@ -108,43 +107,52 @@ def probe(docs: DataFrame, shingles: DataFrame, n: int = SHINGLE) -> DataFrame:
                         low = h[h <= cut]
                         sig.append(low[passing(table, low)])
                 if full:
-                    key = int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
-                    rows.append((None if doc is pd.NA else int(doc), key, np.unique(np.concatenate(sig)) if sig else [], np.unique(np.concatenate(full))))
-            out = pd.DataFrame(rows, columns=["doc_id", "key", "sig", "every"])
+                    rows.append((None if doc is pd.NA else int(doc), k1, k2, np.unique(np.concatenate(sig)) if sig else [], np.unique(np.concatenate(full))))
+            out = pd.DataFrame(rows, columns=["doc_id", "k1", "k2", "sig", "every"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key long, sig array<long>, every array<long>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
+    return keyed.mapInPandas(run, "doc_id long, k1 long, k2 long, sig array<long>, every array<long>")
 
 
-def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SIGNATURE, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles, containment) of all pairs with containment of the item >= threshold."""
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SIGNATURE, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, k1, k2, item_id, size, n_shared, share) of all texts and items with containment of the item >= threshold."""
     shingles = stored(item_shingles(items, k, n), "items")
     found = stored(probe(docs, shingles, n), "probes")
     # Half of the expected share: far in the tail for any pair at the threshold.
     need = F.ceil(F.least(F.col("size"), F.lit(k)) * (threshold / 2))
     signatures = shingles.where(F.col("hash") <= F.col("cut")).select("item_id", "size", "hash")
     candidates = (
-        found.select("doc_id", "key", F.explode("sig").alias("hash")).join(signatures, "hash")
-        .groupBy("doc_id", "key", "item_id", "size").agg(F.count("*").alias("hits")).where(F.col("hits") >= need)
+        found.select("doc_id", "k1", "k2", F.explode("sig").alias("hash")).join(signatures, "hash")
+        .groupBy("doc_id", "k1", "k2", "item_id", "size").agg(F.count("*").alias("hits")).where(F.col("hits") >= need)
     )
-    pair = candidates.select(F.col("doc_id").alias("d"), F.col("key").alias("kk"), "item_id", "size")
-    pairs = found.join(pair, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("kk")))
+    pair = candidates.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_1"), F.col("k2").alias("_2"), "item_id", "size")
+    pairs = found.join(pair, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")))
     exact = (
-        pairs.select("doc_id", "key", "item_id", "size", F.explode("every").alias("hash"))
+        pairs.select("doc_id", "k1", "k2", "item_id", "size", F.explode("every").alias("hash"))
         .join(shingles.select("item_id", "hash"), ["item_id", "hash"])
-        .groupBy("doc_id", "key", "item_id", "size").agg(F.countDistinct("hash").alias("n_shared"))
+        .groupBy("doc_id", "k1", "k2", "item_id", "size").agg(F.countDistinct("hash").alias("n_shared"))
     )
-    share = F.col("n_shared") / F.col("size")
+    return exact.withColumn("share", F.col("n_shared") / F.col("size")).where(F.col("share") >= threshold)
+
+
+def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SIGNATURE, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles, containment) of all pairs with containment of the item >= threshold."""
     return (
-        exact.where(share >= threshold).groupBy("doc_id", "item_id")
-        .agg(F.max("n_shared").alias("n_shared"), F.max("size").alias("n_shingles"), F.max(share).alias("containment"))
+        contained(docs, items, threshold, k, n).groupBy("doc_id", "item_id")
+        .agg(F.max("n_shared").alias("n_shared"), F.max("size").alias("n_shingles"), F.max("share").alias("containment"))
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows without doc_id are matched by null."""
-    hit = search(docs, items, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the documents that contain an item. Rows with the same doc_id are one document; without one, each text is."""
 
+    def document(doc_id, k1, k2) -> list:
+        nameless = doc_id.isNull()
+        return [nameless.alias("_n"), F.coalesce(doc_id, k1).alias("_a"), F.when(nameless, k2).otherwise(0).alias("_b")]
 
+    hit = contained(docs, items, threshold).select(*document(F.col("doc_id"), F.col("k1"), F.col("k2"))).distinct()
+    columns = docs.columns
+    own = docs.select("*", *document(F.col("doc_id").cast("long"), *text_key(F.col("text"))))
+    return own.join(hit, ["_n", "_a", "_b"], "left_anti").select(*columns)

@@ -198,7 +198,10 @@ def verified(tasks: DataFrame, threshold: float) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL) -> DataFrame:
-    """(doc_id, k1, k2, class_id, n_links) per row of ``docs``; k1 and k2 are the text's hashes."""
+    """(doc_id, k1, k2, class_id, n_links, label) per row of ``docs``; k1 and k2 are the text's hashes.
+
+    ``label`` names the class by a node of it: also classes without doc_id, or that share one, have labels of their own.
+    """
     bands, rows = band_plan(threshold, recall)
     sketched = stored(sketches(docs, bands, rows, n), "join-sketches")
     texts = sketched.groupBy("node", "k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("doc_id"))
@@ -231,22 +234,24 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
         "node", "first", "n_docs", (F.coalesce("n_links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), F.coalesce("label", "node").alias("label"),
     )
     smallest = of_node.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n_docs").alias("size")).where("size > 1").select("label", "class_id")
-    placed = of_node.join(smallest, "label").select("node", "class_id", "n_links")
+    placed = of_node.join(smallest, "label").select("node", "label", "class_id", "n_links")
     # Wordless texts are nodes of their own text and have no links.
     out = sketched.withColumn("wordless", F.size("bands") == 0).select("doc_id", "k1", "k2", "node", "wordless").join(placed, "node", "left")
     return out.select(
         "doc_id", "k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.when(F.col("wordless"), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce("label", "node").alias("label"),
     )
 
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without near-duplicates: of every class the row with the smallest doc_id stays.
 
-    Rows without doc_id stay only if their class has no row with one; of repeated rows one stays.
+    Rows without doc_id stay only if their class has no row with one; of repeated rows one stays. Classes are
+    told apart by their texts, so different texts without doc_id or with the same one do not replace each other.
     """
     found = join(docs, threshold)
-    keep = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("r")).select(
+    keep = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("r")).select(
         F.col("r.doc_id").alias("_d"), F.col("r.k1").alias("_1"), F.col("r.k2").alias("_2")
     )
     columns = docs.columns

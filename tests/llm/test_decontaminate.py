@@ -58,6 +58,14 @@ def test_against_brute_force(spark, docs_of, k):
     assert "label" in kept.columns
 
 
+def test_texts_without_id_go_one_by_one(spark, docs_of):
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    texts = [(None, "x a b c d e f g"), (None, "quite another text"), (None, None), (5, "x a b c d e f g"), (6, "clean")]
+    out = dc.clean(docs_of(texts), items)
+    assert out.columns == docs_of(texts).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([texts[1], texts[2], texts[4]], key=str)
+
+
 def test_small_bit_table_loses_nothing(spark, docs_of, monkeypatch):
     monkeypatch.setattr(dc, "MAX_BITS", 1 << 12)
     texts, items = corpus()

@@ -76,6 +76,12 @@ def test_null_ids_and_empty_table(spark, docs_of):
     assert ngram_join.join(docs_of([(1, "a")]).limit(0)).count() == 0
 
 
+def test_texts_without_own_id_do_not_replace_each_other(spark, docs_of):
+    texts = [(None, "one two three four five six"), (None, "q r s t u v"), (None, "q r s t u v"), (None, ""), (7, "red green blue white black"), (7, "cat dog cow hen fox")]
+    out = ngram_join.one_per_class(docs_of(texts))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(set(texts), key=str)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.band_plan(0.8, 0.9998)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9998 and rows >= 5
