@@ -72,6 +72,33 @@ def test_suffix_spans_are_sound_and_nearly_complete(spark, docs_of):
     assert missing <= 0.02 * total
 
 
+def check_suffix_spans(got, texts):
+    _, flags = covered(texts, 50)
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    for (d, _), f in zip(texts, flags):
+        mine = [False] * len(f)
+        for a, b in spans.get(d, ()):
+            mine[a:b] = [True] * (b - a)
+        assert mine == f
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_suffix_spans_of_rows_that_are_not_neighbours(spark, docs_of, most):
+    """Parts of passages of 50 to 74 words stand in other documents, between whole ones in the suffix order."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for n in (50, 50, 50, 54, 60, 74):
+        passage = words(n)
+        for i in range(3):
+            texts.append(words(40) + passage + words(40))
+        for cut in (5, 10, 15, 20, 24):
+            for _ in range(4):
+                texts.append(words(40) + passage[cut:] + words(40))
+    texts = [(i, " ".join(t) + (" \x01 a\x02" if i % 5 == 0 else "")) for i, t in enumerate(texts)]
+    check_suffix_spans(suffix_dedup.repeats(docs_of(texts), **({} if most == 2000 else {"most": most})).collect(), texts)
+
+
 def test_neighbours_across_partitions(spark, docs_of):
     """One passage fills all partitions; every document reports it."""
     passage = " ".join(f"p{i}" for i in range(60))
