@@ -8,8 +8,8 @@ document is searched in other shards. Only anchors that occur twice are followed
 A shard builds an FM-index of its distinct segments (Burrows-Wheeler transform by suffix sorting, packed bit
 vectors with rank blocks as wavelet matrix) and streams the segments through it: backward search gives for every
 end position the longest match, up to the window, that occurs at two places. Windows that reach the threshold
-are reported as intervals. Shards have a planned number of words; an anchor with more than its share is split
-by the hash of whole windows.
+are reported as intervals. Shards have a planned number of words. Windows of an anchor with more than its share go to
+no shard: they are counted by their 128-bit hash, before the shuffle already, and those that occur twice are joined back.
 
 Equal texts: one represents all; with two copies or more every window occurs elsewhere, so no search is needed.
 Null and empty texts have no words; texts shorter than the window keep all. Repeated rows count as copies. Extra
@@ -180,32 +180,38 @@ def segments(shared: DataFrame, window: int, gram: int) -> DataFrame:
     return shared.mapInPandas(run, "doc_id long, k1 long, k2 long, start int, anchor long, h1 long, h2 long, n_words int, blob binary")
 
 
-def routed(distinct: DataFrame, shards: int, window: int, hot_words: int) -> DataFrame:
-    """(shard, h1, h2, base, copies, blob); segments of a hot anchor as single windows, by the hash of each."""
-    load = distinct.groupBy("anchor").agg(F.sum("n_words").alias("w")).where(F.col("w") > hot_words).select("anchor", F.lit(True).alias("hot"))
+def hot_anchors(distinct: DataFrame, hot_words: int) -> DataFrame:
+    """(anchor) of the anchors whose distinct segments hold more than ``hot_words`` words; stored."""
+    load = distinct.groupBy("anchor").agg(F.sum("n_words").alias("w")).where(F.col("w") > hot_words)
+    return stored(load.select("anchor"), "fm-hot")
+
+
+def routed(cold: DataFrame, shards: int) -> DataFrame:
+    """(shard, h1, h2, base, copies, blob) of the segments of anchors that are not hot."""
+    return cold.select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", F.lit(0).alias("base"), "copies", "blob")
+
+
+def hot_windows(segs: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, starts) of windows of ``segs`` (distinct, of hot anchors) that occur twice, a row for each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = Rows(["shard", "h1", "h2", "base", "copies", "blob"])
+        rows = Rows(["h1", "h2", "base", "copies", "w1", "w2"])
         for batch in batches:
-            for anchor, h1, h2, copies, blob, hot in zip(batch["anchor"], batch["h1"], batch["h2"], batch["copies"], batch["blob"], batch["hot"]):
-                blob = bytes(blob)
-                if not hot:
-                    rows.add((anchor % shards, h1, h2, 0, copies, blob), len(blob) + 64)
-                    yield from rows.frames()
-                    continue
-                words = blob.split(b" ")
+            for h1, h2, copies, blob in zip(batch["h1"], batch["h2"], batch["copies"], batch["blob"]):
+                words = bytes(blob).split(b" ")
                 for i in range(len(words) - window + 1):
-                    one = b" ".join(words[i : i + window])
-                    rows.add((xxhash.xxh3_64_intdigest(one) % shards, h1, h2, i, copies, one), len(one) + 64)
+                    rows.add((h1, h2, i, copies, *struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words[i : i + window])))))
                     yield from rows.frames()
         yield from rows.frames(last=True)
 
-    joined = distinct.join(load, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    return joined.mapInPandas(run, "shard int, h1 long, h2 long, base int, copies long, blob binary")
+    windows = stored(segs.mapInPandas(run, "h1 long, h2 long, base int, copies long, w1 long, w2 long"), "fm-windows")
+    # Stored, so that both sides of the join are plain exchanges and a window of very many segments can be split.
+    often = stored(windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2"), "fm-often")
+    return windows.join(often, ["w1", "w2"], "left_semi").select("h1", "h2", F.array("base").alias("starts"))
 
 
 def repeated(distinct: DataFrame, window: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(h1, h2, starts): repeated windows of every distinct segment, from the index of its shard."""
+    """(h1, h2, starts): repeated windows of every distinct segment, from the index of its shard or by count."""
     total = distinct.agg(F.sum("n_words")).first()[0] or 0
     shards = pieces(total, shard_words)
 
@@ -214,9 +220,15 @@ def repeated(distinct: DataFrame, window: int, shard_words: int = SHARD_WORDS) -
         out = group[["h1", "h2"]].assign(starts=[(f + b).astype(np.int32) for f, b in zip(found, group["base"])])
         return out[out["starts"].map(len) > 0]
 
+    hot = hot_anchors(distinct, 2 * shard_words)
+    if hot.isEmpty():
+        cold, counted = distinct, None
+    else:
+        cold = distinct.join(hot, "anchor", "left_anti")
+        counted = hot_windows(distinct.join(hot, "anchor", "left_semi"), window)
     # As many partitions as shards at least, so that tasks hold a shard each.
-    sent = routed(distinct, shards, window, 2 * shard_words)
-    return sent.groupBy("shard").applyInPandas(run, "h1 long, h2 long, starts array<int>")
+    out = routed(cold, shards).groupBy("shard").applyInPandas(run, "h1 long, h2 long, starts array<int>")
+    return out if counted is None else out.unionByName(counted)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -54,6 +54,22 @@ def test_fm_dedup_is_exact(spark, docs_of, shard_words):
     assert got == want
 
 
+def test_hot_windows_fill_no_shard(spark, docs_of, monkeypatch):
+    """One passage in many different documents: no shard gets more than its planned words."""
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(40)
+    texts = [(i, " ".join(words(36) + passage + words(36))) for i in range(60)]
+    sent, plain = [], fm_dedup.routed
+    monkeypatch.setattr(fm_dedup, "routed", lambda *a: sent.append(plain(*a)) or sent[-1])
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in fm_dedup.dedup(docs_of(texts), shard_words=500).collect()}
+    assert got == {i: [(36, 76)] for i, _ in texts}
+    load = collections.Counter()
+    for r in sent[0].select("shard", "blob").collect():
+        load[r["shard"]] += len(bytes(r["blob"]).split())
+    assert max(load.values(), default=0) <= 1000
+
+
 def test_suffix_spans_are_sound_and_nearly_complete(spark, docs_of):
     texts = corpus(8)
     words, flags = covered(texts, 50)
