@@ -3,7 +3,9 @@
 Base phrases are counted at every place where their words stand consecutively. Notices are searched by
 the pigeonhole rule: a notice that occurs with at most ``k`` edits has one of its ``k + 1`` pieces
 unchanged, so pieces are looked up as plain substrings and only the text around a hit is matched with the
-bounded-error form of the ``regex`` library, which also gives the span.
+bounded-error form of the ``regex`` library, which also gives the span. Around the best match the rest of the text is searched
+on both sides. Before that, blanks, line ends and comment marks at the start of lines become one space; spans are
+given in the text as it was.
 
 Nulls and empty texts have no words and no labels; texts of any length are scanned whole; repeated rows
 give repeated results; extra columns are ignored; an empty table gives an empty result.
@@ -12,6 +14,7 @@ give repeated results; extra columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,8 @@ SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
     "labels string, score double, spans array<struct<label:string,start:int,stop:int,edits:int>>"
 )
+# Blanks that are not a single space; after a line end also the marks a comment's lines begin with.
+BREAK = re.compile(r"""\s*[\r\n](?:\s|[*/#;%!>'"|-]|(?:dnl|rem)(?=\s))*|[^\S\r\n ]\s*|  +""")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 # Word bytes of the lower-cased UTF-8 text: digits, a-z, everything outside ASCII.
 _IS_WORD = np.zeros(256, bool)
@@ -98,14 +103,36 @@ def find_notices(text: str, matchers) -> list[tuple[str, int, int, int, float]]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        for a, b in merged:
-            while hit := pattern.search(text, a, b):
+        least = len(notice) - most
+        rest = merged
+        while rest:
+            a, b = rest.pop()
+            if b - a >= least and (hit := pattern.search(text, a, b)):
                 edits = sum(hit.fuzzy_counts)
                 found.append((label, hit.start(), hit.end(), edits, 1 - edits / len(notice)))
-                a = max(hit.end(), hit.start() + 1)
+                rest += [[a, hit.start()], [max(hit.end(), hit.start() + 1), b]]
     return found
 
 
+def collapsed(text: str) -> tuple[str, list[int], list[int]]:
+    """``text`` with single spaces, and where, in it, how many characters are missing so far."""
+    out, at, size, places, missing = [], 0, 0, [0], [0]
+    for m in BREAK.finditer(text):
+        out += [text[at : m.start()], " "]
+        size += m.start() - at + 1
+        at = m.end()
+        places.append(size)
+        missing.append(at - size)
+    return "".join([*out, text[at:]]), places, missing
+
+
+def notice_spans(text: str, matchers) -> list[tuple[str, int, int, int, float]]:
+    """As ``find_notices``, in any layout of blanks and comment marks."""
+    flat, places, missing = collapsed(text)
+    place = lambda at: at + missing[bisect_right(places, at) - 1]
+    return [(label, place(a), place(b - 1) + 1, *more) for label, a, b, *more in find_notices(flat, matchers)]
+
+
 def scan_text(text: str, bases, notices) -> tuple:
     low = text.translate(_LOWER) if not text.isascii() else text.lower()
     data = low.encode("utf-8", "surrogatepass")
@@ -120,7 +147,7 @@ def scan_text(text: str, bases, notices) -> tuple:
     if starts:
         words_before = lambda at: count_words(low[:at].encode("utf-8", "surrogatepass"))
         first, last = words_before(min(starts)), words_before(max(starts))
-    spans = find_notices(low, notices)
+    spans = notice_spans(low, notices)
     labels = base | {s[0] for s in spans}
     score = 1.0 if base else max((s[4] for s in spans), default=0.0)
     return count_words(data), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, [s[:4] for s in sorted(spans, key=lambda s: s[1:3])]

@@ -59,5 +59,16 @@ def test_pigeonhole_loses_nothing():
             assert found == bool(whole.search(text))
 
 
+def test_places_before_the_best_one_and_wrapped_headers():
+    m, bases = ls.notice_matchers(), ls.base_matchers(ls.BASE)
+    spans = lambda t: [s for s in ls.scan_text(t, bases, m)[-1] if s[0] in ("mit", "mpl")]
+    text = "relaesed under the mit license released under the mit license"
+    assert len(spans(text)) == 2
+    assert len(spans(" ".join([text] * 3))) == 6
+    header = "/* subject to the terms of the Mozilla Public\n * License, v. 2.0\n\n#  Released   under\n# the MIT\r\n#\tLicense. */"
+    (_, a, b, _), (_, c, d, _) = spans(header)
+    assert header[a:b] == "Mozilla Public\n * License" and header[c:d] == "Released   under\n# the MIT\r\n#\tLicense"
+
+
 def test_empty_table(spark, docs_of):
     assert ls.scan(docs_of([(1, "a")]).limit(0)).count() == 0
