@@ -126,7 +126,7 @@ def all_facts(x: Inputs) -> dict[str, DataFrame]:
         "exe": binary.facts(
             *[pick(n, "exe", "file_id") for n in ("fx_pe_headers", "fx_pe_sections", "fx_pe_imports")], binary.behaviours(strings).drop("strings")
         ),
-        "docx": office.facts(*[pick(n, "docx", "doc_id") for n in ("fx_ooxml_full", "fx_ooxml_runs", "fx_ooxml_rels")]),
+        "docx": office.facts(*[pick(n, "docx", "doc_id") for n in ("fx_ooxml_full", "fx_ooxml_runs", "fx_ooxml_rels", "fx_xml_parts")]),
         "json": scoring.validate_facts(jsonnodes.facts(jsonnodes.parse(pick("fx_json_docs", "json", "doc_id")))),
     }
 
