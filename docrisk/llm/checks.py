@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docrisk.llm import decontaminate, fm_dedup, line_dedup, ngram_join
+from docrisk.llm import conversation_checks, decontaminate, fm_dedup, line_dedup, ngram_join
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # Bits 5i to 5i+4 of a hex digest lie in two hex digits.
@@ -81,4 +81,4 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as
   sha256(case when gone is null then array_to_string(w, ' ') else array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]), ' ') end) as kept_sha256
 from w left join gone using (r)"""
 
-SQL = {"op2_warc": OP2, "op3_decontaminate": OP3, "op5_line_dedup": OP5, "op6_ngram_join": OP6, "op9_fm_dedup": OP9}
+SQL = {"op2_warc": OP2, "op3_decontaminate": OP3, "op5_line_dedup": OP5, "op6_ngram_join": OP6, "op9_fm_dedup": OP9} | conversation_checks.SQL
