@@ -115,14 +115,14 @@ _CHUNKS = pa.schema([("end", pa.binary()), ("first", pa.int64()), ("ids", pa.bin
 _ENDS = pa.schema([("end", pa.binary()), ("ends_sha256", pa.string())])
 
 
-def end_hashes(rows: DataFrame) -> DataFrame:
+def end_hashes(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """SHA-256 of the ascending decimal ids, comma-joined, of every end. Sorted by range over (end, id), packed, then hashed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, end, first, ids = [], None, 0, []
         for batch in batches:
             for e, c in zip(*[x.to_pylist() for x in batch.columns]):
-                if e != end or len(ids) >= CHUNK:
+                if e != end or len(ids) >= chunk:
                     if ids:
                         out.append((end, first, ",".join(ids).encode()))
                     end, first, ids = e, c, []

@@ -126,15 +126,15 @@ class Corpus:
         return flat(self.fs, f"{path}.tokens", f"<u{part['width']}", a, b - a)
 
 
-def crc_of(fs: pafs.FileSystem, path: str, kind: str, a: int, b: int) -> int:
+def crc_of(fs: pafs.FileSystem, path: str, kind: str, a: int, b: int, block: int = BLOCK) -> int:
     """CRC of ids [a, b) as 32-bit integers, by blocks."""
     crc = 0
-    for at in range(a, b, BLOCK):
-        crc = zlib.crc32(flat(fs, path, kind, at, min(BLOCK, b - at)).astype("<u4"), crc)
+    for at in range(a, b, block):
+        crc = zlib.crc32(flat(fs, path, kind, at, min(block, b - at)).astype("<u4"), crc)
     return crc
 
 
-def read(spark: SparkSession, folder: str, parts: list[dict], block_docs: int = 5_000) -> DataFrame:
+def read(spark: SparkSession, folder: str, parts: list[dict], block_docs: int = 5_000, block_ids: int = BLOCK) -> DataFrame:
     """Documents of a corpus: doc_id, start (ids before it), n_tokens and the CRC of its ids as 32-bit integers.
 
     Tasks take runs of ``block_docs`` documents, so a large part is read by many.
@@ -151,10 +151,10 @@ def read(spark: SparkSession, folder: str, parts: list[dict], block_docs: int =
                 crcs = []
                 i = 0
                 while i < count:  # documents whose ids fit a block are read together
-                    j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
+                    j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block_ids, side="right")) - 1)
                     a, b = int(offsets[i]), int(offsets[j])
                     if j == i + 1:
-                        crcs.append(crc_of(fs, f"{path}.tokens", kind, a, b))
+                        crcs.append(crc_of(fs, f"{path}.tokens", kind, a, b, block_ids))
                     else:
                         block = memoryview(flat(fs, f"{path}.tokens", kind, a, b - a).astype("<u4").tobytes())
                         cuts = ((offsets[i : j + 1] - a) * 4).tolist()
