@@ -116,23 +116,22 @@ def text_levels(x: Inputs) -> DataFrame:
 
 
 # ---- the whole scan -----------------------------------------------------------------------------
-def all_facts(x: Inputs) -> dict[str, DataFrame]:
-    """Facts of the four formats, each computed for the files that take its route."""
+def all_tables(x: Inputs) -> plan.Tables:
+    """Fact tables of the four formats. The given tables hold rows of many more files than there are: each table is cut
+    to the files that take its route before the costly work on its rows."""
     ids = {r: plan.routed(x.fx_files, f"route_{r}") for r in ("pdf", "exe", "docx", "json")}
     pick = lambda name, route, key: plan.only(x[name], ids[route], key)
     strings = pick("fx_seeded", "exe", "doc_id").select(F.col("doc_id").alias("file_id"), F.array("text").alias("strings"))
-    return {
-        "pdf": pdfspans.facts(*[pick(n, "pdf", "doc_id") for n in ("fx_pdf_objects", "fx_pdf_spans", "fx_pdf_pages")]),
-        "exe": binary.facts(
-            *[pick(n, "exe", "file_id") for n in ("fx_pe_headers", "fx_pe_sections", "fx_pe_imports")], binary.behaviours(strings).drop("strings")
-        ),
-        "docx": office.facts(*[pick(n, "docx", "doc_id") for n in ("fx_ooxml_full", "fx_ooxml_runs", "fx_ooxml_rels", "fx_xml_parts")]),
-        "json": scoring.validate_facts(jsonnodes.facts(jsonnodes.parse(pick("fx_json_docs", "json", "doc_id")))),
-    }
+    return plan.Tables(
+        pdf=tuple(pick(n, "pdf", "doc_id") for n in ("fx_pdf_objects", "fx_pdf_spans", "fx_pdf_pages")),
+        exe=(*[pick(n, "exe", "file_id") for n in ("fx_pe_headers", "fx_pe_sections", "fx_pe_imports")], binary.behaviours(strings).drop("strings")),
+        docx=tuple(pick(n, "docx", "doc_id") for n in ("fx_ooxml_full", "fx_ooxml_runs", "fx_ooxml_rels", "fx_xml_parts")),
+        json=scoring.validate_facts(jsonnodes.facts(jsonnodes.parse(pick("fx_json_docs", "json", "doc_id")))),
+    )
 
 
 def full_scan(x: Inputs) -> DataFrame:
-    return plan.scan(x.fx_files, x.fx_av, all_facts(x))
+    return plan.scan_tables(x.fx_files, x.fx_av, all_tables(x))
 
 
 def _part(prefix: str, sql: str, key: str, cols: str) -> str:

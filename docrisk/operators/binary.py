@@ -13,6 +13,7 @@ from docrisk.functions import patterns as P
 from docrisk.functions import signals as S
 from docrisk.functions.checks import byte_entropy
 from docrisk.functions.skew import let
+from docrisk.operators import rollup as R
 
 X86, X64 = 267, 523  # optional header magic 0x10B and 0x20B
 ARCHITECTURES = {"x86": (0x014C,), "x64": (0x8664, 0x0200), "arm64": (0xAA64,)}
@@ -57,15 +58,17 @@ def high_entropy(sections: DataFrame) -> DataFrame:
     return sections.where((F.col("entropy") >= P.EXE_ENTROPY) & (F.col("raw_size") >= P.EXE_ENTROPY_SIZE))
 
 
+SECTION_COLUMNS = ("name", "va", "vsize", "raw_ptr", "raw_size", "entropy", "executable", "readable", "writable")
+
+
+def section_measures() -> R.Measures:
+    """All sections of a file in table order; the header's 16-bit count bounds them."""
+    return {"sections": R.Measure(F.struct("idx", *SECTION_COLUMNS), lambda c: F.array_sort(F.collect_list(c)))}
+
+
 def pack_sections(sections: DataFrame) -> DataFrame:
     """(file_id, section_count, sections): all sections of a file in table order."""
-    cols = ("name", "va", "vsize", "raw_ptr", "raw_size", "entropy", "executable", "readable", "writable")
-    return (
-        section_flags(sections)
-        .groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("sections"))
-        .withColumn("section_count", F.size("sections"))
-    )
+    return R.rolled(section_flags(sections), "file_id", section_measures()).withColumn("section_count", F.size("sections"))
 
 
 def _end(s: Column) -> Column:
@@ -138,12 +141,13 @@ def certificate(headers: DataFrame) -> DataFrame:
     )
 
 
-def header_status(headers: DataFrame) -> DataFrame:
+def header_status(headers: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add ``architecture`` and ``header_error``; the first failing check gives the reason.
 
-    Checks on columns the table lacks (PE signature, section count, header sizes) are skipped.
+    Checks on columns the table lacks (PE signature, section count, header sizes) are skipped; ``columns`` names
+    those of the header where the rows have others, too.
     """
-    have = set(headers.columns)
+    have = set(columns or headers.columns)
     arch = (
         F.when(F.col("magic") == X86, F.lit("x86"))
         .when((F.col("magic") == X64) & (F.col("machine") == 0xAA64), F.lit("arm64"))
@@ -181,34 +185,42 @@ def sensitive_imports(rows: DataFrame) -> DataFrame:
     return rows.where(F.lower("function").isin(*P.SENSITIVE_APIS))
 
 
-def import_summary(rows: DataFrame) -> DataFrame:
-    named = sensitive_imports(rows)
-    return named.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("sensitive_import_count"),
-        F.bool_or(F.lower("function").isin(*P.INJECTION_APIS)).alias("has_injection_import"),
-        F.array_sort(F.collect_set(F.lower("function"))).alias("sensitive_imports"),  # names of the fixed list
-    )
+def import_measures() -> R.Measures:
+    """Counts of imports, and those on the fixed lists."""
+    name = F.lower("function")
+    named = name.isin(*P.SENSITIVE_APIS)
+    return {
+        "import_count": R.rows(),
+        "sensitive_import_count": R.count_if(named),
+        "has_injection_import": R.any_(named & name.isin(*P.INJECTION_APIS)),
+        "sensitive_imports": R.Measure(F.when(named, name), lambda c: F.array_sort(F.collect_set(c))),  # names of the fixed list
+    }
 
 
 def facts(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, string_facts: DataFrame | None = None) -> DataFrame:
     """One facts row per executable. ``string_facts``: file_id, indicators, urls, ip_addresses."""
-    none = F.array().cast("array<string>")
-    packed = pack_sections(sections)
-    base = (
-        headers.join(packed, "file_id", "left")
-        .withColumn("section_count", F.coalesce("section_count", F.lit(0)))
-        .withColumn("sections", F.coalesce("sections", F.array().cast(packed.schema["sections"].dataType)))
-    )
-    have = set(headers.columns)
-    header_end = "header_end" if "header_end" in have else None
-    checked = overlay(entry_point(raw_ranges_valid(overlaps(certificate(header_status(base))))), header_end=header_end)
-    counted = import_rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("import_count"))
-    out = checked.join(counted, "file_id", "left").join(import_summary(import_rows), "file_id", "left")
-    optional = lambda c: (F.col(c) if c in have else F.lit(None).cast("bigint")).alias(c)
+    out = headers.join(pack_sections(sections), "file_id", "left").join(R.rolled(import_rows, "file_id", import_measures()), "file_id", "left")
     if string_facts is not None:
         out = out.join(string_facts, "file_id", "left")
-    else:
-        out = out.withColumn("indicators", none).withColumn("urls", none).withColumn("ip_addresses", none)
+    return checked(out, headers.columns).select("file_id", *facts_columns(headers.columns))
+
+
+def checked(out: DataFrame, header_columns: list[str]) -> DataFrame:
+    """Adds what the header and the packed sections tell; ``out`` has the header's columns and the measures."""
+    none = F.array().cast("array<string>")
+    for name in ("indicators", "urls", "ip_addresses"):
+        if name not in out.columns:
+            out = out.withColumn(name, none)
+    sections = F.coalesce("sections", F.array().cast(out.schema["sections"].dataType))
+    base = out.withColumn("sections", sections).withColumn("section_count", F.size("sections"))
+    header_end = "header_end" if "header_end" in header_columns else None
+    return overlay(entry_point(raw_ranges_valid(overlaps(certificate(header_status(base, [*header_columns, "section_count"]))))), header_end=header_end)
+
+
+def facts_columns(header_columns: list[str]) -> list[Column]:
+    """Facts of an executable from its checked header, sections and measures."""
+    none = F.array().cast("array<string>")
+    optional = lambda c: (F.col(c) if c in header_columns else F.lit(None).cast("bigint")).alias(c)
     ok = F.col("header_error").isNull()
     keep = lambda c, empty: F.when(ok, c).otherwise(empty)
     names = lambda cond: F.transform(F.filter("sections", cond), lambda s: s["name"])
@@ -219,14 +231,13 @@ def facts(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, strin
             F.when(~F.col("raw_ranges_valid"), F.lit("section-raw-range-out-of-bounds")),
         )
     )
-    return out.select(
-        "file_id",
+    return [
         ok.alias("supported"),
         F.col("header_error").alias("error"),
-        "architecture",
+        F.col("architecture"),
         *[optional(c) for c in ("machine", "subsystem", "image_base")],
-        "file_size",
-        "entry_point",
+        F.col("file_size"),
+        F.col("entry_point"),
         keep(F.col("section_count"), F.lit(0)).alias("section_count"),
         keep(warnings, none).alias("structural_warnings"),
         keep(F.coalesce("import_count", F.lit(0)), F.lit(0)).alias("import_count"),
@@ -240,4 +251,16 @@ def facts(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, strin
         keep(names(lambda s: s["executable"] & s["writable"]), none).alias("writable_executable_sections"),
         keep(F.col("has_certificate"), F.lit(False)).alias("has_certificate"),
         keep(F.col("overlay_size"), F.lit(0)).alias("overlay_size"),
-    )
+    ]
+
+
+def sources(headers: DataFrame, sections: DataFrame, import_rows: DataFrame, string_facts: DataFrame | None, prefix: str) -> list[R.Source]:
+    """The tables of executables as sources of one fold, see ``checked``."""
+    out = [
+        R.Source(headers, "file_id", prefix, {"header_count": R.rows()} | {c: R.only(F.col(c)) for c in headers.columns if c != "file_id"}),
+        R.Source(section_flags(sections), "file_id", prefix, section_measures()),
+        R.Source(import_rows, "file_id", prefix, import_measures()),
+    ]
+    if string_facts is not None:
+        out.append(R.Source(string_facts, "file_id", prefix, {c: R.only(F.col(c)) for c in ("indicators", "urls", "ip_addresses")}))
+    return out

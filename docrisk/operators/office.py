@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docrisk.functions import patterns as P
 from docrisk.functions import signals as S
 from docrisk.functions.skew import top_n
+from docrisk.operators import rollup as R
 
 
 def _is_xml(name: Column) -> Column:
@@ -26,53 +27,43 @@ def _ends_with_any(name: Column, suffixes: tuple[str, ...]) -> Column:
 ENTRY_WARNINGS = ("encrypted-archive-entry", "high-compression-ratio", "oversized-package-entry", "suspicious-archive-path")
 
 
+def entry_measures() -> R.Measures:
+    """Every per-package count and flag, on entries with their warnings."""
+    name, lower = F.col("name"), F.lower("name")
+    commented = (lower.startswith("word/comments") & lower.endswith(".xml")) | (lower.endswith(".xml") & F.contains(lower, F.lit("comments")))
+    runs = _ends_with_any(name, P.DOCX_EXECUTABLE)
+    return {
+        "entry_count": R.rows(),
+        "uncompressed_size": R.total(F.greatest(F.col("size"), F.lit(0))),
+        "xml_parts": R.count_if(_is_xml(name)),
+        "has_executable_entry": R.any_(runs),
+        # Distinct names as hashes: macro parts are few.
+        "macro_count": R.Measure(F.when(is_macro(name), F.xxhash64(name)), lambda c: F.size(F.collect_set(c)).cast("bigint")),
+        "embedded_count": R.count_if(is_embedded(name)),
+        "embedded_executable": R.any_(is_embedded(name) & runs),
+        "embedded_example": R.first_by(name, F.when(is_embedded(name), F.struct("seq", "name"))),
+        "has_comments": R.any_(commented),
+        **{f"_has{i}": R.any_(name == p) for i, p in enumerate(P.DOCX_REQUIRED)},
+        **{f"_w{k}": R.any_(F.array_contains("warnings", w)) for k, w in enumerate(ENTRY_WARNINGS)},
+    }
+
+
+def entry_finish(rolled: DataFrame) -> DataFrame:
+    """Missing parts, entry warnings and the first limit that ends analysis, from the measures."""
+    limit = (
+        F.when(F.col("entry_count") > P.DOCX_MAX_ENTRIES, F.lit("archive-entry-limit-exceeded"))
+        .when(F.col("uncompressed_size") > P.DOCX_MAX_EXPANDED, F.lit("archive-expansion-limit-exceeded"))
+        .when(F.size("missing_parts") > 0, F.lit("missing-required-office-parts"))
+    )
+    missing = F.array(*[F.when(~F.col(f"_has{i}"), F.lit(p)) for i, p in enumerate(P.DOCX_REQUIRED)])
+    warned = F.array(*[F.when(F.col(f"_w{k}"), F.lit(w)) for k, w in enumerate(ENTRY_WARNINGS)])
+    out = rolled.withColumns({"missing_parts": S.compacted(missing), "entry_warnings": S.compacted(warned)}).withColumn("limit_warning", limit)
+    return out.drop(*[f"_has{i}" for i in range(len(P.DOCX_REQUIRED))], *[f"_w{k}" for k in range(len(ENTRY_WARNINGS))])
+
+
 def entry_rollup(entries: DataFrame) -> DataFrame:
     """Every per-package count and flag in one aggregation; callers select what they need."""
-    lower = F.lower("name")
-    commented = (lower.startswith("word/comments") & lower.endswith(".xml")) | (
-        lower.endswith(".xml") & F.contains(lower, F.lit("comments"))
-    )
-    return (
-        entry_warnings(entries)
-        .groupBy("doc_id")
-        .agg(
-            F.count(F.lit(1)).alias("entry_count"),
-            F.sum(F.greatest(F.col("size"), F.lit(0)).cast("bigint")).alias("uncompressed_size"),
-            F.count_if(_is_xml(F.col("name"))).alias("xml_parts"),
-            F.bool_or(_ends_with_any(F.col("name"), P.DOCX_EXECUTABLE)).alias("has_executable_entry"),
-            F.count_distinct(F.when(is_macro(F.col("name")), F.col("name"))).alias("macro_count"),
-            F.count_if(is_embedded(F.col("name"))).alias("embedded_count"),
-            F.bool_or(is_embedded(F.col("name")) & _ends_with_any(F.col("name"), P.DOCX_EXECUTABLE)).alias("embedded_executable"),
-            F.min_by(F.when(is_embedded(F.col("name")), F.col("name")), F.when(is_embedded(F.col("name")), F.struct("seq", "name"))).alias("embedded_example"),
-            F.bool_or(commented).alias("has_comments"),
-            *[F.bool_or(F.col("name") == p).alias(f"_has{i}") for i, p in enumerate(P.DOCX_REQUIRED)],
-            *[F.bool_or(F.array_contains("warnings", w)).alias(f"_w{k}") for k, w in enumerate(ENTRY_WARNINGS)],
-        )
-        .select(
-            "doc_id",
-            "entry_count",
-            "uncompressed_size",
-            "xml_parts",
-            "has_executable_entry",
-            "macro_count",
-            "embedded_count",
-            "embedded_executable",
-            "embedded_example",
-            "has_comments",
-            S.compacted(
-                F.array(*[F.when(~F.col(f"_has{i}"), F.lit(p)) for i, p in enumerate(P.DOCX_REQUIRED)])
-            ).alias("missing_parts"),
-            S.compacted(
-                F.array(*[F.when(F.col(f"_w{k}"), F.lit(w)) for k, w in enumerate(ENTRY_WARNINGS)])
-            ).alias("entry_warnings"),
-        )
-        .withColumn(
-            "limit_warning",
-            F.when(F.col("entry_count") > P.DOCX_MAX_ENTRIES, F.lit("archive-entry-limit-exceeded"))
-            .when(F.col("uncompressed_size") > P.DOCX_MAX_EXPANDED, F.lit("archive-expansion-limit-exceeded"))
-            .when(F.size("missing_parts") > 0, F.lit("missing-required-office-parts")),
-        )
-    )
+    return entry_finish(R.rolled(entry_warnings(entries), "doc_id", entry_measures()))
 
 
 def package_limits(entries: DataFrame) -> DataFrame:
@@ -157,25 +148,30 @@ def is_malformed(xml: Column) -> Column:
     return xml.isNull() | F.rlike(F.lower(xml), F.lit("<!doctype|<!entity")) | broken["_broken"].isNotNull()
 
 
-def part_warnings(parts: DataFrame) -> DataFrame:
-    """Warnings on the XML parts (doc_id, name, size, xml) of each package, over all parts and whole texts."""
+def part_measures() -> R.Measures:
     large = F.col("size") > P.DOCX_ENTRY_LIMIT
-    seen = parts.where(_is_xml(F.col("name"))).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("xml_parts"),
-        F.bool_or(large).alias("_large"),
-        F.bool_or(F.when(large, F.lit(False)).otherwise(is_malformed(F.col("xml")))).alias("_bad"),
-    )
-    return seen.select(
-        "doc_id",
-        "xml_parts",
-        S.compacted(
-            F.array(
-                F.when(F.col("_bad"), F.lit("malformed-or-unreadable-xml-part")),
-                F.when(F.col("xml_parts") > P.DOCX_MAX_XML_PARTS, F.lit("xml-part-count-limit-exceeded")),
-                F.when(F.col("_large"), F.lit("xml-part-too-large-to-inspect")),
-            )
-        ).alias("warnings"),
+    xml = _is_xml(F.col("name"))
+    return {
+        "seen_parts": R.count_if(xml),
+        "_large": R.any_(F.when(xml, large)),
+        "_bad": R.any_(F.when(xml, F.when(large, F.lit(False)).otherwise(is_malformed(F.col("xml"))))),
+    }
+
+
+def part_finish(rolled: DataFrame) -> DataFrame:
+    """Adds the sorted ``part_warnings``."""
+    found = F.array(
+        F.when(F.col("_bad"), F.lit("malformed-or-unreadable-xml-part")),
+        F.when(F.col("seen_parts") > P.DOCX_MAX_XML_PARTS, F.lit("xml-part-count-limit-exceeded")),
+        F.when(F.col("_large"), F.lit("xml-part-too-large-to-inspect")),
     )
+    return rolled.withColumn("part_warnings", S.compacted(found)).drop("_large", "_bad")
+
+
+def part_warnings(parts: DataFrame) -> DataFrame:
+    """Warnings on the XML parts (doc_id, name, size, xml) of each package, over all parts and whole texts."""
+    out = part_finish(R.rolled(parts.where(_is_xml(F.col("name"))), "doc_id", part_measures()))
+    return out.select("doc_id", F.col("seen_parts").alias("xml_parts"), F.col("part_warnings").alias("warnings"))
 
 
 def is_file_target(target: Column) -> Column:
@@ -195,15 +191,26 @@ def external_targets(rels: DataFrame) -> DataFrame:
     )
 
 
+def distinct_targets(rels: DataFrame) -> DataFrame:
+    """External targets once per document, with how often they occur: a narrow exchange that spreads a hot document."""
+    return external_targets(rels).groupBy("doc_id", "target").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("is_file").alias("is_file"), F.any_value("is_url").alias("is_url"), F.bool_or("is_template").alias("is_template")
+    )
+
+
+def target_measures() -> R.Measures:
+    return {
+        "external_count": R.total(F.col("n")),
+        "file_targets": R.total(F.when(F.col("is_file"), F.col("n")).otherwise(0)),
+        "has_file_target": R.any_(F.col("is_file")),
+        "has_external_template": R.any_(F.col("is_template")),
+        "url_count": R.count_if(F.col("is_url")),
+    }
+
+
 def external_rels(rels: DataFrame) -> DataFrame:
     """Per document: counts and flags of its external relationships; the targets themselves stay rows."""
-    return external_targets(rels).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("external_count"),
-        F.count_if("is_file").alias("file_targets"),
-        F.bool_or("is_file").alias("has_file_target"),
-        F.bool_or("is_template").alias("has_external_template"),
-        F.count_distinct(F.when(F.col("is_url"), F.col("target"))).alias("url_count"),
-    )
+    return R.rolled(distinct_targets(rels), "doc_id", target_measures())
 
 
 def hidden_reasons(runs: DataFrame) -> DataFrame:
@@ -249,46 +256,33 @@ RUN_INDICATORS = (
 )
 
 
-def run_rollup(inspected: DataFrame) -> DataFrame:
-    """Text length, hidden runs and indicator flags in one aggregation with small partials.
-
-    The sets hold combinations of the fixed reason and signal names, so their size has a bound.
-    """
+def run_measures() -> R.Measures:
+    """Text length, hidden runs and indicator flags, on inspected runs."""
     hidden = lambda c: F.when(F.col("is_hidden"), c)
-    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(hidden(F.col(c))))))
-    return (
-        inspected.groupBy("doc_id")
-        .agg(
-            F.sum(F.length("text").cast("bigint")).alias("_chars"),
-            F.count_if("is_hidden").alias("hidden_count"),
-            F.bool_or(F.coalesce("revision", F.lit(False))).alias("has_tracked_changes"),
-            names("reasons").alias("hidden_reasons"),
-            names("signals").alias("hidden_signals"),
-            F.min_by(hidden(S.normalize(F.col("text"))), hidden(F.struct("part", "seq"))).alias("hidden_preview"),
-            F.bool_or(F.col("is_hidden") & F.arrays_overlap("signals", _texts(P.DOCX_HIDDEN_SIGNALS))).alias("hidden_suspicious"),
-            F.bool_or(F.col("is_hidden") & (F.size("signals") > 0)).alias("_hidden"),
-            *[F.bool_or(F.array_contains("signals", n)).alias(f"_i{k}") for k, n in enumerate(RUN_INDICATORS)],
-        )
-        .select(
-            "doc_id",
-            F.col("_chars").alias("text_length"),
-            (F.col("_chars") > P.DOCX_MAX_TEXT).alias("text_limit_reached"),
-            "hidden_count",
-            "has_tracked_changes",
-            "hidden_reasons",
-            "hidden_signals",
-            "hidden_preview",
-            "hidden_suspicious",
-            F.array_sort(
-                S.compacted(
-                    F.array(
-                        *[F.when(F.col(f"_i{k}"), F.lit(n)) for k, n in enumerate(RUN_INDICATORS)],
-                        F.when(F.col("_hidden"), F.lit("suspicious-content-in-hidden-text")),
-                    )
-                )
-            ).alias("content_indicators"),
-        )
-    )
+    return {
+        "text_length": R.total(F.length("text")),
+        "hidden_count": R.count_if(F.col("is_hidden")),
+        "has_tracked_changes": R.any_(F.coalesce("revision", F.lit(False))),
+        "hidden_reasons": R.names(hidden(F.col("reasons"))),
+        "hidden_signals": R.names(hidden(F.col("signals"))),
+        "hidden_preview": R.first_by(hidden(S.normalize(F.col("text"))), hidden(F.struct("part", "seq"))),
+        "hidden_suspicious": R.any_(F.col("is_hidden") & F.arrays_overlap("signals", _texts(P.DOCX_HIDDEN_SIGNALS))),
+        "_hidden": R.any_(F.col("is_hidden") & (F.size("signals") > 0)),
+        **{f"_i{k}": R.any_(F.array_contains("signals", n)) for k, n in enumerate(RUN_INDICATORS)},
+    }
+
+
+def run_finish(rolled: DataFrame) -> DataFrame:
+    """Adds the text limit and the sorted content indicators."""
+    shown = [F.when(F.col(f"_i{k}"), F.lit(n)) for k, n in enumerate(RUN_INDICATORS)]
+    found = F.array_sort(S.compacted(F.array(*shown, F.when(F.col("_hidden"), F.lit("suspicious-content-in-hidden-text")))))
+    out = rolled.withColumns({"text_limit_reached": F.col("text_length") > P.DOCX_MAX_TEXT, "content_indicators": found})
+    return out.drop("_hidden", *[f"_i{k}" for k in range(len(RUN_INDICATORS))])
+
+
+def run_rollup(inspected: DataFrame) -> DataFrame:
+    """Text length, hidden runs and indicator flags in one aggregation with small partials."""
+    return run_finish(R.rolled(inspected, "doc_id", run_measures()))
 
 
 def text_stats(runs: DataFrame) -> DataFrame:
@@ -323,9 +317,14 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
         .join(run_rollup(seen), "doc_id", "left")
     )
     if parts is not None:
-        out = out.join(part_warnings(parts).select("doc_id", F.col("warnings").alias("_parts")), "doc_id", "left")
+        out = out.join(part_warnings(parts).select("doc_id", F.col("warnings").alias("part_warnings")), "doc_id", "left")
     else:
-        out = out.withColumn("_parts", F.array().cast("array<string>"))
+        out = out.withColumn("part_warnings", F.array().cast("array<string>"))
+    return out.select("doc_id", *facts_columns())
+
+
+def facts_columns() -> list[Column]:
+    """Facts of a package from its finished measures."""
     none = F.array().cast("array<string>")
     no = lambda c: F.coalesce(c, F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -352,13 +351,12 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
             )
         )
     )
-    warnings = F.array_sort(F.array_distinct(F.concat("entry_warnings", listed, F.coalesce("_parts", none))))
-    return out.select(
-        "doc_id",
+    warnings = F.array_sort(F.array_distinct(F.concat("entry_warnings", listed, F.coalesce("part_warnings", none))))
+    return [
         supported.alias("supported"),
         F.col("limit_warning").alias("error"),
-        "entry_count",
-        "uncompressed_size",
+        F.col("entry_count"),
+        F.col("uncompressed_size"),
         keep(zero(F.col("text_length")), F.lit(0)).alias("text_length"),
         keep(zero(F.col("hidden_count")), F.lit(0)).alias("hidden_count"),
         keep(F.coalesce("hidden_reasons", none), none).alias("hidden_reasons"),
@@ -377,4 +375,23 @@ def facts(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame
         keep(no(F.col("has_comments")), F.lit(False)).alias("has_comments"),
         keep(no(F.col("has_tracked_changes")), F.lit(False)).alias("has_tracked_changes"),
         keep(no(F.col("has_external_template")), F.lit(False)).alias("has_external_template"),
-    )
+    ]
+
+
+def sources(entries: DataFrame, runs: DataFrame, rels: DataFrame, parts: DataFrame | None, prefix: str) -> list[R.Source]:
+    """The tables of packages as sources of one fold, see ``finish``."""
+    out = [
+        R.Source(entry_warnings(entries), "doc_id", prefix, entry_measures()),
+        R.Source(inspect_runs(runs), "doc_id", prefix, run_measures()),
+        R.Source(distinct_targets(rels), "doc_id", prefix, target_measures()),
+    ]
+    if parts is not None:
+        out.append(R.Source(parts.where(_is_xml(F.col("name"))), "doc_id", prefix, part_measures()))
+    return out
+
+
+def finish(rolled: DataFrame) -> tuple[DataFrame, Column]:
+    """What ``facts_columns`` needs, and whether a row is a package at all."""
+    out = run_finish(entry_finish(rolled))
+    out = part_finish(out) if "seen_parts" in out.columns else out.withColumn("part_warnings", F.array().cast("array<string>"))
+    return out, F.col("entry_count") > 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docrisk.functions import patterns as P
 from docrisk.functions import signals as S
 from docrisk.functions.skew import let, top_n
+from docrisk.operators import rollup as R
 
 # Reasons and signals with the confidence each adds.
 REASONS = {
@@ -142,20 +143,20 @@ def shown(found: DataFrame, limit: int | None = None) -> DataFrame:
     return found if limit is None else top_n(found, ["doc_id"], ["page", "seq"], limit)
 
 
-def hidden_summary(found: DataFrame) -> DataFrame:
-    """Per document: what its findings show, all of them, in one aggregate with small partials.
+def hidden_measures() -> R.Measures:
+    """What the findings of a document show, all of them."""
+    return {
+        "hidden_count": R.rows(),
+        "hidden_preview": R.last_by(F.regexp_replace("text", "(?U)\\s+", " "), F.struct("confidence", -F.col("page"), -F.col("seq"))),
+        "hidden_reasons": R.names(F.col("reasons")),
+        "hidden_signals": R.names(F.col("signals")),
+        "hidden_suspicious": R.any_(F.arrays_overlap("signals", F.array(*[F.lit(s) for s in P.PDF_HIDDEN_SIGNALS]))),
+    }
 
-    The sets hold combinations of the fixed reason and signal names, so their size has a bound.
-    """
-    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    order = F.struct("confidence", -F.col("page"), -F.col("seq"))
-    return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("hidden_count"),
-        F.max_by(F.regexp_replace("text", "(?U)\\s+", " "), order).alias("hidden_preview"),
-        names("reasons").alias("hidden_reasons"),
-        names("signals").alias("hidden_signals"),
-        F.bool_or(F.arrays_overlap("signals", F.array(*[F.lit(s) for s in P.PDF_HIDDEN_SIGNALS]))).alias("hidden_suspicious"),
-    )
+
+def hidden_summary(found: DataFrame) -> DataFrame:
+    """Per document: what its findings show, in one aggregate with small partials."""
+    return R.rolled(found, "doc_id", hidden_measures())
 
 
 # ---- objects ----------------------------------------------------------------------------------
@@ -176,23 +177,32 @@ def object_kinds(text: Column) -> Column:
     )
 
 
+def object_measures() -> R.Measures:
+    """JavaScript count, attachment counts, other kinds as flags, on objects with kinds and attachment columns."""
+    has = lambda k: F.array_contains("_kinds", k)
+    attached = lambda c: F.col("is_attachment") & c
+    return {
+        "object_count": R.rows(),
+        "javascript_count": R.count_if(has("javascript")),
+        "has_additional_actions": R.any_(has("additional-actions")),
+        "has_launch": R.any_(has("launch")),
+        "has_rich_media": R.any_(has("richmedia")),
+        "has_acroform": R.any_(has("acroform")),
+        "has_xfa": R.any_(has("xfa")),
+        "attachment_count": R.count_if(F.col("is_attachment")),
+        "provenance_count": R.count_if(attached(F.col("is_provenance"))),
+        "executable_attachments": R.count_if(attached(~F.col("is_provenance") & F.col("is_executable"))),
+        "other_attachments": R.count_if(attached(~F.col("is_provenance") & ~F.col("is_executable"))),
+    }
+
+
+def seen_objects(objects: DataFrame) -> DataFrame:
+    return attachment_columns(objects.withColumn("_kinds", object_kinds(F.col("object_text"))))
+
+
 def object_flags(objects: DataFrame) -> DataFrame:
     """Per document: JavaScript count, attachment counts, other kinds as flags. One scan of the objects."""
-    seen = attachment_columns(objects.withColumn("_kinds", object_kinds(F.col("object_text"))))
-    has = lambda k: F.array_contains("_kinds", k)
-    plain = F.col("is_attachment") & ~F.col("is_provenance")
-    return seen.groupBy("doc_id").agg(
-        F.count_if(has("javascript")).alias("javascript_count"),
-        F.bool_or(has("additional-actions")).alias("has_additional_actions"),
-        F.bool_or(has("launch")).alias("has_launch"),
-        F.bool_or(has("richmedia")).alias("has_rich_media"),
-        F.bool_or(has("acroform")).alias("has_acroform"),
-        F.bool_or(has("xfa")).alias("has_xfa"),
-        F.count_if("is_attachment").alias("attachment_count"),
-        F.count_if(F.col("is_attachment") & F.col("is_provenance")).alias("provenance_count"),
-        F.count_if(plain & F.col("is_executable")).alias("executable_attachments"),
-        F.count_if(plain & ~F.col("is_executable")).alias("other_attachments"),
-    )
+    return R.rolled(seen_objects(objects), "doc_id", object_measures()).drop("object_count")
 
 
 def suspicious(objects: DataFrame, hidden_docs: DataFrame | None = None) -> DataFrame:
@@ -312,17 +322,52 @@ def open_action(objects: DataFrame) -> DataFrame:
 
 
 # ---- pages ------------------------------------------------------------------------------------
+def page_measures(columns: list[str]) -> R.Measures:
+    """Pages, native text length, annotations, form fields, and how OCR went on pages without native text."""
+    optional = lambda c: F.col(c) if c in columns else F.lit(0)
+    without = F.coalesce("native_len", F.lit(0)) == 0
+    read = F.length(F.trim(F.coalesce("ocr_text", F.lit("")))) if "ocr_text" in columns else F.lit(0)
+    return {
+        "page_count": R.rows(),
+        "text_length": R.total(F.col("native_len")),
+        "annotation_count": R.total(optional("annotations")),
+        "form_field_count": R.total(optional("form_fields")),
+        "pages_without_text": R.count_if(without),
+        "_read": R.count_if(without & (read > 0)),
+        "_failed": R.count_if(without & (read == 0)),
+        "_chars": R.total(F.when(without, read)),
+    }
+
+
+def page_finish(rolled: DataFrame, ocr_available: bool = True) -> DataFrame:
+    """OCR counts and the source of the text, from the measures of pages."""
+    zero = F.lit(0).cast("bigint")
+    if ocr_available:
+        # Page texts are joined with one line feed.
+        ocr = {
+            "ocr_page_count": F.coalesce("_read", zero), "ocr_errors": F.coalesce("_failed", zero),
+            "ocr_length": F.coalesce(F.col("_chars") + F.greatest(F.col("_read") - 1, zero), zero),
+            "ocr_page_limit_reached": F.col("pages_without_text") > P.PDF_OCR_PAGES,
+        }
+    else:
+        ocr = {
+            "ocr_page_count": zero, "ocr_errors": F.when(F.col("pages_without_text") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
+            "ocr_length": zero, "ocr_page_limit_reached": F.lit(False),
+        }
+    source = (
+        F.when((F.col("text_length") > 0) & (F.col("ocr_length") > 0), F.lit("mixed"))
+        .when(F.col("text_length") > 0, F.lit("native"))
+        .when(F.col("ocr_length") > 0, F.lit("ocr"))
+        .otherwise(F.lit("none"))
+    )
+    out = rolled.withColumns({**ocr, "ocr_available": F.lit(ocr_available), "ocr_attempted": F.col("pages_without_text") > 0})
+    return out.withColumn("text_source", source).drop("_read", "_failed", "_chars")
+
+
 def page_facts(pages: DataFrame) -> DataFrame:
     """Per document: pages, native text length, annotations, form fields and distinct URL count."""
-    cols = set(pages.columns)
-    optional = lambda c: F.col(c) if c in cols else F.lit(0)
-    base = pages.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("page_count"),
-        F.sum("native_len").cast("bigint").alias("text_length"),
-        F.sum(optional("annotations")).cast("bigint").alias("annotation_count"),
-        F.sum(optional("form_fields")).cast("bigint").alias("form_field_count"),
-    )
-    if "urls" not in cols:
+    base = R.rolled(pages, "doc_id", page_measures(pages.columns)).select("doc_id", "page_count", "text_length", "annotation_count", "form_field_count")
+    if "urls" not in pages.columns:
         return base.withColumn("url_count", F.lit(0).cast("bigint"))
     counted = page_urls(pages).groupBy("doc_id").agg(F.count(F.lit(1)).alias("url_count"))
     return base.join(counted, "doc_id", "left").withColumn("url_count", F.coalesce("url_count", F.lit(0).cast("bigint")))
@@ -335,47 +380,8 @@ def page_urls(pages: DataFrame) -> DataFrame:
 
 def text_source(pages: DataFrame, ocr_available: bool = True) -> DataFrame:
     """Per document: where its text comes from and how OCR went, over all pages without native text."""
-    needing = pages.where(F.coalesce("native_len", F.lit(0)) == 0).select(
-        "doc_id", "page", F.length(F.trim(F.coalesce("ocr_text", F.lit("")))).alias("_len")
-    )
-    base = pages.groupBy("doc_id").agg(
-        F.sum("native_len").cast("bigint").alias("native_length"), F.count_if(F.coalesce("native_len", F.lit(0)) == 0).alias("pages_without_text")
-    )
-    zero = F.lit(0).cast("bigint")
-    if ocr_available:
-        read = (
-            needing.groupBy("doc_id")
-            .agg(
-                F.count_if(F.col("_len") > 0).alias("ocr_page_count"),
-                F.count_if(F.col("_len") == 0).alias("_failed"),
-                F.sum("_len").cast("bigint").alias("_chars"),
-            )
-        )
-        out = base.join(read, "doc_id", "left").select(
-            "*",
-            F.coalesce("_failed", zero).alias("ocr_errors"),
-            (F.col("pages_without_text") > P.PDF_OCR_PAGES).alias("ocr_page_limit_reached"),
-            # Page texts are joined with one line feed.
-            F.coalesce(F.col("_chars") + F.greatest(F.col("ocr_page_count") - 1, zero), zero).alias("ocr_length"),
-        ).withColumn("ocr_page_count", F.coalesce("ocr_page_count", zero)).drop("_failed", "_chars")
-    else:
-        out = (
-            base.withColumn("ocr_page_count", zero)
-            .withColumn("ocr_errors", F.when(F.col("pages_without_text") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-            .withColumn("ocr_length", zero)
-            .withColumn("ocr_page_limit_reached", F.lit(False))
-        )
-    return (
-        out.withColumn("ocr_available", F.lit(ocr_available))
-        .withColumn("ocr_attempted", F.col("pages_without_text") > 0)
-        .withColumn(
-            "text_source",
-            F.when((F.col("native_length") > 0) & (F.col("ocr_length") > 0), F.lit("mixed"))
-            .when(F.col("native_length") > 0, F.lit("native"))
-            .when(F.col("ocr_length") > 0, F.lit("ocr"))
-            .otherwise(F.lit("none")),
-        )
-    )
+    out = page_finish(R.rolled(pages, "doc_id", page_measures(pages.columns)), ocr_available)
+    return out.drop("page_count", "annotation_count", "form_field_count").withColumnRenamed("text_length", "native_length")
 
 
 def ocr_text(words: DataFrame) -> DataFrame:
@@ -398,7 +404,6 @@ def metadata(df: DataFrame, col: str = "metadata") -> DataFrame:
 
 def facts(objects: DataFrame, spans: DataFrame, pages: DataFrame, ocr_available: bool = True) -> DataFrame:
     """One facts row per document that has pages or objects, with defaults."""
-    none = F.array().cast("array<string>")
     docs = (
         page_facts(pages)
         .join(text_source(pages, ocr_available).drop("native_length"), "doc_id")
@@ -406,6 +411,12 @@ def facts(objects: DataFrame, spans: DataFrame, pages: DataFrame, ocr_available:
         .join(open_action(objects), "doc_id", "left")
         .join(hidden_summary(findings(spans, pages)), "doc_id", "left")
     )
+    return docs.select("doc_id", *facts_columns(ocr_available))
+
+
+def facts_columns(ocr_available: bool = True) -> list[Column]:
+    """Facts of a document from its finished measures."""
+    none = F.array().cast("array<string>")
     defaults: dict[str, Column] = {
         "page_count": F.lit(0), "text_length": F.lit(0), "annotation_count": F.lit(0), "form_field_count": F.lit(0),
         "url_count": F.lit(0), "pages_without_text": F.lit(0), "ocr_page_count": F.lit(0), "ocr_errors": F.lit(0),
@@ -416,12 +427,35 @@ def facts(objects: DataFrame, spans: DataFrame, pages: DataFrame, ocr_available:
         "hidden_count": F.lit(0), "hidden_reasons": none, "hidden_signals": none, "hidden_suspicious": F.lit(False),
         "hidden_preview": F.lit(""),
     }
-    return docs.select(
-        "doc_id",
+    return [
         F.lit(True).alias("supported"),
         F.col("action_type").isNotNull().alias("has_open_action"),
-        "action_type",
-        "action_raw_type",
-        "action_target",
+        F.col("action_type"),
+        F.col("action_raw_type"),
+        F.col("action_target"),
         *[F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()],
-    )
+    ]
+
+
+def sources(objects: DataFrame, spans: DataFrame, pages: DataFrame, prefix: str) -> list[R.Source]:
+    """The tables of page documents as sources of one fold, see ``finish``.
+
+    An open action that points at another object needs a look-up by (document, object), so it is a source of its own.
+    """
+    out = [
+        R.Source(seen_objects(objects), "doc_id", prefix, object_measures()),
+        R.Source(open_action(objects), "doc_id", prefix, {c: R.only(F.col(c)) for c in ("action_type", "action_raw_type", "action_target")}),
+        R.Source(findings(spans, pages), "doc_id", prefix, hidden_measures()),
+        R.Source(pages, "doc_id", prefix, page_measures(pages.columns)),
+    ]
+    if "urls" in pages.columns:
+        out.append(R.Source(page_urls(pages), "doc_id", prefix, {"url_count": R.rows()}))
+    return out
+
+
+def finish(rolled: DataFrame, ocr_available: bool = True) -> tuple[DataFrame, Column]:
+    """What ``facts_columns`` needs, and whether a row is a page document at all."""
+    out = page_finish(rolled, ocr_available)
+    if "url_count" not in out.columns:
+        out = out.withColumn("url_count", F.lit(0).cast("bigint"))
+    return out, (F.col("page_count") > 0) | (F.col("object_count") > 0)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.functions import signals as S
-from docrisk.operators import evidence, identity, scoring, verdicts
+from docrisk.operators import binary, evidence, identity, office, pdfspans, scoring, verdicts
+from docrisk.operators import rollup as R
 from docrisk.plans import registry
 
 
@@ -25,7 +28,7 @@ def _missing(fmt: registry.Format) -> Column:
 
 
 def scan(files: DataFrame, av: DataFrame, facts: dict[str, DataFrame], pdf_fail_open: bool = True) -> DataFrame:
-    """One result row per file.
+    """One result row per file, from facts that are rows already.
 
     ``files``: file_id, user_id, sha256, size, filename, head_hex. ``facts``: format name to facts rows
     keyed by their first column. Evidence is compiled on the facts rows and travels as an array whose
@@ -42,11 +45,80 @@ def scan(files: DataFrame, av: DataFrame, facts: dict[str, DataFrame], pdf_fail_
             F.col("_ev").alias(f"_{fmt.name}_evidence"),
         )
         out = out.join(side, "file_id", "left")
+    return decided(out, known, pdf_fail_open)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Fact tables of a scan; a format whose tables are None is not looked at.
+
+    ``pdf``: objects, spans, pages. ``exe``: headers, sections, imports, string facts or None. ``docx``: entries, runs, rels,
+    XML parts or None. ``json``: facts rows. The key is the file's id.
+    """
+
+    pdf: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    exe: tuple[DataFrame, DataFrame, DataFrame, DataFrame | None] | None = None
+    docx: tuple[DataFrame, DataFrame, DataFrame, DataFrame | None] | None = None
+    json: DataFrame | None = None
+
+    def sources(self) -> list[R.Source]:
+        out = []
+        if self.pdf:
+            out += pdfspans.sources(*self.pdf, "pdf_")
+        if self.exe:
+            out += binary.sources(*self.exe, "exe_")
+        if self.docx:
+            out += office.sources(*self.docx, "docx_")
+        if self.json is not None:
+            key = self.json.columns[0]
+            out.append(R.Source(self.json, key, "json_", {"facts": R.only(F.struct(*[c for c in self.json.columns if c != key]))}))
+        return out
+
+    def finished(self, name: str, rows: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
+        """A format's measures under their plain names to what its facts need, whether it has facts, and these."""
+        if name == "pdf":
+            return *pdfspans.finish(rows), pdfspans.facts_columns()
+        if name == "docx":
+            return *office.finish(rows), office.facts_columns()
+        if name == "exe":
+            headers = self.exe[0].columns
+            return binary.checked(rows, headers), F.col("header_count") > 0, binary.facts_columns(headers)
+        return rows, F.col("facts").isNotNull(), [F.col(f"facts.{c}").alias(c) for c in rows.schema["facts"].dataType.names]
+
+
+def scan_tables(files: DataFrame, av: DataFrame, tables: Tables, pdf_fail_open: bool = True) -> DataFrame:
+    """One result row per file, straight from the fact tables.
+
+    Files and all fact tables are one tagged union with one exchange on the file id, of partial aggregates (see
+    ``operators.rollup``). What follows, from facts to verdict, is narrow. A file that many fact rows belong to is
+    combined before the exchange; rows of files that are not scanned fall away after it.
+    """
+    seen = verdicts.attach(files, av)
+    given = [c for c in seen.columns if c != "file_id"]
+    file_rows = R.Source(seen, "file_id", "file_", {"row": R.only(F.struct(*given))})
+    out = R.folded([file_rows, *tables.sources()], "file_id").where(F.col("file_row").isNotNull())
+    known = [f for f in registry.formats() if getattr(tables, f.name, None) is not None]
+    for fmt in known:
+        prefix = f"{fmt.name}_"
+        keep = [c for c in out.columns if not c.startswith(prefix)]
+        rows, has_facts, cols = tables.finished(fmt.name, R.unprefixed(out, prefix))
+        rows = rows.select(*keep, has_facts.alias("_has_facts"), *cols)
+        names = [c for c in rows.columns if c not in (*keep, "_has_facts")]
+        out = rows.select(
+            *keep, F.when(F.col("_has_facts"), F.struct(*names)).alias(f"{fmt.name}_facts"),
+            F.when(F.col("_has_facts"), evidence.compiled(fmt.rules)).alias(f"_{fmt.name}_evidence"),
+        )
+    rest = [c for c in out.columns if c not in ("file_id", "file_row")]
+    return decided(out.select("file_id", *[F.col(f"file_row.{c}").alias(c) for c in given], *rest), known, pdf_fail_open)
+
+
+def decided(out: DataFrame, known: list[registry.Format], pdf_fail_open: bool = True) -> DataFrame:
+    """Type, routes, evidence, score, level and verdict of files with their facts; narrow."""
     out = identity.detect_type(out)
-    if "docx" in facts:
+    if "docx_facts" in out.columns:
         # A ZIP container whose parts make a valid package is a word-processor document.
-        office = (F.col("detected_type") == "zip") & F.coalesce(F.col("docx_facts.supported"), F.lit(False))
-        out = out.withColumn("detected_type", F.when(office, F.lit("docx")).otherwise(F.col("detected_type")))
+        office_file = (F.col("detected_type") == "zip") & F.coalesce(F.col("docx_facts.supported"), F.lit(False))
+        out = out.withColumn("detected_type", F.when(office_file, F.lit("docx")).otherwise(F.col("detected_type")))
     out = scoring.uninspected(identity.route(identity.mismatch(out)).withColumn("extension", identity.extension(F.col("filename"))))
     parts = [evidence.compiled(evidence.GENERIC)]
     for fmt in known:
