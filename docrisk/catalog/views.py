@@ -75,8 +75,10 @@ select conv_id * 1000 + turn as doc_id, case cast((conv_id + turn) % 8 as int)
  when 6 then concat('[', cast(turn as string), ',"<script>x</script>","eval(1)"]')
  else concat('"', role, '"') end as text
 from {conversations}""",
+    # Dealt out by order and line: what is derived from a line costs far more than moving its five numbers, and a
+    # large order is no single task. The check reads the hint as a comment.
     "fx_line": """
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+select /*+ REPARTITION(l_orderkey, l_linenumber) */ l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
  (cast(l_linenumber as bigint) * 1000000000 + l_partkey) * 1000000 + l_suppkey as line_id
 from {lineitem}""",
     "fx_pdf_spans": """
