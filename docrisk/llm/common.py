@@ -34,6 +34,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, changed until they clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a whole text (null counts as empty)."""
     whole = F.coalesce(text, F.lit(""))

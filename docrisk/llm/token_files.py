@@ -62,13 +62,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
                     out = {x: stack.enter_context(fs.open_output_stream(f"{base}/{name}.{x}", compression=None)) for x in ("tokens", "offsets", "docs")}
                     out["offsets"].write(np.zeros(1, "<i8").tobytes())
                 offsets = []
-                for text in batch["text"].tolist():
-                    packed = encoder.packed(text)
-                    if kind != encoder.kind:
-                        packed = np.frombuffer(packed, encoder.kind).astype(kind).tobytes()
-                    out["tokens"].write(packed)
-                    out["tokens"].write(end)
-                    n_ids += len(packed) // kind.itemsize + 1
+                for found in encoder.ids(batch["text"].tolist()):
+                    out["tokens"].write(found.astype(kind, copy=False).tobytes() + end)
+                    n_ids += len(found) + 1
                     offsets.append(n_ids)
                 ids = batch["doc_id"].astype("Int64")
                 out["offsets"].write(np.asarray(offsets, "<i8").tobytes())

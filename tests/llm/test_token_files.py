@@ -17,16 +17,25 @@ AWKWARD = [
 
 
 @pytest.mark.parametrize("kind,path", [(tokens.ByteEncoder, BYTES), (tokens.WordEncoder, WORDS)])
-def test_chunks_give_the_ids_of_whole_texts(kind, path, monkeypatch):
-    plain = Tokenizer.from_file(path)
-    small, usual = kind(path, limit=7), kind(path)
-    texts = AWKWARD + [" ".join(AWKWARD[i] or "" for i in range(5, 17))]
-    for piece in (1 << 22, 11):
-        monkeypatch.setattr(tokens, "PIECE", piece)
-        for encoder in (usual, small):
-            for t in texts * 2:
-                assert np.frombuffer(encoder.packed(t), encoder.kind).tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
-    assert len(small.known) <= 7
+@pytest.mark.parametrize("limit,group", [(1_000_000, 1 << 22), (7, 11), (50, 200)])
+def test_chunks_give_the_ids_of_whole_texts(kind, path, limit, group):
+    plain, encoder = Tokenizer.from_file(path), kind(path, limit, group)
+    texts = [*AWKWARD, " ".join(AWKWARD[i] or "" for i in range(5, 17)), "nul\0 byte \0", "\x85next\u2028line  \u3000 x"]
+    for some in ([t] for t in texts):
+        assert [i.tolist() for i in encoder.ids(some)] == [plain.encode(some[0] or "", add_special_tokens=False).ids], repr(some)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [i.tolist() for i in encoder.ids(texts)] == want
+    assert len(encoder.young.keys) <= limit and len(encoder.old.keys) <= limit
+
+
+def test_encoder_on_given_documents(small):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"])["text"].to_pylist()
+    for kind, path in ((tokens.ByteEncoder, BYTES), (tokens.WordEncoder, WORDS)):
+        plain = Tokenizer.from_file(path)
+        assert [i.tolist() for i in kind(path, limit=5000, group=30_000).ids(texts)] == [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def brute(rows):
