@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrisk.llm.common import stored
@@ -26,3 +26,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
             return labels
+
+
+def of_members(pairs: DataFrame, node: str, lead: str) -> DataFrame:
+    """(node, label) from rows that tie nodes to leads, where a lead is tied to itself, too.
+
+    A node follows its smallest lead. Only leads that share a node are edges, each to the smallest of that node and
+    counted once, so what the rounds join grows with the leads and not with the members of their groups.
+    """
+    tied = pairs.select(F.col(node).alias("node"), F.col(lead).alias("lead"))
+    led = tied.withColumn("first", F.min("lead").over(Window.partitionBy("node")))
+    labels = components(led.where("lead <> first").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct())
+    members = led.select("node", "first").distinct()
+    return members.join(labels.select(F.col("node").alias("first"), "label"), "first", "left").select("node", F.coalesce("label", "first").alias("label"))

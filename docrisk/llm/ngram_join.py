@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.llm.anchors import keyed
-from docrisk.llm.common import WordHashes, mix, partitions, shingle_set, signed, stored, text_key
-from docrisk.llm.components import components
+from docrisk.llm.common import WordHashes, apart, mix, partitions, shingle_set, signed, stored, text_key
+from docrisk.llm.components import of_members
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -214,8 +214,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
     )
     buckets = sketched.select("node", F.explode("bands").alias("bucket")).distinct()
     lead = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
-    ties = buckets.join(lead, "bucket").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    groups = components(ties)
+    groups = stored(of_members(buckets.join(lead, "bucket"), "node", "lead"), "join-groups")
 
     chosen = groups.join(nodes, "node").select("node", F.col("label").alias("grp"), "n_texts", F.col("rep.doc_id").alias("_d"), F.col("rep.k1").alias("_1"), F.col("rep.k2").alias("_2"))
     same = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_d"))
@@ -228,7 +227,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
 
     sets = stored(keyed(docs).join(chosen, same).select("node", "grp", "n_texts", "text").mapInPandas(full_sets, "node long, grp long, n_texts long, size long, shingles binary"), "join-sets")
     links = stored(verified(block_tasks(sets, threshold), threshold), "join-links")
-    classes = components(links.select(F.col("node").alias("a"), F.col("tie").alias("b")))
+    classes = of_members(links, "node", "tie")
     counted = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     of_node = nodes.join(counted, "node", "left").join(classes, "node", "left").select(
         "node", "first", "n_docs", (F.coalesce("n_links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), F.coalesce("label", "node").alias("label"),
@@ -251,11 +250,11 @@ def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     told apart by their texts, so different texts without doc_id or with the same one do not replace each other.
     """
     found = join(docs, threshold)
+    d, a, b, k1, k2 = apart(docs, "keep_id", "keep_1", "keep_2", "text_1", "text_2")
     keep = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("r")).select(
-        F.col("r.doc_id").alias("_d"), F.col("r.k1").alias("_1"), F.col("r.k2").alias("_2")
+        F.col("r.doc_id").alias(d), F.col("r.k1").alias(a), F.col("r.k2").alias(b)
     )
-    columns = docs.columns
-    k1, k2 = text_key(F.col("text").cast("string"))
-    hashed = docs.withColumns({"_k1": k1, "_k2": k2})
-    same = (F.col("_k1") == F.col("_1")) & (F.col("_k2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    return hashed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*columns)
+    one, two = text_key(F.col("text").cast("string"))
+    hashed = docs.withColumns({k1: one, k2: two})
+    same = (F.col(k1) == F.col(a)) & (F.col(k2) == F.col(b)) & F.col("doc_id").eqNullSafe(F.col(d))
+    return hashed.join(keep, same, "left_semi").dropDuplicates(["doc_id", k1, k2]).select(*docs.columns)

@@ -102,3 +102,29 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and {got[i] for i in (100, 101, 102)} == {100} and got[315] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_members_of_groups_by_their_leads(spark):
+    import random
+
+    from docrisk.llm.components import of_members
+
+    rng = random.Random(2)
+    buckets = [sorted(rng.sample(range(60), rng.randint(2, 5))) for _ in range(25)]
+    pairs = [(n, b[0]) for b in buckets for n in b]
+    got = {r.node: r.label for r in of_members(spark.createDataFrame(pairs, "x long, y long"), "x", "y").collect()}
+    root = {n: n for n, _ in pairs}
+    for _ in range(60):
+        for n, lead in pairs:
+            low = min(root[n], root[lead])
+            root[n] = root[lead] = low
+    assert got == root
+
+
+def test_one_per_class_with_clashing_columns(spark, make):
+    from pyspark.sql import functions as F
+
+    names = ["keep_id", "keep_1", "keep_2", "text_1", "text_2", "k1", "k2", "node", "label", "_d", "class_id", "n_links"]
+    df = make([(1, "a b c d e f g", "en", "s"), (2, "a b c d e f g", "en", "s"), (3, "other words here now then", "en", "s")], extra=False).withColumns({n: F.lit(n) for n in names})
+    got = ngram_join.one_per_class(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, *(r[n] for n in names)) for r in got] == [(1, *names), (3, *names)]
