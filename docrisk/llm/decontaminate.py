@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrisk.llm.common import WordHashes, ngram_hashes, signed, stored, text_key
+from docrisk.llm.common import apart, ngram_hashes, signed, stored, text_key, WordHashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -148,11 +148,12 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: i
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that contain an item. Rows with the same doc_id are one document; without one, each text is."""
 
+    names = apart(docs, "nameless", "id_or_k1", "k2_or_0")
+
     def document(doc_id, k1, k2) -> list:
         nameless = doc_id.isNull()
-        return [nameless.alias("_n"), F.coalesce(doc_id, k1).alias("_a"), F.when(nameless, k2).otherwise(0).alias("_b")]
+        return [c.alias(n) for c, n in zip((nameless, F.coalesce(doc_id, k1), F.when(nameless, k2).otherwise(0)), names)]
 
     hit = contained(docs, items, threshold).select(*document(F.col("doc_id"), F.col("k1"), F.col("k2"))).distinct()
-    columns = docs.columns
     own = docs.select("*", *document(F.col("doc_id").cast("long"), *text_key(F.col("text"))))
-    return own.join(hit, ["_n", "_a", "_b"], "left_anti").select(*columns)
+    return own.join(hit, names, "left_anti").select(*docs.columns)

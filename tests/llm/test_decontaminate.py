@@ -80,3 +80,13 @@ def test_empty_tables(spark, docs_of):
     assert dc.search(docs, items.limit(0)).count() == 0
     assert dc.clean(docs, items.limit(0)).count() == 1
     assert dc.search(docs, items).count() == 1
+
+
+def test_clean_with_clashing_columns(spark, make):
+    from pyspark.sql import functions as F
+
+    names = ["nameless", "id_or_k1", "k2_or_0", "_n", "k1", "item_id", "hash"]
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    df = make([(1, "x one two three four five six seven y", "en", "s"), (2, "nothing of that kind is here", "en", "s"), (None, "no id at all", "en", "s")], extra=False).withColumns({n: F.lit(n) for n in names})
+    got = sorted((r.doc_id or 0, *(r[n] for n in names)) for r in dc.clean(df, items).collect())
+    assert got == [(0, *names), (2, *names)]
