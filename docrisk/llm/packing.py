@@ -19,17 +19,15 @@ are packed each for itself. Extra columns are ignored. An empty table gives an e
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docrisk.llm import tokens
 from docrisk.llm.common import partitions, stored
 
 WINDOW = 4096
@@ -41,131 +39,16 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 # ---- tokens --------------------------------------------------------------------------------------------------
-class ChunkTokenizer:
-    """Ids of texts, remembered per run of non-blank characters.
-
-    The vocabulary's normaliser lowers case and its splitter never joins across an ASCII blank, so the ids of a text
-    are those of its blank-separated, ASCII-lowered chunks in order. The chunks of many texts are hashed together
-    (64 random bits per byte position), and only chunks not seen before reach the tokenizer: in one string, cut
-    apart at the ids that end a word; where the number of words differs from the splitter's, each alone. What is
-    remembered are flat arrays of bounded size, which start anew when full.
-    """
-
-    LONG = 64  # longer chunks are hashed one by one
-
-    def __init__(self, path: str, limit: int = 2_000_000, seed: int = 1):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        vocab = self.tokenizer.get_vocab()
-        self.word_ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.word_ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.random = np.random.default_rng(seed).integers(0, 2**64, self.LONG + 1, np.uint64, endpoint=False) | np.uint64(1)
-        self.kind = np.uint16 if len(self.word_ends) <= 1 << 16 else np.uint32
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
-        self.pool = np.empty(0, self.kind)
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text."""
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        # Special tokens are matched before the case is lowered.
-        raw = [r if b"<|" in r else r.lower() for r in raw]
-        data = b" ".join(raw)
-        starts, sizes = chunk_bounds(data)
-        if not len(starts):
-            return [np.empty(0, "<u4") for _ in raw]
-        distinct, first, which = np.unique(self._hash(data, starts, sizes), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > self.limit:
-            self._forget()
-        new = ~self._has(distinct)
-        if new.any():
-            at = first[new]
-            self._learn(distinct[new], [data[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist())])
-        place = np.searchsorted(self.keys, distinct)[which]
-        length = self.size[place].astype(np.int64)
-        done = np.cumsum(length)
-        flat = self.pool[np.repeat(self.at[place] - (done - length), length) + np.arange(done[-1])].astype("<u4")
-        text_ends = np.cumsum([len(r) + 1 for r in raw])
-        last = np.searchsorted(starts, text_ends)  # chunks before the end of each text
-        return np.split(flat, np.concatenate([[0], done])[last[:-1]])
-
-    def _hash(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        short = np.minimum(sizes, self.LONG)
-        before = np.cumsum(short) - short
-        within = np.arange(before[-1] + short[-1]) - np.repeat(before, short)
-        byte = np.frombuffer(data, np.uint8)[np.repeat(starts, short) + within].astype(np.uint64)
-        out = np.add.reduceat((byte + np.uint64(1)) * self.random[within], before) + sizes.astype(np.uint64) * self.random[self.LONG]
-        for i in np.flatnonzero(sizes > self.LONG):
-            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
-        return out
-
-    def _has(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
-
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        words = [c.decode("utf-8", "replace") for c in chunks]
-        parts = [self._encode(words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        size = np.concatenate([p[1] for p in parts])
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, *(p[0] for p in parts)])
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.size, size.astype(np.int32))))
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
-        count = np.fromiter((len(_SPLIT.findall(w)) for w in words), np.int64, len(words))
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
-        ends = np.flatnonzero(self.word_ends[ids]) + 1
-        if len(ends) == count.sum() and (count > 0).all():
-            return ids, np.diff(ends[np.cumsum(count) - 1], prepend=0)
-        each = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        return np.asarray([i for e in each for i in e], self.kind), np.fromiter(map(len, each), np.int64, len(each))
-
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def chunk_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of every run of non-blank bytes."""
-    solid = np.concatenate([[False], ~_BLANK[np.frombuffer(data, np.uint8)], [False]])
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    return edges[::2], edges[1::2] - edges[::2]
-
-
-def groups_of(texts: list, most: int = 1 << 21):
-    """Consecutive texts of about ``most`` characters together; one text at least."""
-    out, held = [], 0
-    for t in texts:
-        out.append(t)
-        held += len(t or "")
-        if held >= most:
-            yield out
-            out, held = [], 0
-    if out:
-        yield out
-
-
-# Fixed value: how the vocabulary's splitter cuts a chunk.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-
 def measure(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """Per row: token count, CRC of every full window, and prefix CRCs of the remainder at every GRAIN and its end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        encoder = tokens.encoder(tokens.WordEncoder, tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            texts = batch["text"].tolist()
-            for data in (d.tobytes() + end for group in groups_of(texts) for d in tokenizer.ids(group)):
+            for ids in encoder.ids(batch["text"].tolist()):
+                data = ids.astype("<u4").tobytes() + end
                 n, size = len(data) // 4, window * 4
                 full = n // window
                 crcs = [zlib.crc32(data[i * size : (i + 1) * size]) for i in range(full)]
