@@ -12,6 +12,8 @@ refers to are freed, and when the root has one child and no path ends there, all
 and its row let go. A path that another one is sure to beat is dropped, so that paths come together soon; paths of
 equal cost are compared by their whole edits since they parted, however long those are. Memory is therefore that of
 the edits not yet decided, not of the conversation, which is read as a stream from sorted partitions and never gathered.
+Some conversations decide nothing before their end (rows of users alone: their number tells which one goes); there the
+memory grows with the conversation, and a comparison climbs all of it.
 
 One exchange brings a conversation's rows together; its repeated rows are marked by a window over hashes of role and
 text in that same partitioning. A very long conversation is one sorted stream in one task, as its edits depend on
