@@ -41,22 +41,27 @@ def _leaf(x: str) -> str:
     return f"cast(len(string_split({x}, ' ')) as varchar) || '|' || {_LEAD.replace('(x,', f'({x},')}"
 
 
-OP5 = f"""with l as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-b as (select doc_id, text, lines, list_max(list_transform(lines, lambda v: struct_pack(n := length(v), v := trim(v, ' ')))).v as longest from l),
-r as (select doc_id, text, {_leaf('longest')} as source, unnest(list_transform(lines, lambda v: trim(v, ' '))) as line, unnest(range(1, len(lines) + 1)) as pos from b),
-q as (select *, {_leaf('line')} as leaf from r where line <> ''),
-wide as (select leaf from q group by 1 having count(distinct source) >= {line_dedup.MIN_SOURCES}),
-t as (select leaf, line, count(*) as n from q where leaf in (select leaf from wide) group by 1, 2),
-tok as (select leaf, n, unnest(string_split(line, ' ')) as token, unnest(range(1, len(string_split(line, ' ')) + 1)) as pos from t),
-vote as (select leaf, pos, token, sum(n) as n from tok group by 1, 2, 3),
-best as (select leaf, pos, max(struct_pack(n := n, token := token)) as top, sum(n) as total from vote group by 1, 2),
-tpl as (select leaf, list(case when top.n * 2 >= total then top.token else '<*>' end order by pos) as template from best group by 1),
-m as (select t.leaf, t.line, len(list_filter(template, lambda f: f <> '<*>')) as fixed,
-    len(list_filter(range(1, len(template) + 1), lambda i: template[i] <> '<*>' and template[i] = string_split(t.line, ' ')[i])) as agree
-  from t join tpl on tpl.leaf = t.leaf),
-member as (select leaf, line from m where fixed > 0 and agree >= fixed * {line_dedup.LIKENESS}),
-rec as (select q.leaf, min(doc_id) as keeper from q join member using (leaf, line) group by 1 having count(distinct source) >= {line_dedup.MIN_SOURCES}),
-gone as (select q.doc_id, q.text, list(distinct pos) as gone from q join member using (leaf, line) join rec on rec.leaf = q.leaf and q.doc_id is distinct from keeper group by 1, 2)
+_KIND = "regexp_matches(token, '[0-9@]|://')"
+_M = line_dedup.MIN_SOURCES
+OP5 = f"""with l as (select doc_id, text, coalesce(text, '') as x, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+r as (select doc_id, text, x, length(replace(x, chr(10), '')) as total, unnest(lines) as raw, unnest(range(1, len(lines) + 1)) as pos from l),
+q as (select *, {_leaf('line')} as leaf from (select *, trim(raw, ' ') as line from r) where line <> ''),
+wide as (select leaf, length(bin(count(distinct x))) as bits from q group by 1 having count(distinct x) >= {_M}),
+t as (select leaf, line, count(distinct x) as n from q where leaf in (select leaf from wide) group by 1, 2),
+tok as (select leaf, line, n, unnest(string_split(line, ' ')) as token, unnest(range(1, len(string_split(line, ' ')) + 1)) as pos from t),
+often as (select leaf, pos, token from tok where pos > {line_dedup.DEPTH} and not {_KIND} group by 1, 2, 3 having sum(n) >= {_M}),
+m as (select leaf, line, count(*) as size, count(*) filter (pos <= {line_dedup.DEPTH} and not {_KIND}) as lead, count(*) filter (pos > {line_dedup.DEPTH} and not {_KIND}) as words,
+    count(*) filter (often.token is not null) as fixed, coalesce(string_agg(pos || ' ' || token, chr(10) order by pos) filter (often.token is not null), '') as template
+  from tok left join often using (leaf, pos, token) group by 1, 2),
+member as (select leaf, line, template from m where fixed * 100 >= words * {line_dedup.LIKENESS} and 2 * (lead + fixed) >= size),
+once as (select distinct x, total, pos, leaf, line, length(raw) as size from q where leaf in (select leaf from wide)),
+held as (select leaf, template, x, total, sum(size) as own from once join member using (leaf, line) group by 1, 2, 3, 4),
+tpl as (select leaf, template, length(bin(count(*))) as bits from held group by 1, 2 having count(*) >= {_M}),
+spread as (select x, bits, sum(size) as chars from once join wide using (leaf) group by 1, 2),
+body as (select held.leaf, held.template, held.x, total - own as rest, total - sum(chars) filter (spread.bits > tpl.bits - 2) as body from held join tpl using (leaf, template) join spread on spread.x = held.x group by 1, 2, 3, 4),
+found as (select leaf, template from body where body > 0 and 2 * body >= rest group by 1, 2 having count(*) >= {_M}),
+bad as (select q.*, min(doc_id) over (partition by found.leaf, found.template) as keeper from q join member using (leaf, line) join found on found.leaf = q.leaf and found.template = member.template),
+gone as (select doc_id, text, list(distinct pos) as gone from bad where doc_id is distinct from keeper group by 1, 2)
 select l.doc_id, case when gone is null then l.text else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: not list_contains(gone, i)), lambda i: lines[i]), chr(10)) end as text,
   cast(len(lines) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_dropped
 from l left join gone on gone.doc_id is not distinct from l.doc_id and gone.text is not distinct from l.text"""

@@ -1,21 +1,27 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A fixed-depth tree sorts lines by token count and leading tokens; a leaf is (count, first ``depth`` tokens), where
-tokens that hold a digit, an at sign or a URL scheme count as ``<*>``. In leaves that many documents reach, each
-token position keeps its token if at least half of the leaf's lines have it, else it is ``<*>``, a variable field:
-the leaf's template. Lines that agree with at least ``likeness`` of the template's fixed tokens belong to it. A
-template is boilerplate if its lines come from at least ``min_sources`` different sources; every such line is
-dropped but for those of the document with the smallest id.
-
-A document's source is the leaf of its longest line: exact and near copies of one text are one source, so a
-text that was copied a thousand times does not lose its lines for that.
-
-The lines of all documents are reduced to hashes once and stored. Leaves that many sources reach are then looked
+tokens that hold a digit, an at sign or a URL scheme are variable by kind and count as ``<*>``. A leaf is split by token
+agreement: behind the leading tokens a token stays fixed if lines of at least ``min_sources`` different texts have
+it there, every other one becomes ``<*>``. Lines that are equal after that share a template, so a leaf holds as many
+templates as it needs. A line takes part only if at least ``LIKENESS`` percent of its words behind the leading ones are
+fixed (tokens variable by kind aside), and at least half of all its tokens are fixed words: unrelated prose that begins
+alike, and rows of numbers, have no template.
+
+A template is boilerplate if at least ``min_sources`` different texts bear it out; all its lines are dropped but for those
+of the document with the smallest id. A text bears a template out if it has a body of its own: of the characters
+outside the template's lines, at least half lie in lines whose leaf is clearly rarer than the template. What copies
+share is equally frequent throughout, so exact and near copies of one text bear nothing out and lose nothing, while a footer
+over different texts goes, however long it is and whatever header stands with it. Rarer is by powers of two: the
+bit length of the number of texts that reach the leaf is smaller by two at least.
+
+The lines of all documents are reduced to hashes once and stored. Leaves that enough texts reach are then looked
 for in the texts: a table of ``SLOTS`` bytes, of the same size for any input, lets lines of other leaves go before
 anything is shuffled, and an exact join follows.
 
-Null text counts as empty; blank lines stay; long lines and texts are taken whole; repeated rows lose the same
-lines; clashing extra columns stay as they are; an empty table gives an empty result.
+Null text counts as empty; blank lines stay; long lines and texts are taken whole; repeated rows lose the same lines and
+count as one text; equal smallest ids keep their lines together; rows without id never keep one if another has an id;
+extra columns stay as they are, but ``n_lines`` and ``n_dropped``, which are the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.functions.skew import let
-from docrisk.llm.common import stored, text_key
+from docrisk.llm.common import apart, stored, text_key
 
 DEPTH = 3
-MIN_SOURCES = 8
-LIKENESS = 0.7
+MIN_SOURCES = 4
+LIKENESS = 70
 SLOTS = 1 << 18
 # A whole token; it starts where a token starts and never backtracks, so long tokens cost no more.
 VARIABLE = r"(?<![^ ])(?:[^ \d@:]++|:(?!//))*+(?:[\d@]|://)[^ ]*+"
@@ -47,14 +53,15 @@ def lines_of(text: Column) -> Column:
 
 
 def tree_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, k1, k2, source, pos, line, leaf) of every line; the leaf of a blank line is null."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), lines_of(F.col("text")).alias("lines"))
-    longest = F.expr("array_max(transform(lines, l -> named_struct('n', length(l), 'l', trim(l)))).l")
-    # Once per text, before its lines become rows.
-    sourced = base.withColumn("source", let(longest, lambda x: leaf(x, depth)))
-    rows = sourced.select("doc_id", "k1", "k2", "source", F.posexplode("lines").alias("pos", "raw"))
+    """(doc_id, k1, k2, total, pos, size, line, leaf) of every line: ``size`` of the line's and ``total`` of the text's characters
+    without line ends; the leaf of a blank line is null."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    total = F.length(F.replace(whole, F.lit("\n"), F.lit(""))).alias("total")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), total, lines_of(F.col("text")).alias("lines"))
+    rows = base.select("doc_id", "k1", "k2", "total", F.posexplode("lines").alias("pos", "raw"))
     out = let(F.trim("raw"), lambda x: F.struct(x.alias("line"), F.when(x != "", leaf(x, depth)).alias("leaf")))
-    return rows.select("doc_id", "k1", "k2", "source", "pos", out.alias("o")).select("doc_id", "k1", "k2", "source", "pos", F.col("o.line").alias("line"), F.col("o.leaf").alias("leaf"))
+    rows = rows.select("doc_id", "k1", "k2", "total", "pos", F.length("raw").alias("size"), out.alias("o"))
+    return rows.select("doc_id", "k1", "k2", "total", "pos", "size", F.col("o.line").alias("line"), F.col("o.leaf").alias("leaf"))
 
 
 def slot_of(hash_: Column) -> Column:
@@ -69,47 +76,72 @@ def slot_filter(leaves: DataFrame) -> Column:
     return F.substring(F.lit(bytes(table)), slot_of(F.col("leaf")) + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def boilerplate(docs: DataFrame, rows: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: float = LIKENESS) -> tuple[DataFrame, Column]:
-    """(leaf, lh, keeper) of the lines of recurring templates with the document that keeps them, and a filter on leaves.
+def templates(lines: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> DataFrame:
+    """(leaf, lh, template) of the lines (leaf, lh, line, n) that have one; ``n`` texts hold the line.
 
-    ``rows`` are the stored line hashes (doc_id, k1, k2, source, pos, leaf, lh).
+    Tokens travel as hashes of position and token. A template is the combination of the hashes of its fixed tokens.
     """
-    wide = stored(rows.select("leaf", "source").distinct().groupBy("leaf").count().where(F.col("count") >= min_sources).select("leaf"), "line-leaves")
-    maybe = slot_filter(wide)
-    near = tree_lines(docs, depth).select("leaf", "line").where(maybe).join(wide, "leaf")
-    lines = stored(near.groupBy("leaf", "line").agg(F.count("*").alias("n")), "line-texts")
-    tokens = lines.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).groupBy("leaf", "pos").agg(
-        F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all")
-    )
-    fixed = F.when(F.col("top.n") * 2 >= F.col("all"), F.col("top.token")).otherwise("<*>")
-    # One entry per token position of the leaf.
-    template = votes.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", fixed.alias("t")))), lambda x: x["t"]).alias("template"))
-    is_fixed = F.size(F.filter("template", lambda t: t != "<*>"))
-    agree = F.size(F.filter(F.zip_with("template", F.split("line", " "), lambda t, x: (t != "<*>") & (t == x)), lambda x: x))
-    member = lines.join(template, "leaf").where((is_fixed > 0) & (agree >= is_fixed * likeness)).select("leaf", F.xxhash64("line").alias("lh"))
-    seen = rows.where(maybe).groupBy("leaf", "lh", "source").agg(F.min("doc_id").alias("doc_id")).join(member, ["leaf", "lh"])
-    recurring = (
-        seen.groupBy("leaf", "source").agg(F.min("doc_id").alias("doc_id"))
-        .groupBy("leaf").agg(F.count("*").alias("sources"), F.min("doc_id").alias("keeper")).where(F.col("sources") >= min_sources)
+    kind = lambda t: t.rlike(r"[\d@]|://")
+    tokens = F.split("line", " ")
+    lead = F.size(F.filter(F.slice(tokens, 1, depth), lambda t: ~kind(t)))
+    hashes = F.transform(tokens, lambda t, i: F.when((i >= depth) & ~kind(t), F.xxhash64(i, t)))
+    base = lines.select("leaf", "lh", "n", lead.alias("lead"), F.size(tokens).alias("size"), F.array_compact(hashes).alias("hashes"))
+    rows = base.select("leaf", "lh", "n", "lead", "size", F.explode_outer("hashes").alias("token"))
+    # A token in too few texts is no token of a template.
+    often = rows.where("token is not null").groupBy("leaf", "token").agg(F.sum("n").alias("texts")).where(F.col("texts") >= min_sources)
+    marked = rows.join(often, ["leaf", "token"], "left")
+    fixed = F.when(F.col("texts").isNotNull(), F.col("token"))
+    lined = marked.groupBy("leaf", "lh", "lead", "size").agg(
+        F.count("token").alias("words"), F.count(fixed).alias("fixed"), F.coalesce(F.bit_xor(fixed), F.lit(0)).alias("template")
     )
-    return stored(member.join(recurring.select("leaf", "keeper"), "leaf"), "line-boilerplate"), maybe
+    enough = (F.col("fixed") * 100 >= F.col("words") * likeness) & (2 * (F.col("lead") + F.col("fixed")) >= F.col("size"))
+    return lined.where(enough).select("leaf", "lh", "template")
 
 
-def drop_lines(docs: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: float = LIKENESS) -> DataFrame:
+def boilerplate(docs: DataFrame, rows: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> tuple[DataFrame, Column]:
+    """(leaf, lh, keeper) of the lines of boilerplate templates with the document that keeps them, and a filter on leaves.
+
+    ``rows`` are the stored line hashes (doc_id, k1, k2, total, pos, size, leaf, lh).
+    """
+    bits = lambda c: F.length(F.bin(F.col(c)))
+    reach = rows.select("leaf", "k1", "k2").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
+    wide = stored(reach.where(F.col("texts") >= min_sources).select("leaf", bits("texts").alias("bits")), "line-leaves")
+    maybe = slot_filter(wide)
+    once = rows.where(maybe).groupBy("k1", "k2", "pos", "leaf", "lh", "size", "total").agg(F.min("doc_id").alias("doc_id"))  # equal texts are one
+    seen = stored(once.join(wide, "leaf"), "line-wide")
+    texts = seen.select("leaf", "lh", "k1", "k2").distinct().groupBy("leaf", "lh").agg(F.count("*").alias("n"))
+    near = tree_lines(docs, depth).select("leaf", "line").where(maybe).join(wide.select("leaf"), "leaf")
+    lines = near.groupBy("leaf", "line").agg(F.lit(1)).select("leaf", F.xxhash64("line").alias("lh"), "line")
+    member = stored(templates(lines.join(texts, ["leaf", "lh"]), depth, min_sources, likeness), "line-templates")
+
+    held = seen.join(member, ["leaf", "lh"]).groupBy("leaf", "template", "k1", "k2").agg(F.sum("size").alias("own"), F.min("doc_id").alias("doc_id"))
+    held = stored(held, "line-held")
+    often = held.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min("doc_id").alias("keeper")).where(F.col("texts") >= min_sources)
+    # Characters of a text by the frequency of their leaf: one entry per bit length.
+    spread = seen.groupBy("k1", "k2", "bits").agg(F.sum("size").alias("chars"), F.max("total").alias("total"))
+    spread = spread.groupBy("k1", "k2").agg(F.collect_list(F.struct("bits", "chars")).alias("spread"), F.max("total").alias("total"))
+    asked = held.drop("doc_id").join(often.select("leaf", "template", bits("texts").alias("bits")), ["leaf", "template"]).join(spread, ["k1", "k2"])
+    common = F.expr("aggregate(spread, 0L, (a, x) -> a + if(x.bits > bits - 2, x.chars, 0L))")
+    body = F.col("total") - common
+    borne = asked.where((body > 0) & (2 * body >= F.col("total") - F.col("own"))).groupBy("leaf", "template").agg(F.count("*").alias("sources"))
+    found = borne.where(F.col("sources") >= min_sources).join(often, ["leaf", "template"]).select("leaf", "template", "keeper")
+    return stored(member.join(found, ["leaf", "template"]).select("leaf", "lh", "keeper"), "line-boilerplate"), maybe
+
+
+def drop_lines(docs: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> DataFrame:
     """``docs`` with ``text`` less its boilerplate lines, and ``n_lines`` and ``n_dropped``."""
-    hashed = tree_lines(docs, depth).select("doc_id", "k1", "k2", "source", "pos", "leaf", F.xxhash64("line").alias("lh"))
-    rows = stored(hashed, "line-hashes").where("leaf is not null")
+    hashed = tree_lines(docs, depth).withColumn("lh", F.xxhash64("line")).drop("line")
+    rows = stored(hashed.where("leaf is not null"), "line-hashes")
     found, maybe = boilerplate(docs, rows, depth, min_sources, likeness)
-    bad = found.select(F.col("leaf").alias("_leaf"), F.col("lh").alias("_lh"), "keeper")
-    hit = rows.where(maybe).join(bad, (F.col("leaf") == F.col("_leaf")) & (F.col("lh") == F.col("_lh")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = hit.groupBy("k1", "k2", F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
+    bad = found.select(F.col("leaf").alias("bad_leaf"), F.col("lh").alias("bad_lh"), "keeper")
+    hit = rows.where(maybe).join(bad, (F.col("leaf") == F.col("bad_leaf")) & (F.col("lh") == F.col("bad_lh")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    d1, d2, h1, h2, doc, gone, text = apart(docs, "d1", "d2", "h1", "h2", "doc", "gone", "kept")
+    cut = hit.groupBy(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("doc_id").alias(doc)).agg(F.collect_set("pos").alias(gone))  # at most a document's lines
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    same = (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-    out = keyed.join(gone, same, "left")
+    same = (F.col(d1) == F.col(h1)) & (F.col(d2) == F.col(h2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    out = docs.withColumns({d1: k1, d2: k2}).join(cut, same, "left")
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return out.withColumns({**counts, "_text": text}).withColumn("text", F.col("_text")).drop("_text", "_gone", "_doc", "k1", "k2", "_k1", "_k2")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
+    left = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    return out.withColumns({**counts, text: left}).withColumn("text", F.col(text)).drop(text, gone, doc, d1, d2, h1, h2)
