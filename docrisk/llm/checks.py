@@ -58,7 +58,7 @@ once as (select distinct x, total, pos, leaf, line, length(raw) as size from q w
 held as (select leaf, template, x, total, sum(size) as own from once join member using (leaf, line) group by 1, 2, 3, 4),
 tpl as (select leaf, template, length(bin(count(*))) as bits from held group by 1, 2 having count(*) >= {_M}),
 spread as (select x, bits, sum(size) as chars from once join wide using (leaf) group by 1, 2),
-body as (select held.leaf, held.template, held.x, total - own as rest, total - sum(chars) filter (spread.bits > tpl.bits - 2) as body from held join tpl using (leaf, template) join spread on spread.x = held.x group by 1, 2, 3, 4),
+body as (select held.leaf, held.template, held.x, max(total - own) as rest, max(total) - sum(chars) filter (spread.bits > tpl.bits - 2) as body from held join tpl using (leaf, template) join spread on spread.x = held.x group by 1, 2, 3),
 found as (select leaf, template from body where body > 0 and 2 * body >= rest group by 1, 2 having count(*) >= {_M}),
 bad as (select q.*, min(doc_id) over (partition by found.leaf, found.template) as keeper from q join member using (leaf, line) join found on found.leaf = q.leaf and found.template = member.template),
 gone as (select doc_id, text, list(distinct pos) as gone from bad where doc_id is distinct from keeper group by 1, 2)
