@@ -15,9 +15,8 @@ share is equally frequent throughout, so exact and near copies of one text bear
 over different texts goes, however long it is and whatever header stands with it. Rarer is by powers of two: the
 bit length of the number of texts that reach the leaf is smaller by two at least.
 
-The lines of all documents are reduced to hashes once and stored. Leaves that enough texts reach are then looked
-for in the texts: a table of ``SLOTS`` bytes, of the same size for any input, lets lines of other leaves go before
-anything is shuffled, and an exact join follows.
+The lines of all documents are reduced to hashes once and stored. Only lines of leaves that enough texts reach are
+looked for in the texts; Spark broadcasts these leaves while its own size check allows, beyond that it shuffles.
 
 Null text counts as empty; blank lines stay; long lines and texts are taken whole; repeated rows lose the same lines and
 count as one text; equal smallest ids keep their lines together; rows without id never keep one if another has an id;
@@ -35,7 +34,6 @@ from docrisk.llm.common import apart, stored, text_key
 DEPTH = 3
 MIN_SOURCES = 4
 LIKENESS = 70
-SLOTS = 1 << 18
 # A whole token; it starts where a token starts and never backtracks, so long tokens cost no more.
 VARIABLE = r"(?<![^ ])(?:[^ \d@:]++|:(?!//))*+(?:[\d@]|://)[^ ]*+"
 
@@ -64,18 +62,6 @@ def tree_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.select("doc_id", "k1", "k2", "total", "pos", "size", F.col("o.line").alias("line"), F.col("o.leaf").alias("leaf"))
 
 
-def slot_of(hash_: Column) -> Column:
-    return F.pmod(hash_, F.lit(SLOTS)).cast("int")
-
-
-def slot_filter(leaves: DataFrame) -> Column:
-    """Test on ``leaf``: true for every leaf of ``leaves`` and few others; at most SLOTS small rows reach the driver."""
-    table = bytearray(SLOTS)
-    for row in leaves.select(slot_of(F.col("leaf")).alias("s")).distinct().collect():
-        table[row["s"]] = 1
-    return F.substring(F.lit(bytes(table)), slot_of(F.col("leaf")) + 1, F.lit(1)) == F.lit(b"\x01")
-
-
 def templates(lines: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> DataFrame:
     """(leaf, lh, template) of the lines (leaf, lh, line, n) that have one; ``n`` texts hold the line.
 
@@ -98,19 +84,19 @@ def templates(lines: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURC
     return lined.where(enough).select("leaf", "lh", "template")
 
 
-def boilerplate(docs: DataFrame, rows: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> tuple[DataFrame, Column]:
-    """(leaf, lh, keeper) of the lines of boilerplate templates with the document that keeps them, and a filter on leaves.
+def boilerplate(docs: DataFrame, rows: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> DataFrame:
+    """(k1, k2, pos, keeper) of the lines of boilerplate templates in every distinct text, with the document that keeps them.
 
     ``rows`` are the stored line hashes (doc_id, k1, k2, total, pos, size, leaf, lh).
     """
     bits = lambda c: F.length(F.bin(F.col(c)))
     reach = rows.select("leaf", "k1", "k2").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
     wide = stored(reach.where(F.col("texts") >= min_sources).select("leaf", bits("texts").alias("bits")), "line-leaves")
-    maybe = slot_filter(wide)
-    once = rows.where(maybe).groupBy("k1", "k2", "pos", "leaf", "lh", "size", "total").agg(F.min("doc_id").alias("doc_id"))  # equal texts are one
-    seen = stored(once.join(wide, "leaf"), "line-wide")
+    # Equal texts are one from here on.
+    once = rows.join(wide, "leaf").groupBy("k1", "k2", "pos", "leaf", "lh", "size", "total", "bits").agg(F.min("doc_id").alias("doc_id"))
+    seen = stored(once, "line-wide")
     texts = seen.select("leaf", "lh", "k1", "k2").distinct().groupBy("leaf", "lh").agg(F.count("*").alias("n"))
-    near = tree_lines(docs, depth).select("leaf", "line").where(maybe).join(wide.select("leaf"), "leaf")
+    near = tree_lines(docs, depth).select("leaf", "line").join(wide.select("leaf"), "leaf")
     lines = near.groupBy("leaf", "line").agg(F.lit(1)).select("leaf", F.xxhash64("line").alias("lh"), "line")
     member = stored(templates(lines.join(texts, ["leaf", "lh"]), depth, min_sources, likeness), "line-templates")
 
@@ -125,23 +111,23 @@ def boilerplate(docs: DataFrame, rows: DataFrame, depth: int = DEPTH, min_source
     body = F.col("total") - common
     borne = asked.where((body > 0) & (2 * body >= F.col("total") - F.col("own"))).groupBy("leaf", "template").agg(F.count("*").alias("sources"))
     found = borne.where(F.col("sources") >= min_sources).join(often, ["leaf", "template"]).select("leaf", "template", "keeper")
-    return stored(member.join(found, ["leaf", "template"]).select("leaf", "lh", "keeper"), "line-boilerplate"), maybe
+    bad = member.join(found, ["leaf", "template"]).select("leaf", "lh", "keeper")
+    return seen.select("k1", "k2", "pos", "leaf", "lh").join(bad, ["leaf", "lh"]).select("k1", "k2", "pos", "keeper")
 
 
 def drop_lines(docs: DataFrame, depth: int = DEPTH, min_sources: int = MIN_SOURCES, likeness: int = LIKENESS) -> DataFrame:
     """``docs`` with ``text`` less its boilerplate lines, and ``n_lines`` and ``n_dropped``."""
     hashed = tree_lines(docs, depth).withColumn("lh", F.xxhash64("line")).drop("line")
     rows = stored(hashed.where("leaf is not null"), "line-hashes")
-    found, maybe = boilerplate(docs, rows, depth, min_sources, likeness)
-    bad = found.select(F.col("leaf").alias("bad_leaf"), F.col("lh").alias("bad_lh"), "keeper")
-    hit = rows.where(maybe).join(bad, (F.col("leaf") == F.col("bad_leaf")) & (F.col("lh") == F.col("bad_lh")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    d1, d2, h1, h2, doc, gone, text = apart(docs, "d1", "d2", "h1", "h2", "doc", "gone", "kept")
-    cut = hit.groupBy(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("doc_id").alias(doc)).agg(F.collect_set("pos").alias(gone))  # at most a document's lines
+    found = boilerplate(docs, rows, depth, min_sources, likeness)
+    d1, d2, h1, h2, bad, gone, text = apart(docs, "d1", "d2", "h1", "h2", "bad", "gone", "kept")
+    cut = found.groupBy(F.col("k1").alias(h1), F.col("k2").alias(h2)).agg(F.collect_list(F.struct("pos", "keeper")).alias(bad))  # at most a text's lines
     k1, k2 = text_key(F.col("text"))
-    same = (F.col(d1) == F.col(h1)) & (F.col(d2) == F.col(h2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
-    out = docs.withColumns({d1: k1, d2: k2}).join(cut, same, "left")
+    out = docs.withColumns({d1: k1, d2: k2}).join(cut, (F.col(d1) == F.col(h1)) & (F.col(d2) == F.col(h2)), "left")
+    mine = F.col("doc_id").cast("long")
+    out = out.withColumn(gone, F.transform(F.filter(bad, lambda g: ~mine.eqNullSafe(g["keeper"])), lambda g: g["pos"]))
     lines = lines_of(F.col("text"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
-    left = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    left = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
-    return out.withColumns({**counts, text: left}).withColumn("text", F.col(text)).drop(text, gone, doc, d1, d2, h1, h2)
+    return out.withColumns({**counts, text: left}).withColumn("text", F.col(text)).drop(text, gone, bad, d1, d2, h1, h2)
