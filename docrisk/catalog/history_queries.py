@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.catalog.core import query
-from docrisk.catalog.scan_queries import _SCAN, _TEXT, LEVEL, full_scan
+from docrisk.catalog.scan_queries import _SCAN, _TEXT, FORMATS, LEVEL, all_tables, full_scan
 from docrisk.catalog.views import Inputs
 from docrisk.functions import patterns as P
 from docrisk.operators import control, evidence, history, lifecycle
 from docrisk.session import work_folder
 from docrisk.sources import sinks
-from docrisk.streaming import arrivals, state
+from docrisk.streaming import arrivals, scans, state
 
 _LVL = LEVEL.replace("{s}", "risk_score")
 _TS = "strftime(created_at, '%Y-%m-%d %H:%M:%S')"
@@ -278,3 +278,44 @@ def stream_text_scan(x: Inputs) -> DataFrame:
     arrivals.run_to_end(scored, f"{root}/out", f"{root}/progress")
     return x.spark.read.parquet(f"{root}/out")
 
+
+# Tables whose rows are a format's facts, with their key.
+_FACT_TABLES = {
+    "pdf": (("fx_pdf_objects", "doc_id"), ("fx_pdf_spans", "doc_id"), ("fx_pdf_pages", "doc_id")),
+    "exe": (("fx_pe_headers", "file_id"),),
+    "docx": (("fx_ooxml_full", "doc_id"),),
+    "json": (("fx_json_docs", "doc_id"),),
+}
+_START = "timestampadd(second, file_id, timestamp '2024-01-01')"
+
+
+def scan_feeds(x: Inputs, root: str) -> tuple[DataFrame, DataFrame]:
+    """Arrivals of all files and announcements of their facts as streams; a heartbeat a day later ends each."""
+    beat = "select cast(null as bigint) as file_id, max(ts) + interval 1 day as ts, cast(null as string) as {c} from {t}"
+    came = scans.wanted(x.fx_files, FORMATS).selectExpr("cast(file_id as bigint) as file_id", f"{_START} as ts", "wanted")
+    given = None
+    for name, sources in _FACT_TABLES.items():
+        for table, key in sources:
+            part = x[table].select(F.col(key).cast("bigint").alias("file_id"), F.lit(name).alias("format")).distinct()
+            given = part if given is None else given.union(part)
+    told = given.join(x.fx_files.select("file_id"), "file_id", "left_semi").distinct().selectExpr("file_id", f"timestampadd(second, file_id % 50, {_START}) as ts", "format")
+    feeds = []
+    for name, rows, last in (("arrived", came, "wanted"), ("announced", told, "format")):
+        end = x.spark.sql(beat.format(c=last, t="{t}"), t=came.select("ts"))
+        rows.repartitionByRange(_files(x), "ts").unionByName(end).write.parquet(f"{root}/{name}")
+        feeds.append(arrivals.read_folder(x.spark, f"{root}/{name}", rows.schema))
+    return feeds[0], feeds[1]
+
+
+@query("stream_scan", "S-1, V-9", _SCAN)
+def stream_scan(x: Inputs) -> DataFrame:
+    """The whole scan of files that arrive, with facts announced up to 49 seconds later or never; a file waits a minute."""
+    root = work_folder(x.spark, "scan")
+    shown = ("file_id", "detected_type", "av_status", "risk_score", "risk_level", "verdict")
+    ready = scans.ready(*scan_feeds(x, root), delay="2 minutes", timeout_ms=60_000)
+    run = (
+        ready.writeStream.foreachBatch(scans.decide(x.fx_files, x.fx_av, lambda ids: all_tables(x, ids), FORMATS, root, shown))
+        .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return x.spark.read.parquet(f"{root}/results").select(*shown)

@@ -116,10 +116,13 @@ def text_levels(x: Inputs) -> DataFrame:
 
 
 # ---- the whole scan -----------------------------------------------------------------------------
-def all_tables(x: Inputs) -> plan.Tables:
+FORMATS = ("pdf", "exe", "docx", "json")
+
+
+def all_tables(x: Inputs, ids: dict[str, DataFrame] | None = None) -> plan.Tables:
     """Fact tables of the four formats. The given tables hold rows of many more files than there are: each table is cut
-    to the files that take its route before the costly work on its rows."""
-    ids = {r: plan.routed(x.fx_files, f"route_{r}") for r in ("pdf", "exe", "docx", "json")}
+    to the files that take its route, or to ``ids`` by format, before the costly work on its rows."""
+    ids = ids or {r: plan.routed(x.fx_files, f"route_{r}") for r in FORMATS}
     pick = lambda name, route, key: plan.only(x[name], ids[route], key)
     strings = pick("fx_seeded", "exe", "doc_id").select(F.col("doc_id").alias("file_id"), F.array("text").alias("strings"))
     return plan.Tables(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrisk.operators import lifecycle
-from docrisk.streaming import arrivals, state
+from docrisk.streaming import arrivals, scans, state
 
 
 def _feed(spark, tmp_path, rows, files):
@@ -61,3 +61,32 @@ def test_late_end_does_not_open_a_scan_that_timed_out(spark, tmp_path):
     arrivals.run_to_end(state.transitions(stream, "1 second", timeout_ms=30_000), str(tmp_path / "out"), str(tmp_path / "progress"))
     got = {r.scan_id: r.state for r in state.current(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {1: "failed", 2: "completed", 3: "completed", 4: "completed"}
+
+
+def _meeting(spark, tmp_path, arrived, announced, timeout_ms=60_000):
+    """Batches of (file_id, second, wanted) and (file_id, second, format), a file each, and the decisions on them."""
+    base, feeds = 1_704_067_200, []
+    for name, col, batches in (("arrived", "wanted", arrived), ("announced", "format", announced)):
+        schema = f"file_id long, ts timestamp, {col} string"
+        for n, rows in enumerate(batches):
+            data = spark.createDataFrame(rows, f"file_id long, s long, {col} string")
+            data = data.select("file_id", F.timestamp_seconds(F.col("s") + base).alias("ts"), col)
+            data.coalesce(1).write.mode("append").parquet(str(tmp_path / name / f"n={n}"))
+        feeds.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / name / "n=*")))
+    stream = scans.ready(*feeds, delay="1 second", timeout_ms=timeout_ms)
+    arrivals.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
+    rows = spark.read.schema(scans.OUTPUT).parquet(str(tmp_path / "out")).collect()
+    return sorted((r.file_id, r.known, r.timed_out) for r in rows)
+
+
+def test_files_and_facts_meet(spark, tmp_path):
+    arrived = [[(1, 0, "pdf"), (2, 0, "docx,pdf"), (3, 0, ""), (4, 0, "exe"), (1, 5, "pdf")], [(5, 10, "json"), (None, 9_000, None)]]
+    announced = [[(1, 3, "pdf"), (2, 4, "docx"), (5, 2, "json"), (5, 2, "json"), (9, 1, "pdf")], [(2, 20, "pdf"), (None, 9_000, None)]]
+    got = _meeting(spark, tmp_path, arrived, announced)
+    assert got == [(1, "pdf", False), (2, "docx,pdf", False), (3, "", False), (4, "", True), (5, "json", False)]
+
+
+def test_facts_after_the_time_out_change_nothing(spark, tmp_path):
+    arrived = [[(1, 0, "docx,pdf"), (7, 0, "pdf")], [(None, 500, None)], [(None, 600, None)], [(None, 700, None)]]
+    announced = [[(1, 1, "pdf"), (7, 1, "pdf")], [(None, 500, None)], [(None, 600, None)], [(1, 650, "docx"), (7, 650, "pdf"), (None, 700, None)]]
+    assert _meeting(spark, tmp_path, arrived, announced) == [(1, "pdf", True), (7, "pdf", False)]
