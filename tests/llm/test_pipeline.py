@@ -60,7 +60,7 @@ def test_registered():
 
     names = contract.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
