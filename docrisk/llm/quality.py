@@ -373,8 +373,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     labelled = tuple(s(x) for s, x in zip(scales, raw))
     fold = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
     folds = [k for k in range(FOLDS) if len(set(y[fold != k])) == 2]  # else a fold keeps the odds of the whole fit
-    rest = columns.join(known.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti").withColumn("_y", F.lit(None).cast("int"))
-    pool = stored(rest.mapInPandas(run, schema).select("view"), "quality-pool")
+    # Views, not texts, are shuffled, by the same plan at every size. Rows without id match none and are dealt out by view.
+    rest = columns.withColumn("_y", F.lit(None).cast("int")).mapInPandas(run, schema).drop("y")
+    rest = rest.withColumn("deal", F.when(F.col("id").isNull(), F.xxhash64("view")).otherwise(F.lit(0).cast("long")))
+    ids_known = known.select(F.col("_id").alias("id"), F.lit(0).cast("long").alias("deal")).hint("merge")
+    same = F.coalesce(rest["id"], F.lit(0).cast("long")) == ids_known["id"]
+    pool = stored(rest.join(ids_known, same & (rest["deal"] == ids_known["deal"]), "left_anti").select("view"), "quality-pool")
     fits = co_train(labelled, y, [np.ones(len(y), bool)] + [fold != k for k in folds], StoredPool(pool, scales))
     whole = fits[0].models
     odds = [m.odds(z) for m, z in zip(whole, labelled)]
