@@ -6,8 +6,9 @@ language, length). Both are logistic regressions trained here. A row is good if
 not labelled toxic. In each round every view labels all unlabelled rows it is confident about for the other view,
 in one distributed pass per Newton step: tasks add up gradients, the driver gets one sum per weight. Pseudo-labels
 of a class weigh at most half as much as that class does among the labelled rows, however many they are, so that a
-larger corpus does not drown the labels. Each view is then calibrated (Platt) on the log-odds of labelled rows in fits that
-left them out, and the calibrated log-odds are added. A document is kept if it is more likely good than not.
+larger corpus does not drown the labels. A view that is sure of one class only teaches nothing. Before each round and at
+the end each view is calibrated (Platt) on the log-odds of labelled rows in fits that left them out; in the end the
+calibrated log-odds are added. A document is kept if it is more likely good than not.
 
 At most ``SAMPLE`` labelled rows are used, those with the smallest hash of doc_id; unlabelled rows all are.
 Sums are of integers, so the result depends neither on partitions nor on the order of rows.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,7 @@ META_DIMS = SOURCES + LANGS + 3
 BASE_DIMS = 128 + 3 + 8
 RIDGE = 3.0
 GRID, FINE = 2.0**10, 2.0**16  # steps of standardised values, and of weights and residuals
+LEAST_CURVE = 0.02  # of a pseudo-label, so that steps stay short where all are sure already
 COARSE = 2.0**4  # steps of the grid that are one step in a curvature
 CHUNK = 1024
 _PLAIN = np.array([chr(i).isalnum() or chr(i).isspace() or chr(i) in ".,;:'\"?()-" for i in range(128)])
@@ -198,7 +200,7 @@ class Fit:
 
     def sure(self, v: int, z: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The rows that the other view tells view ``v`` are good, and those it says are bad."""
-        p = sigmoid(self.teachers[1 - v].odds(z[1 - v]))
+        p = sigmoid(self.teachers[1 - v].calibrated(z[1 - v]))
         return 1 - p <= SURE_GOOD * (1 - self.share), p <= SURE_BAD * self.share
 
 
@@ -224,7 +226,7 @@ def tally(z: tuple[np.ndarray, np.ndarray], fits: list[Fit], curved: bool) -> np
             if curved and k == 0:
                 some = weight > 0
                 x = np.hstack([np.rint(z[v][some] / COARSE), np.full((some.sum(), 1), GRID / COARSE)])
-                curve = np.rint(np.maximum(q * (1 - q), 1e-4)[some] * weight[some] * 2**12)
+                curve = np.rint(np.maximum(q * (1 - q), LEAST_CURVE)[some] * weight[some] * 2**12)
                 out.append(((x * curve[:, None]).T @ x)[np.triu_indices(x.shape[1])])
     return np.concatenate(out).astype(np.int64)
 
@@ -243,10 +245,24 @@ def update(model: Logistic, z: np.ndarray, y: np.ndarray, sums: np.ndarray, top:
     penalty = ridge_of(len(rise), RIDGE)
     rise += top * np.append(sums[:-1] / (FINE * GRID), sums[-1] / FINE) - penalty * model.weights
     step = np.linalg.solve(own + curve + np.diag(penalty), rise)
+    step /= max(1.0, abs(step).max())
     model.weights = model.weights + step
     return float(abs(step).max())
 
 
+def settle(fits: list[Fit], labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> None:
+    """Calibrate each view on the log-odds of rows by fits that left them out, as far as there are such fits.
+
+    So a view that has only learned its rows by heart is sure of nothing and teaches nothing.
+    """
+    for v, z in enumerate(labelled):
+        odds = fits[0].models[v].odds(z)
+        for f in fits[1:]:
+            odds[~f.mask] = f.models[v].odds(z[~f.mask])
+        for f in fits:
+            calibrate(f.models[v], odds, y)
+
+
 class Pool:
     """The unlabelled rows: sums of a function of their views over all of them."""
 
@@ -286,11 +302,12 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, masks: list
     fits = [Fit(m, float(y[m].mean()), [fit(z[m], y[m]) for z in labelled]) for m in masks]
     dims = [z.shape[1] + 1 for z in labelled]
     for _ in range(rounds):
-        light = [Fit(np.empty(0), f.share, f.models, [Logistic(m.weights) for m in f.models]) for f in fits]  # what tasks need
+        settle(fits, labelled, y)
+        light = [Fit(np.empty(0), f.share, f.models, [replace(m) for m in f.models]) for f in fits]  # what tasks need
         numbers = pool.total(lambda z: census(z, light), 4 * len(fits)).reshape(-1, 2, 2)
         for f, small, by_view in zip(fits, light, numbers):
             n = f.mask.sum()
-            small.each = [tuple(PSEUDO * min(1.0, n * c / m) if m else 0.0 for c, m in zip((f.share, 1 - f.share), pair)) for pair in by_view]
+            small.each = [tuple(PSEUDO * min(1.0, n * c / m) if pair.all() else 0.0 for c, m in zip((f.share, 1 - f.share), pair)) for pair in by_view]
         curves: list[np.ndarray] = []
         for k in range(steps):
             curved = k == 0
@@ -305,6 +322,7 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, masks: list
                     moved = max(moved, update(f.models[v], labelled[v][f.mask], y[f.mask], rise, top, curves[v]))
             if moved < 0.01:
                 break
+    settle(fits, labelled, y)
     return fits
 
 
@@ -380,15 +398,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     same = F.coalesce(rest["id"], F.lit(0).cast("long")) == ids_known["id"]
     pool = stored(rest.join(ids_known, same & (rest["deal"] == ids_known["deal"]), "left_anti").select("view"), "quality-pool")
     fits = co_train(labelled, y, [np.ones(len(y), bool)] + [fold != k for k in folds], StoredPool(pool, scales))
-    whole = fits[0].models
-    odds = [m.odds(z) for m, z in zip(whole, labelled)]
-    for f in fits[1:]:
-        for v in (0, 1):
-            odds[v][~f.mask] = f.models[v].odds(labelled[v][~f.mask])
-    for v, model in enumerate(whole):
-        calibrate(model, odds[v], y)
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    return Classifier(lexicon, scales, whole, float(np.log(share / (1 - share))), threshold)
+    return Classifier(lexicon, scales, fits[0].models, float(np.log(share / (1 - share))), threshold)
 
 
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
