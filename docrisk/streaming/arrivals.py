@@ -58,3 +58,16 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
         .start()
     )
     query.awaitTermination()
+
+
+def run_updates_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there and stop; a stream of updates, each batch a folder of its own.
+
+    A batch that is run again after a failure overwrites its folder, so it adds nothing.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    run = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    run.awaitTermination()

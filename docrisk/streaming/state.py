@@ -75,6 +75,19 @@ def transitions(events: DataFrame, watermark: str = "1 hour", timeout_ms: int |
     )
 
 
+def ends(events: DataFrame) -> DataFrame:
+    """Stream of what is known per scan (scan_id, state, final_seq), for output mode ``update``; no time-out.
+
+    The same rule as ``transitions``: the end with the lowest sequence number. As minima, the state of a scan is a few
+    numbers that Spark keeps and merges itself, without a call of Python per scan.
+    """
+    firsts = {s: F.min(F.when(F.col("state") == s, F.col("seq"))).alias(f"_{s}") for s in TERMINAL}
+    seen = events.groupBy("scan_id").agg(*firsts.values())
+    final = F.least(*[F.col(f"_{s}") for s in TERMINAL])
+    named = F.coalesce(*[F.when(F.col(f"_{s}") == F.col("final_seq"), F.lit(s)) for s in TERMINAL], F.lit("analyzing"))
+    return seen.withColumn("final_seq", final.cast("bigint")).select("scan_id", named.alias("state"), "final_seq")
+
+
 def current(changes: DataFrame) -> DataFrame:
     """Polling view over the written changes: analyzing until an end is known."""
     end = F.col("state").isin(*TERMINAL)

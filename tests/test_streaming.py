@@ -90,3 +90,13 @@ def test_facts_after_the_time_out_change_nothing(spark, tmp_path):
     arrived = [[(1, 0, "docx,pdf"), (7, 0, "pdf")], [(None, 500, None)], [(None, 600, None)], [(None, 700, None)]]
     announced = [[(1, 1, "pdf"), (7, 1, "pdf")], [(None, 500, None)], [(None, 600, None)], [(1, 650, "docx"), (7, 650, "pdf"), (None, 700, None)]]
     assert _meeting(spark, tmp_path, arrived, announced) == [(1, "pdf", True), (7, "pdf", False)]
+
+
+def test_ends_over_batches_need_no_python_state(spark, tmp_path):
+    rows = [(1, 1, "2024-01-01 00:00:00", "analyzing"), (1, 3, "2024-01-01 00:00:02", "failed"), (1, 2, "2024-01-01 00:00:01", "completed"), (2, 4, "2024-01-01 00:00:03", "analyzing"), (1, 9, "2024-01-01 00:00:09", "failed")]
+    batch, stream = _feed(spark, tmp_path, rows, 4)
+    known = state.ends(stream)
+    assert "InPandas" not in known._jdf.queryExecution().analyzed().toString()
+    arrivals.run_updates_to_end(known, str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = {(r.scan_id, r.state, r.final_seq) for r in state.current(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == {(r.scan_id, r.state, r.final_seq) for r in lifecycle.current_state(batch).collect()} == {(1, "completed", 2), (2, "analyzing", None)}
