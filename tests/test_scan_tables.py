@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docrisk.catalog.scan_queries import all_tables
+from docrisk.catalog.scan_queries import all_tables, lines_of
 from docrisk.catalog.views import Inputs
 from docrisk.operators import binary, office, pdfspans, rollup
 from docrisk.plans import scan as plan
@@ -47,3 +47,14 @@ def test_fold_merges_sources_of_one_key(spark):
     ]
     got = sorted(tuple(r) for r in rollup.folded(sources, "key").collect())
     assert got == [(1, 2, 12, True, "y", "x", 2), (2, 1, None, None, None, None, 0), (3, 0, None, None, None, None, 0)]
+
+
+def test_only_lines_of_files_are_dealt_out(spark, small):
+    x = Inputs(spark, small)
+    kept = lines_of(x, x.fx_files.select("file_id"))
+    files = {r.file_id for r in x.fx_files.select("file_id").collect()}
+    want = sorted(r.l_orderkey for r in x.lineitem.select("l_orderkey").collect() if r.l_orderkey in files)
+    assert sorted(r.l_orderkey for r in kept.collect()) == want and 0 < len(want) < x.lineitem.count()
+    read = all_tables(x).pdf[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "REPARTITION" in read.upper() and "l_shipdate" not in read
+    assert all("/lineitem.parquet" not in f for t in all_tables(x).pdf for f in t.inputFiles())
