@@ -8,6 +8,7 @@ facts, so the file gets the evidence of missing facts.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ from docrisk.operators import identity
 from docrisk.plans import scan as plan
 
 OUTPUT = "file_id bigint, known string, timed_out boolean"
-STATE = "wanted string, known string, due bigint, decided boolean"
+STATE = "files string"
 
 
 def wanted(files: DataFrame, formats: tuple[str, ...]) -> DataFrame:
@@ -37,57 +38,72 @@ def _names(text: str | None) -> set[str]:
 
 
 def _meet(timeout_ms: int, marker_ms: int):
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        file_id = key[0]
-        if file_id is None or pd.isna(file_id):  # a heartbeat moves the watermark and nothing else
-            return
-        need, text, due, decided = state.get if state.exists else (None, "", None, False)
-        if state.hasTimedOut:
-            if decided or need is None:  # a marker that has served its time, or facts of a file that never came
-                state.remove()
-                return
-            yield _ready(file_id, text, True, state, marker_ms)
-            return
-        if decided:
-            return
-        known, latest = _names(text), None
-        for chunk in chunks:
-            known |= set(chunk["format"].dropna())
-            came = chunk[chunk["wanted"].notna()]
-            if len(came):  # a repeated arrival counts from the first
-                first = came.loc[came["ts"].idxmin()]
-                at = int(pd.Timestamp(first["ts"]).timestamp() * 1000) + timeout_ms
-                if due is None or at < due:
-                    need, due = first["wanted"], at
-            high = int(pd.Timestamp(chunk["ts"].max()).timestamp() * 1000)
-            latest = high if latest is None else max(latest, high)
-        text = ",".join(sorted(known))
-        if need is not None and _names(need) <= known:
-            yield _ready(file_id, text, False, state, marker_ms)
-            return
-        state.update((need, text, due, False))
-        until = due if due is not None else latest + marker_ms
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+    """One call keeps the files of a bucket: a call, its frames and its state cost far more than a file does.
 
-    return step
+    The state is JSON: per file what it needs, what is known, when its time is up, whether it is decided, and until when
+    the entry waits for more.
+    """
 
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        files = json.loads(state.get[0]) if state.exists else {}
+        latest: dict[str, int] = {}
+        for chunk in chunks if not state.hasTimedOut else ():
+            for file_id, at, need, name in zip(*(chunk[c].tolist() for c in ("file_id", "at", "wanted", "format"))):
+                if not file_id:  # a heartbeat moves the watermark and nothing else
+                    continue
+                entry = files.setdefault(file_id, [None, "", None, False, None])
+                latest[file_id] = max(at, latest.get(file_id, at))
+                if entry[3]:  # facts that come later change nothing
+                    continue
+                if name is not None and name not in entry[1].split(","):
+                    entry[1] = ",".join(sorted(_names(entry[1]) | {name}))
+                if need is not None and (entry[2] is None or at + timeout_ms < entry[2]):  # a repeated arrival counts from the first
+                    entry[0], entry[2] = need, at + timeout_ms
+        out = []
+        for file_id, entry in list(files.items()):
+            need, known, due, decided, until = entry
+            if file_id in latest:
+                if decided:
+                    continue
+                if need is not None and _names(need) <= _names(known):
+                    out.append((int(file_id), known, False))
+                    files[file_id] = [None, "", None, True, now + marker_ms]
+                else:
+                    entry[4] = max(due if due is not None else latest[file_id] + marker_ms, now + 1)
+            elif until < now:
+                if decided or need is None:  # a marker that has served its time, or facts of a file that never came
+                    del files[file_id]
+                else:
+                    out.append((int(file_id), known, True))
+                    files[file_id] = [None, "", None, True, now + marker_ms]
+        if files:
+            state.update((json.dumps(files),))
+            state.setTimeoutTimestamp(max(min(e[4] for e in files.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["file_id", "known", "timed_out"])
 
-def _ready(file_id: int, known: str, timed_out: bool, state: GroupState, marker_ms: int) -> pd.DataFrame:
-    state.update((None, None, None, True))  # facts that come later change nothing
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + marker_ms)
-    return pd.DataFrame({"file_id": [file_id], "known": [known], "timed_out": [timed_out]})
+    return step
 
 
-def ready(arrived: DataFrame, announced: DataFrame, delay: str, timeout_ms: int, marker_ms: int = 7 * 86_400_000) -> DataFrame:
+def ready(arrived: DataFrame, announced: DataFrame, delay: str, timeout_ms: int, marker_ms: int = 7 * 86_400_000, buckets: int = 4096) -> DataFrame:
     """Stream of (file_id, known, timed_out), one row per file, when its facts are complete or its time is up.
 
     ``arrived``: file_id, ts, wanted. ``announced``: file_id, ts, format. Each has its own watermark and the slower
     one counts. Rows without file_id are heartbeats. What is known of a decided file is forgotten ``marker_ms`` later.
+    Files are kept by ``buckets`` of their ids; the number belongs to a checkpoint, and a bucket's files lie in one state row.
     """
     a = arrived.select("file_id", F.col("ts").cast("timestamp").alias("ts"), "wanted", F.lit(None).cast("string").alias("format"))
     b = announced.select("file_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("wanted"), "format")
     both = a.withWatermark("ts", delay).union(b.withWatermark("ts", delay))
-    return both.groupBy("file_id").applyInPandasWithState(_meet(timeout_ms, marker_ms), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # Ids as text: a column with nulls would reach Python as floating point numbers.
+    keyed = both.select(
+        F.pmod(F.xxhash64("file_id"), F.lit(buckets)).alias("bucket"), F.coalesce(F.col("file_id").cast("string"), F.lit("")).alias("file_id"),
+        "ts", F.unix_millis("ts").alias("at"), "wanted", "format",
+    )
+    return keyed.groupBy("bucket").applyInPandasWithState(_meet(timeout_ms, marker_ms), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def decide(files: DataFrame, av: DataFrame, tables: Callable[[dict[str, DataFrame]], plan.Tables], formats: tuple[str, ...], path: str, shown: tuple[str, ...]):

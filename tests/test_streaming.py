@@ -92,6 +92,15 @@ def test_facts_after_the_time_out_change_nothing(spark, tmp_path):
     assert _meeting(spark, tmp_path, arrived, announced) == [(1, "pdf", True), (7, "pdf", False)]
 
 
+def test_files_of_one_bucket_keep_their_own_time(spark, tmp_path, monkeypatch):
+    ready, big = scans.ready, 2**53 + 1  # an id that a floating point number cannot hold
+    monkeypatch.setattr(scans, "ready", lambda *a, **k: ready(*a, buckets=1, **k))
+    arrived = [[(1, 0, "pdf"), (2, 0, "pdf"), (big, 0, "")], [(3, 500, "pdf"), (4, 500, "exe")], [(None, 600, None)], [(None, 700, None)]]
+    announced = [[(2, 1, "pdf")], [(3, 505, "pdf"), (None, 500, None)], [(9, 590, "pdf"), (None, 600, None)], [(1, 650, "pdf"), (None, 700, None)]]
+    got = _meeting(spark, tmp_path, arrived, announced)
+    assert got == [(1, "", True), (2, "pdf", False), (3, "pdf", False), (4, "", True), (big, "", False)]
+
+
 def test_ends_over_batches_need_no_python_state(spark, tmp_path):
     rows = [(1, 1, "2024-01-01 00:00:00", "analyzing"), (1, 3, "2024-01-01 00:00:02", "failed"), (1, 2, "2024-01-01 00:00:01", "completed"), (2, 4, "2024-01-01 00:00:03", "analyzing"), (1, 9, "2024-01-01 00:00:09", "failed")]
     batch, stream = _feed(spark, tmp_path, rows, 4)
